@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import cooccurrence, neardup, packing, splitting, tokens
+from . import abuse, cooccurrence, neardup, packing, splitting, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,24 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(_packed(spark, d))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    model = abuse.fit(*abuse.labelled_words(documents, load(spark, d, "review_labels")))
+    return abuse.score(documents, model)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter("flagged").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
@@ -78,6 +96,9 @@ def queries() -> dict[str, Query]:
         "p6_ids": p6_ids,
         "p7_pack": p7_pack,
         "p7_report": p7_report,
+        "p8_found": p8_found,
+        "p8_scores": p8_scores,
+        "p8_rates": p8_rates,
     }
 
 
