@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import orphans
+from ..operators import drift, orphans
 from ..runtime import load
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.drift_steps(load(spark, d, "files")).select("vault", "period", "field_before", "field_after")
+
+
+def p1_versions(spark: SparkSession, d: str) -> DataFrame:
+    _, fields = drift.templates(drift.dated_notes(load(spark, d, "files")))
+    return drift.versions(fields).select("vault", "month", "fingerprint", F.array_join("fields", "|").alias("fields"))
+
+
+def p1_table(spark: SparkSession, d: str) -> DataFrame:
+    files = load(spark, d, "files")
+    _, fields = drift.templates(drift.dated_notes(files))
+    return drift.unify(files, drift.drift_steps(files), fields)
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_links(*(load(spark, d, t) for t in ("links", "files", "changes", "asset_types")))
 
@@ -21,7 +37,7 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {"p3_found": p3_found, "p3_counts": p3_counts}
+    return {"p1_found": p1_found, "p1_versions": p1_versions, "p1_table": p1_table, "p3_found": p3_found, "p3_counts": p3_counts}
 
 
 _P3 = r"""
