@@ -4,9 +4,9 @@ Texts are sets of word shingles, embedded into ``SLOTS`` minhash coordinates.  A
 set of texts that share the tokens on the path from the root.  A node with more than ``SMALL`` texts is
 split on sampled coordinates: a text goes to one child per coordinate, named by its token there, so two
 texts with similarity s meet again in a child with probability s per coordinate.  Small nodes are
-compared by brute force on 8-bit sketches, which leaves few false pairs; the survivors are checked exactly on
+compared by brute force on 4-bit sketches, which leaves few false pairs; the survivors are checked exactly on
 their shingle sets.  Independent repetitions at the root and in every split bring the recall of a pair
-at the threshold above 0.999 (see :func:`expected_recall`).
+at 0.7 to about 0.999 (see :func:`expected_recall`).
 
 Nodes of tokens that texts share by chance are large but split again and again.  A node that is still
 large at the last level holds texts that agree almost everywhere; it is compared block against block,
@@ -35,11 +35,15 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, discard
 
-SLOTS = 64
+#: Minhash coordinates; those that splits choose from are kept whole, all of them are kept as four bits.
+SLOTS, WHOLE = 64, 32
 #: Coordinates on which the root is split, and on which a large node is split again.
-ROOT_SPLITS, NODE_SPLITS = 8, 6
-SMALL = 64
+ROOT_SPLITS, NODE_SPLITS = 6, 3
+#: Largest node that is compared by brute force.
+SMALL = 256
 LEVELS = 5
+#: Representatives to verify are sent to their texts up to this many (some 20 MB); beyond, both are shuffled.
+BROADCAST_KEYS = 200_000
 _SEED = 0x7E55E7AE
 _RNG = np.random.default_rng(_SEED)
 _MUL = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
@@ -50,12 +54,11 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def expected_recall(similarity: float, levels: int = 1) -> float:
-    """Chance that two texts of this similarity meet in a node that is compared, if the first
-    ``levels`` nodes of every path are split."""
+    """Chance that two texts of this similarity meet in a node that is compared, if the nodes of the
+    first ``levels`` levels are all large and so are split."""
     met = 1.0
     for k in range(levels):
-        splits = ROOT_SPLITS if k == levels - 1 else NODE_SPLITS
-        met = 1 - (1 - similarity * met) ** splits
+        met = 1 - (1 - similarity * met) ** (ROOT_SPLITS if k == levels - 1 else NODE_SPLITS)
     return met
 
 
@@ -107,12 +110,19 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _class_of(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
+def _packed(sig: np.ndarray) -> bytes:
+    """The whole coordinates, then four bits of each."""
+    low = (sig & np.uint32(15)).astype(np.uint8)
+    return sig[:WHOLE].tobytes() + (low[0::2] << 4 | low[1::2]).tobytes()
+
+
+SIG_BYTES = WHOLE * 4 + SLOTS // 2
+_EQUAL = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)  # equal halves of two bytes, by their xor
+ROW = "node bigint, c0 bigint, c1 bigint, " + ", ".join(f"s{k} bigint" for k in range(SLOTS // 16))
 
 
 def signed_texts(df: DataFrame, key: str, text: str, width: int, min_words: int) -> DataFrame:
-    """``(key, cls, sig)`` of the texts that are cases."""
+    """``(key, c0, c1, sig)`` of the texts that are cases; c0 and c1 are a 128-bit hash of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,26 +131,29 @@ def signed_texts(df: DataFrame, key: str, text: str, width: int, min_words: int)
                 s = shingles(t.as_py(), width, min_words)
                 if s is not None:
                     keys.append(k.as_py())
-                    cls.append(_class_of(s))
-                    sig.append(signature(s).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["key", "cls", "sig"])
+                    cls.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sig.append(_packed(signature(s)))
+            c = np.frombuffer(b"".join(cls), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(sig, pa.binary())], ["key", "c0", "c1", "sig"]
+            )
 
     src = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
-    return src.mapInArrow(run, "key string, cls binary, sig binary")
+    return src.mapInArrow(run, "key string, c0 bigint, c1 bigint, sig binary")
 
 
-def _children(sigs: np.ndarray, nodes: np.ndarray, splits: int, level: int) -> np.ndarray:
+def _children(whole: np.ndarray, nodes: np.ndarray, splits: int, level: int) -> np.ndarray:
     """Child node of each text on each of ``splits`` coordinates that its node samples."""
-    out = np.empty((len(sigs), splits), np.uint64)
+    out = np.empty((len(whole), splits), np.uint64)
     base = nodes ^ (np.uint64(level + 1) * _K3)
-    order = (base[:, None] * _MUL[None, :]) ^ _ADD[None, :]  # a pseudo-random ranking of the coordinates per node
+    order = (base[:, None] * _MUL[None, :WHOLE]) ^ _ADD[None, :WHOLE]  # ranks the coordinates, per node
     order ^= order >> np.uint64(31)
     order *= _K2
     slots = np.argpartition(order, splits - 1, axis=1)[:, :splits]
     slots.sort(axis=1)
     for j in range(splits):
         at = slots[:, j]
-        h = (sigs[np.arange(len(sigs)), at].astype(np.uint64) * _K1 + at.astype(np.uint64)) ^ base
+        h = (whole[np.arange(len(whole)), at].astype(np.uint64) * _K1 + at.astype(np.uint64)) ^ base
         h ^= h >> np.uint64(30)
         h *= _K2
         out[:, j] = h ^ (h >> np.uint64(27))
@@ -148,7 +161,7 @@ def _children(sigs: np.ndarray, nodes: np.ndarray, splits: int, level: int) -> n
 
 
 def _split(rows: DataFrame, splits: int, level: int) -> DataFrame:
-    """``(node, cls, sketch)`` of the children of ``(node, cls, sig)``."""
+    """The children (columns ``ROW``) of rows ``(node, c0, c1, sig)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,164 +169,179 @@ def _split(rows: DataFrame, splits: int, level: int) -> DataFrame:
             if not n:
                 continue
             nodes = np.asarray(b.column(0)).astype(np.int64).view(np.uint64)
-            sigs = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(n, SLOTS)
-            kids = _children(sigs, nodes, splits, level)
-            low = (sigs & np.uint32(0xFF)).astype(np.uint8)
-            sketch = pa.array([x.tobytes() for x in low], pa.binary())
-            take = pa.array(np.repeat(np.arange(n), splits))
+            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(n, SIG_BYTES)
+            kids = _children(sig[:, : WHOLE * 4].copy().view(np.uint32), nodes, splits, level)
+            sketch = sig[:, WHOLE * 4 :].copy().view(np.int64)
+            rest = [np.asarray(b.column(1)), np.asarray(b.column(2)), *sketch.T]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kids.ravel().view(np.int64)), b.column(1).take(take), sketch.take(take)], ["node", "cls", "sketch"]
+                [pa.array(kids.ravel().view(np.int64)), *(pa.array(np.repeat(x, splits)) for x in rest)],
+                [x.split()[0] for x in ROW.split(", ")],
             )
 
-    return rows.select("node", "cls", "sig").mapInArrow(run, "node bigint, cls binary, sketch binary")
+    return rows.select("node", "c0", "c1", "sig").mapInArrow(run, ROW)
 
 
 def _agreeing(threshold: float) -> int:
-    """Sketch bytes that must agree: four standard deviations below the threshold."""
-    return int(SLOTS * threshold - 4 * (SLOTS * threshold * (1 - threshold)) ** 0.5)
+    """Coordinates that must agree: four standard deviations below what the threshold lets expect."""
+    p = threshold + (1 - threshold) / 16
+    return int(SLOTS * p - 4 * (SLOTS * p * (1 - p)) ** 0.5)
 
 
-def _compare_small(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of nodes that hold at most ``SMALL`` texts each."""
-    least = _agreeing(threshold)
+PAIR = "a0 bigint, a1 bigint, b0 bigint, b1 bigint"
+
 
-    def pairs(node: np.ndarray, cls: list, low: np.ndarray) -> pa.RecordBatch:
-        edge = np.flatnonzero(np.diff(node)) + 1
-        begin = np.concatenate(([0], edge))
-        size = np.diff(np.concatenate((begin, [len(node)])))
-        left, right = [], []
-        for m in np.unique(size[size > 1]):
-            i, j = np.triu_indices(m, 1)
-            at = begin[size == m]
-            for part in np.array_split(at, max(1, len(at) * len(i) // 500_000)):
-                x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                ok = (low[x] == low[y]).sum(axis=1) >= least
-                left.append(x[ok])
-                right.append(y[ok])
-        x = np.concatenate(left) if left else np.empty(0, int)
-        y = np.concatenate(right) if right else np.empty(0, int)
-        a = [min(cls[p], cls[q]) for p, q in zip(x, y)]
-        b = [max(cls[p], cls[q]) for p, q in zip(x, y)]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+def _compare(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (columns ``PAIR``) within the rows of each node; the caller bounds the nodes."""
+    least = _agreeing(threshold)
+    names = [x.split()[0] for x in ROW.split(", ")][1:]
+    sets = nodes.groupBy("node").agg(F.collect_list(F.struct(*names)).alias("rows")).select("rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, cls, low = np.empty(0, np.int64), [], np.empty((0, SLOTS), np.uint8)
         for b in batches:
-            if not b.num_rows:
+            lists = b.column(0)
+            if not len(lists):
                 continue
-            node = np.concatenate((node, np.asarray(b.column(0))))
-            cls = cls + b.column(1).to_pylist()
-            low = np.concatenate((low, np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, SLOTS)))
-            keep = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
-            if keep:
-                yield pairs(node[:keep], cls[:keep], low[:keep])
-                node, cls, low = node[keep:], cls[keep:], low[keep:]
-        if len(node):
-            yield pairs(node, cls, low)
-
-    return (
-        rows.select("node", "cls", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a binary, b binary")
-    )
-
-
-def _compare_blocks(rows: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of nodes of any size: every block of about ``SMALL`` texts against every other one."""
-    blocks = rows.join(sizes, "node").withColumn("of", F.ceil(F.col("size") / F.lit(SMALL // 2)).cast("int"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")).cast("int"))
-    cells = blocks.select(
-        "node", "cls", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
-    ).select(
-        F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "cls", "sketch"
-    )
-    return _compare_small(cells, threshold)
+            begin = np.asarray(lists.offsets)
+            size = np.diff(begin)
+            flat = lists.flatten() if begin[0] else lists.values
+            begin = begin[:-1] - begin[0]
+            cols = [np.asarray(flat.field(k)) for k in range(len(names))]
+            cls = np.stack(cols[:2], axis=1)
+            low = np.ascontiguousarray(np.stack(cols[2:], axis=1)).view(np.uint8)
+            for m in np.unique(size[size > 1]):
+                i, j = np.triu_indices(m, 1)
+                at = begin[size == m]
+                for part in np.array_split(at, max(1, len(at) * len(i) // 300_000)):
+                    x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+                    ok = _EQUAL[low[x] ^ low[y]].sum(axis=1, dtype=np.int32) >= least
+                    p, q = cls[x[ok]], cls[y[ok]]
+                    swap = (p[:, 0] > q[:, 0]) | ((p[:, 0] == q[:, 0]) & (p[:, 1] > q[:, 1]))
+                    p[swap], q[swap] = q[swap], p[swap].copy()
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (p[:, 0].copy(), p[:, 1].copy(), q[:, 0].copy(), q[:, 1].copy())], ["a0", "a1", "b0", "b1"])
+
+    return sets.mapInArrow(run, PAIR)
+
+
+def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of nodes of any ``size``: every block of about ``SMALL / 2`` texts against every other."""
+    blocks = rows.withColumn("of", F.ceil(F.col("size") * 2 / F.lit(SMALL)).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("c0", "c1"), F.col("of")).cast("int"))
+    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    cells = cells.withColumn("node", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
+    return _compare(cells, threshold)
 
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Different pairs of classes ``(a, b)``, a < b, that probably reach the threshold; ``classes`` is ``(cls, sig)``."""
-    todo = classes.select(F.lit(0).cast("bigint").alias("node"), "cls", "sig")
-    found = None
-    made = []
+    """Different pairs of classes (columns ``PAIR``, a < b) that probably reach the threshold; ``classes`` is ``(c0, c1, sig)``.
+
+    Each level is one job: its rows are shuffled by node once, nodes of one text are dropped, small nodes are
+    compared, and what the large ones hold is written for the next level.
+    """
+    todo = classes.select(F.lit(0).cast("bigint").alias("node"), "c0", "c1", "sig")
+    found, made = None, []
     for level in range(LEVELS):
-        rows = cut(_split(todo, ROOT_SPLITS if level == 0 else NODE_SPLITS, level), f"neardup-level{level}")
-        made.append(rows)
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
-        shared = cut(sizes.filter(F.col("size") > 1), f"neardup-sizes{level}")
-        made.append(shared)
-        small = rows.join(shared.filter(F.col("size") <= SMALL), "node", "left_semi")
-        large = shared.filter(F.col("size") > SMALL)
-        pairs = _compare_small(small, threshold)
+        rows = _split(todo, ROOT_SPLITS if level == 0 else NODE_SPLITS, level)
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+        shared = rows.join(sizes.hint("merge"), "node")
+        small, large = shared.filter(F.col("size") <= SMALL), shared.filter(F.col("size") > SMALL)
+        pairs = _compare(small, threshold)
         if level == LEVELS - 1:
-            pairs = pairs.unionByName(_compare_blocks(rows.join(large, "node", "left_semi"), large, threshold))
+            out = pairs.unionByName(_compare_blocks(large, threshold)).withColumn("node", F.lit(None).cast("bigint"))
+        else:
+            none = [F.lit(None).cast("bigint").alias(c) for c in ("b0", "b1")]
+            out = pairs.withColumn("node", F.lit(None).cast("bigint")).unionByName(
+                large.select(F.col("c0").alias("a0"), F.col("c1").alias("a1"), *none, "node")
+            )
+        out = cut(out, f"neardup-level{level}")
+        made.append(out)
+        pairs = out.filter("node IS NULL").drop("node")
         found = pairs if found is None else found.unionByName(pairs)
-        if level < LEVELS - 1:
-            if large.isEmpty():
-                break
-            todo = rows.join(large, "node", "left_semi").select("node", "cls").join(classes, "cls")
-    out = cut(found.distinct(), "neardup-candidates")
+        rest = out.filter("node IS NOT NULL").select("node", F.col("a0").alias("c0"), F.col("a1").alias("c1"))
+        if level == LEVELS - 1 or rest.isEmpty():
+            break
+        todo = rest.join(classes, ["c0", "c1"])
+    result = cut(found.distinct(), "neardup-candidates")
     discard(*made)
-    return out
+    return result
 
 
 def class_links(df: DataFrame, signed: DataFrame, key: str, text: str, threshold: float, width: int, min_words: int) -> DataFrame:
-    """Links ``(a, b, similarity)`` between classes, exact."""
-    reps = cut(signed.groupBy("cls").agg(F.min(F.struct("key", "sig")).alias("r")).select("cls", F.col("r.key").alias("key"), F.col("r.sig").alias("sig")), "neardup-classes")
-    cand = candidates(reps.select("cls", "sig"), threshold)
-    wanted = cand.select(F.col("a").alias("cls")).unionByName(cand.select(F.col("b").alias("cls"))).distinct()
-    keys = reps.select("cls", "key").join(wanted, "cls", "left_semi")
-    texts = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).join(keys, "key").dropDuplicates(["key"])
+    """Links ``(a0, a1, b0, b1, similarity)`` between classes, exact."""
+    reps = cut(
+        signed.groupBy("c0", "c1").agg(F.min(F.struct("key", "sig")).alias("r")).select("c0", "c1", F.col("r.key").alias("key"), F.col("r.sig").alias("sig")),
+        "neardup-classes",
+    )
+    cand = candidates(reps.select("c0", "c1", "sig"), threshold)
+    wanted = cand.select(F.col("a0").alias("c0"), F.col("a1").alias("c1")).unionByName(cand.select(F.col("b0").alias("c0"), F.col("b1").alias("c1"))).distinct()
+    keys = cut(reps.select("c0", "c1", "key").join(wanted, ["c0", "c1"], "left_semi"), "neardup-keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    texts = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).join(keys, "key").select("c0", "c1", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shingles(t.as_py(), width, min_words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in s], pa.binary())], ["cls", "s"])
+            s = [shingles(t.as_py(), width, min_words) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_shipped(x) for x in s], pa.binary())], ["c0", "c1", "s"])
 
-    shingled = cut(texts.select("cls", "text").mapInArrow(sets, "cls binary, s binary"), "neardup-sets")
+    shingled = cut(texts.mapInArrow(sets, "c0 bigint, c1 bigint, s binary").dropDuplicates(["c0", "c1"]), "neardup-sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sim = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for x, y in zip(b.column(4), b.column(5)):
+                p, q = _received(x.as_py()), _received(y.as_py())
                 n = len(np.intersect1d(p, q, assume_unique=True))
                 sim.append(n / (len(p) + len(q) - n))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(sim, pa.float64())], ["a0", "a1", "b0", "b1", "similarity"])
 
     pairs = (
-        cand.join(shingled.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a")
-        .join(shingled.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
+        cand.join(shingled.select(F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("s").alias("sa")), ["a0", "a1"])
+        .join(shingled.select(F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("s").alias("sb")), ["b0", "b1"])
+        .select("a0", "a1", "b0", "b1", "sa", "sb")
     )
-    return pairs.mapInArrow(exact, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
+    return pairs.mapInArrow(exact, PAIR + ", similarity double").filter(F.col("similarity") >= threshold)
+
+
+def _shipped(s: np.ndarray) -> bytes:
+    """A shingle set for the exact check: 40 of the 64 bits of each hash."""
+    return (s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((s >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
+def _received(x: bytes) -> np.ndarray:
+    n = len(x) // 5
+    return np.frombuffer(x, np.uint32, n).astype(np.uint64) | np.frombuffer(x, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
 def similar_pairs(df: DataFrame, key: str = "path", text: str = "content", threshold: float = 0.7, width: int = 3, min_words: int = 20) -> DataFrame:
     """All pairs ``(key_a, key_b, similarity)`` of different keys, key_a < key_b."""
     members, links = classes_and_links(df, key, text, threshold, width, min_words)
-    m = members.select("cls", "key")
-    a, b = m.select(F.col("cls").alias("a"), F.col("key").alias("x")), m.select(F.col("cls").alias("b"), F.col("key").alias("y"))
+    a = members.select(F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("key").alias("x"))
+    b = members.select(F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("key").alias("y"))
     # members of one class are equal sets; those of linked classes inherit the similarity of the link
-    same = a.join(b, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("similarity"))
-    other = links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "similarity")
-    return same.unionByName(other).select(F.col("x").alias("key_a"), F.col("y").alias("key_b"), "similarity")
+    same = a.join(b, (F.col("a0") == F.col("b0")) & (F.col("a1") == F.col("b1")) & (F.col("x") < F.col("y")))
+    other = links.join(a, ["a0", "a1"]).join(b, ["b0", "b1"])
+    pairs = same.select("x", "y", F.lit(1.0).alias("similarity")).unionByName(other.select("x", "y", "similarity"))
+    return pairs.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "similarity")
 
 
 def classes_and_links(df: DataFrame, key: str = "path", text: str = "content", threshold: float = 0.7, width: int = 3, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Membership ``(cls, key)`` of every case, and exact links between different classes."""
+    """Membership ``(c0, c1, key)`` of every case, and exact links between different classes."""
     signed = cut(signed_texts(df, key, text, width, min_words), "neardup-signed")
     links = cut(class_links(df, signed, key, text, threshold, width, min_words), "neardup-links")
-    return signed.select("cls", "key").distinct(), links
+    return signed.select("c0", "c1", "key").distinct(), links
 
 
 def groups(df: DataFrame, key: str = "path", text: str = "content", threshold: float = 0.7, width: int = 3, min_words: int = 20) -> DataFrame:
     """``(key, group_key, n_links)`` of every case: the smallest key of its connected group and its links to
     different texts.  A text without links forms its own group with its exact copies."""
     members, links = classes_and_links(df, key, text, threshold, width, min_words)
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    members = members.select(_id("c0", "c1").alias("cls"), "key")
+    links = links.select(_id("a0", "a1").alias("a"), _id("b0", "b1").alias("b"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     label = components(both)
-    with_root = members.join(label, members.cls == label.a, "left").select(
-        "key", "cls", F.coalesce("root", "cls").alias("root")
-    )
+    with_root = members.join(label, members.cls == label.a, "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     name = with_root.groupBy("root").agg(F.min("key").alias("group_key"))
     return (
         with_root.join(name, "root")
@@ -322,6 +350,10 @@ def groups(df: DataFrame, key: str = "path", text: str = "content", threshold: f
     )
 
 
+def _id(x: str, y: str):
+    return F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0"))
+
+
 def components(both: DataFrame) -> DataFrame:
     """``(a, root)``: connected components of a symmetric edge list by alternating large and small stars."""
     edges = cut(both.filter("a <> b").distinct(), "components-0")
