@@ -51,21 +51,31 @@ def number_text(num: Column) -> Column:
     return F.when(whole, num.cast("bigint").cast("string")).otherwise(num.cast("string"))
 
 
-def of_variant(v: Column) -> TypedKey:
-    kind = F.schema_of_variant(v)
-    is_number = (kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
-    rank = (
-        F.when(v.isNull() | F.is_variant_null(v), 0).when(is_number | (kind == "BOOLEAN"), 1).otherwise(2)
-    )
-    num = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(
-        is_number, F.try_variant_get(v, "$", "double")
-    )
-    txt = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(
-        kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(v)
-    )
+def json_parts(v: Column) -> Column:
+    """What the typed key of a variant is made from: its JSON text, and its plain text if it is one."""
+    return F.struct(F.to_json(v).alias("json"), F.try_variant_get(v, "$", "string").alias("text"))
+
+
+def of_parts(parts: Column) -> TypedKey:
+    """Typed key of :func:`json_parts`; the first character of a JSON text tells its kind."""
+    j = parts["json"]
+    kind = F.substr(j, F.lit(1), F.lit(1))
+    rank = F.when(j.isNull() | (j == "null"), 0).when(kind.isin('"', "[", "{"), 2).otherwise(1)
+    num = F.when(kind == "t", 1.0).when(kind == "f", 0.0).when(~kind.isin('"', "[", "{", "n"), j.try_cast("double"))
+    txt = F.when(kind == '"', parts["text"]).when(kind.isin("[", "{"), j)
     return TypedKey(rank, num, txt)
 
 
+def of_variant(v: Column) -> TypedKey:
+    return of_parts(json_parts(v))
+
+
+def once(c: Column) -> Column:
+    """A generator of one row that holds ``c``.  Expressions above it read its column; the optimizer cannot
+    copy ``c`` into each of them, as it does with a projected column that filters and projections use."""
+    return F.explode(F.array(c))
+
+
 def of_text(c: Column) -> TypedKey:
     return TypedKey(F.when(c.isNull(), 0).otherwise(2), F.lit(None).cast("double"), c.cast("string"))
 
@@ -82,14 +92,7 @@ def either(a: TypedKey, b: TypedKey) -> TypedKey:
     )
 
 
-def truthy(v: Column, inline_text: Column | None) -> Column:
+def truthy(k: TypedKey, parts: Column, inline_text: Column) -> Column:
     """Present and not false, 0, empty text, array or object; absent or null: whether the inline text is not empty."""
-    kind = F.schema_of_variant(v)
-    inline = F.coalesce(F.length(inline_text) > 0, F.lit(False)) if inline_text is not None else F.lit(False)
-    k = of_variant(v)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), inline)
-        .when(k.rank == 1, k.num != 0)
-        .when(kind == "STRING", F.length(k.txt) > 0)
-        .otherwise(~k.txt.isin("[]", "{}"))
-    )
+    inline = F.coalesce(F.length(inline_text) > 0, F.lit(False))
+    return F.when(k.rank == 0, inline).when(k.rank == 1, k.num != 0).otherwise(~parts["json"].isin('""', "[]", "{}"))

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.typed import json_parts, once
 from ..runtime import cut, utc_month, vault_of
 
 SLOTS, SHAPES = 64, 64
@@ -289,34 +290,54 @@ def meanings(steps: DataFrame, fields: DataFrame) -> tuple[dict[str, list[str]],
     return columns, kinds
 
 
-def cast_value(v: Column, to: str) -> Column:
-    """A variant as the type of its column; null where it cannot be read so."""
-    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
-    is_array = F.schema_of_variant(v).startswith("ARRAY")
+def cast_value(parts: Column, to: str) -> Column:
+    """A JSON value (see :func:`json_parts`) as the type of its column; null where it cannot be read so."""
+    j = parts["json"]
+    kind = F.substr(j, F.lit(1), F.lit(1))
+    text = F.when(kind == '"', parts["text"]).otherwise(j)
     if to == "number":
-        day = F.unix_millis(F.try_to_timestamp(text))
-        return F.coalesce(F.try_variant_get(v, "$", "double"), text.try_cast("double"), day.cast("double"))
+        return F.coalesce(text.try_cast("double"), F.unix_millis(F.try_to_timestamp(text)).cast("double"))
     if to == "boolean":
         low = F.lower(F.trim(text))
         return F.when(low.isin("true", "yes", "y", "on", "1"), True).when(low.isin("false", "no", "n", "off", "0"), False)
     if to == "array":
-        return F.when(is_array, F.try_variant_get(v, "$", "array<string>")).otherwise(F.split(text, r"\s*,\s*"))
+        return F.when(kind == "[", F.from_json(j, "array<string>")).otherwise(F.split(text, r"\s*,\s*"))
     if to == "object":
-        return F.when(F.schema_of_variant(v).startswith("OBJECT"), text).otherwise(F.to_json(F.struct(text.alias("value"))))
-    return F.when(is_array, F.array_join(F.try_variant_get(v, "$", "array<string>"), ", ")).otherwise(text)
+        return F.when(kind == "{", j).otherwise(F.to_json(F.struct(text.alias("value"))))
+    return F.when(kind == "[", F.array_join(F.from_json(j, "array<string>"), ", ")).otherwise(text)
+
+
+def _type_of(j: Column) -> Column:
+    kind = F.substr(j, F.lit(1), F.lit(1))
+    return (
+        F.when(kind == '"', "string").when(kind == "[", "array").when(kind == "{", "object").when(kind.isin("t", "f"), "boolean").otherwise("number")
+    )
 
 
 def unify(files: DataFrame, steps: DataFrame, fields: DataFrame) -> DataFrame:
     """``path, vault, month``, one column per meaning, and ``applied``: the rename and cast rules each note
     went through.  A column absent from a note is null by default.  Narrow: no shuffle after the notes' own."""
     columns, kinds = meanings(steps, fields)
+    names = sorted({n for group in columns.values() for n in group})
+    at = {n: f"n{i}" for i, n in enumerate(names)}
     notes = dated_notes(files)
+    if not names:
+        return notes.select("path", "vault", "month", F.array().cast("array<string>").alias("applied"))
+    read = [json_parts(F.try_variant_get("v", '$["' + n.replace('"', '\\"') + '"]', "variant")).alias(at[n]) for n in names]
+    notes = notes.withColumn("f", once(F.struct(*read)))
+    chosen = []
+    for c, group in columns.items():
+        pick, name = F.lit(None).cast("struct<json:string,text:string>"), F.lit(None).cast("string")
+        for n in reversed(group):
+            has = F.col("f")[at[n]]["json"] != "null"
+            pick, name = F.when(has, F.col("f")[at[n]]).otherwise(pick), F.when(has, F.lit(n)).otherwise(name)
+        chosen.append(F.struct(pick.alias("p"), name.alias("name")).alias(at[c]))
+    notes = notes.withColumn("g", once(F.struct(*chosen)))
     out, applied = [], []
-    for c, names in sorted(columns.items()):
-        v = F.coalesce(*(F.try_variant_get("v", '$["' + n.replace('"', '\\"') + '"]', "variant") for n in names))
-        got = F.coalesce(*(F.when(F.try_variant_get("v", '$["' + n.replace('"', '\\"') + '"]', "variant").isNotNull(), F.lit(n)) for n in names))
-        v = F.when(json_type(v).isNotNull(), v)
-        out.append(cast_value(v, kinds[c]).alias(f"field_{c}"))
-        applied.append(F.when(v.isNotNull() & (got != c), F.concat(F.lit("rename "), got, F.lit(f" to {c}"))))
-        applied.append(F.when(v.isNotNull() & (json_type(v) != kinds[c]), F.concat(F.lit(f"cast {c} from "), json_type(v), F.lit(f" to {kinds[c]}"))))
+    for c in sorted(columns):
+        g = F.col("g")[at[c]]
+        out.append(cast_value(g["p"], kinds[c]).alias(f"field_{c}"))
+        applied.append(F.when(g["name"] != c, F.concat(F.lit("rename "), g["name"], F.lit(f" to {c}"))))
+        was = _type_of(g["p"]["json"])
+        applied.append(F.when(g["name"].isNotNull() & (was != kinds[c]), F.concat(F.lit(f"cast {c} from "), was, F.lit(f" to {kinds[c]}"))))
     return notes.select("path", "vault", "month", *out, F.array_compact(F.array(*applied)).alias("applied"))

@@ -80,11 +80,13 @@ def note_references(links: DataFrame, files: DataFrame, asset_types: DataFrame)
 
 
 def orphan_references(refs: DataFrame, keys: DataFrame, heavy_share: float = 0.001) -> DataFrame:
-    """References ``(id, source, kind, key, at)`` without a key row created at or before ``at``."""
+    """Rows ``(kind, key, at, ...)`` without a key row created at or before ``at``; a row stands for ``n``
+    references where it has such a column, else for one."""
     spark = refs.sparkSession
     refs = cut(refs, "orphan-refs")
-    per_key = refs.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n_refs"))
-    total = refs.count()
+    weight = F.sum("n") if "n" in refs.columns else F.count(F.lit(1))
+    per_key = refs.groupBy("kind", "key").agg(weight.alias("n_refs"))
+    total = refs.agg(weight).first()[0] or 0
     heavy = per_key.filter(F.col("n_refs") > F.lit(total * heavy_share)).select(
         F.col("kind").alias("h_kind"), F.col("key").alias("h_key")
     )
@@ -115,6 +117,14 @@ def orphan_links(links: DataFrame, files: DataFrame, changes: DataFrame, asset_t
     )
 
 
-def orphan_counts(orphans: DataFrame) -> DataFrame:
-    """Orphans per source vault and month."""
-    return orphans.groupBy("vault", "period").agg(F.count(F.lit(1)).alias("n_orphans"))
+def orphan_counts(links: DataFrame, files: DataFrame, changes: DataFrame, asset_types: DataFrame) -> DataFrame:
+    """Orphans per source vault and month.  References are pre-aggregated per key, vault, period and moment, so
+    what is split, checked and shuffled are counts, not references."""
+    vault, period = vault_of(F.col("source")).alias("vault"), utc_month(F.col("at")).alias("period")
+    counted = (
+        note_references(links, files, asset_types)
+        .groupBy("kind", "key", vault, period, "at")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    keys = target_keys(live_targets(files, changes))
+    return orphan_references(counted, keys).groupBy("vault", "period").agg(F.sum("n").alias("n_orphans"))

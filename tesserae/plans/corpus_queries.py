@@ -33,7 +33,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_counts(_orphans(spark, d))
+    return orphans.orphan_counts(*(load(spark, d, t) for t in ("links", "files", "changes", "asset_types")))
 
 
 def queries():

@@ -59,6 +59,8 @@ class _Compiler:
         self.joins: dict[str, DataFrame] = {}  # sub-plans keyed by `__path`, joined once each
         self.semis: list[DataFrame] = []  # of one column `__path`
         self.inline: set[str] = set()
+        self.dynamic: set[str] = set()
+        self.whole = False
         self.flags = 0
         self.task = query.type == "TASK"
 
@@ -67,8 +69,10 @@ class _Compiler:
     def direct(self, name: str) -> Column:
         return F.col(f"f_{DIRECT[name]}")
 
-    def variant(self, name: str) -> Column:
-        return F.try_variant_get(F.col("__fm"), f"$.{name}", "variant")
+    def parts(self, name: str) -> Column:
+        """A frontmatter field, taken from the parsed object once per row."""
+        self.dynamic.add(name)
+        return F.col("__fields")[name]
 
     def inline_text(self, name: str) -> Column:
         self.inline.add(name.lower())
@@ -126,9 +130,9 @@ class _Compiler:
         if name in ARRAYS:
             return T.of_text(F.to_json(self.array(name)))
         if name == "file.frontmatter":
-            return T.of_text(F.coalesce(F.to_json("__fm"), F.lit("{}")))
+            return T.of_text(F.coalesce("f_frontmatter", F.lit("{}")))
         self.check(name)
-        return T.either(T.of_variant(self.variant(name)), T.of_text(self.inline_text(name)))
+        return T.either(T.of_parts(self.parts(name)), T.of_text(self.inline_text(name)))
 
     def check(self, name: str) -> None:
         if not _NAME.match(name):
@@ -217,7 +221,8 @@ class _Compiler:
         if name == "file.frontmatter":
             return self.key_count() > 0
         self.check(name)
-        return T.truthy(self.variant(name), self.inline_text(name))
+        parts = self.parts(name)
+        return T.truthy(T.of_parts(parts), parts, self.inline_text(name))
 
     def is_null(self, e: S.IsNull) -> Column:
         if e.field == "file.frontmatter":
@@ -286,8 +291,12 @@ class _Compiler:
         f = self.c.files
         cols = [c for c in (*DIRECT.values(), "frontmatter") if c in f.columns]
         df = f.select(*(F.col(c).alias(f"f_{c}") for c in cols))
-        is_object = F.ltrim("f_frontmatter").startswith("{")
-        df = df.withColumn("__fm", F.when(is_object, F.try_parse_json("f_frontmatter")))
+        if self.dynamic or self.whole:
+            is_object = F.ltrim("f_frontmatter").startswith("{")
+            df = df.withColumn("__fm", T.once(F.when(is_object, F.try_parse_json("f_frontmatter"))))
+        if self.dynamic:
+            fields = [T.json_parts(F.try_variant_get("__fm", f"$.{n}", "variant")).alias(n) for n in sorted(self.dynamic)]
+            df = df.withColumn("__fields", T.once(F.struct(*fields)))
         if self.task:
             t = self.c.tasks.select(*(F.col(c).alias(f"k_{c}") for c in ("file_path", "line_number", "status", "text", "due_date")))
             df = t.join(df, F.col("k_file_path") == F.col("f_path"))
@@ -350,6 +359,7 @@ class _Compiler:
         if f in ARRAYS:
             return self.array(f)
         if f == "file.frontmatter":
+            self.whole = True
             values = F.map_values(F.try_variant_get("__fm", "$", "map<string,variant>"))
             return F.transform(values, lambda v: T.of_variant(v).text())
         raise S.DqlSyntaxError(f"FLATTEN needs an array, {f} is a single value")
