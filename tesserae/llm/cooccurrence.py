@@ -2,8 +2,8 @@
 
 State (written tables): the baskets, the marginal count of every item, and the counts of pairs,
 hash-bucketed by pair.  An update takes the new contents of changed baskets; each emits signed deltas
-(+1 for what it now holds, -1 for what it held), which are summed before the merge, so parts of a
-basket that did not change cancel out.  Only items with at least ``min_support`` baskets have their
+(+1 for a pair it now holds, -1 for one it held), which are summed before the merge; pairs that did not
+change emit nothing.  Only items with at least ``min_support`` baskets have their
 pairs counted: a pair cannot occur more often than its rarer item.  An item that reaches the support
 is counted from the baskets that hold it, one that falls below loses its pairs.  Both are exact.
 
@@ -53,38 +53,38 @@ class PairTable:
     buckets: int
 
 
-def _weighted_pairs(rows: DataFrame, need_fresh: bool = False) -> DataFrame:
-    """``(item_a, item_b, n)`` of signed rows ``(basket, item, sign, fresh)``; with ``need_fresh`` only
-    pairs in which an item is fresh, else only pairs in which none is."""
-    size = rows.groupBy("basket", "sign").agg(F.count(F.lit(1)).alias("size"))
-    narrow_keys = size.filter(F.col("size").between(2, WIDE)).select("basket", "sign")
-    wide_keys = size.filter(F.col("size") > WIDE).select("basket", "sign")
+def _delta() -> Column:
+    """What a basket adds to the count of its pair ``x, y``.  A pair with a fresh item was not counted before,
+    so all its present occurrences are new; any other pair gives the difference of now and before."""
+    now = (F.col("x.now") & F.col("y.now")).cast("bigint")
+    was = (F.col("x.was") & F.col("y.was")).cast("bigint")
+    return F.when(F.col("x.fresh") | F.col("y.fresh"), now).otherwise(now - was)
+
+
+def _pair_deltas(rows: DataFrame) -> DataFrame:
+    """``(item_a, item_b, n)``, n not 0, of rows ``(basket, item, was, now, fresh)``."""
+    sizes = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    sized = rows.join(sizes, "basket")
+    entry = F.struct("item", "was", "now", "fresh")
     sets = (
-        rows.join(narrow_keys, ["basket", "sign"], "left_semi")
-        .groupBy("basket", "sign")
-        .agg(F.sort_array(F.collect_list(F.struct("item", "fresh"))).alias("s"))  # at most WIDE entries
+        sized.filter(F.col("size") <= WIDE)
+        .groupBy("basket")
+        .agg(F.sort_array(F.collect_list(entry)).alias("s"))  # at most WIDE entries
         .groupBy("s")
-        .agg(F.sum("sign").alias("w"))
-        .filter("w <> 0")
-    )
-    firsts = sets.select("w", F.posexplode("s").alias("i", "x"), "s")
-    seconds = firsts.select("w", "x", F.explode(F.slice(F.col("s"), F.col("i") + 2, F.size("s"))).alias("y"))
-    narrow = seconds.filter(_wanted(need_fresh)).select(
-        F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), "w"
+        .agg(F.count(F.lit(1)).alias("w"))
     )
-    wide = rows.join(wide_keys, ["basket", "sign"], "left_semi")
-    x = wide.select("basket", "sign", F.struct("item", "fresh").alias("x"))
-    y = wide.select("basket", "sign", F.struct("item", "fresh").alias("y"))
-    from_wide = (
-        x.join(y, ["basket", "sign"]).filter(F.col("x.item") < F.col("y.item")).filter(_wanted(need_fresh))
-        .select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), F.col("sign").cast("bigint").alias("w"))
+    firsts = sets.select("w", "s", F.posexplode("s").alias("i", "x"))
+    narrow = firsts.select("w", "x", F.explode(F.slice(F.col("s"), F.col("i") + 2, F.size("s"))).alias("y"))
+    wide = sized.filter(F.col("size") > WIDE)
+    other = wide.select("basket", entry.alias("y"))
+    from_wide = wide.select("basket", entry.alias("x")).join(other, "basket").filter(F.col("x.item") < F.col("y.item"))
+    pairs = narrow.select("x", "y", "w").unionByName(from_wide.select("x", "y", F.lit(1).cast("bigint").alias("w")))
+    return (
+        pairs.select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), (_delta() * F.col("w")).alias("n"))
+        .filter("n <> 0")
+        .groupBy("item_a", "item_b")
+        .agg(F.sum("n").alias("n"))
     )
-    return narrow.unionByName(from_wide).groupBy("item_a", "item_b").agg(F.sum("w").alias("n"))
-
-
-def _wanted(need_fresh: bool) -> Column:
-    fresh = F.col("x.fresh") | F.col("y.fresh")
-    return fresh if need_fresh else ~fresh
 
 
 def empty_table(like: DataFrame, min_support: int = 5, buckets: int | None = None) -> PairTable:
@@ -102,24 +102,21 @@ def empty_table(like: DataFrame, min_support: int = 5, buckets: int | None = Non
 def update(state: PairTable, changed: DataFrame, removed: DataFrame | None = None) -> PairTable:
     """Merge baskets: ``changed`` has the whole new contents ``(basket, item)`` of every changed basket,
     ``removed`` the keys of deleted ones."""
-    new = cut(changed.select("basket", "item").distinct(), "pairs-changed")
-    touched = new.select("basket")
+    new = changed.select("basket", "item", F.lit(True).alias("now"))
+    touched = changed.select("basket")
     if removed is not None:
         touched = touched.unionByName(removed.select("basket"))
     touched = touched.distinct()
-    old = state.baskets.join(touched, "basket", "left_semi")
+    old = state.baskets.join(touched, "basket", "left_semi").select("basket", "item", F.lit(False).alias("now"))
     kept = state.baskets.join(touched, "basket", "left_anti")
-    baskets = cut(kept.unionByName(new), "pairs-baskets")
-
-    # what did not change in a basket cancels out before anything is multiplied into pairs
-    net = (
-        new.withColumn("sign", F.lit(1))
-        .unionByName(old.withColumn("sign", F.lit(-1)))
+    held = (~F.col("now")).cast("int")
+    net = cut(
+        new.unionByName(old).groupBy("basket", "item").agg(F.max("now").alias("now"), (F.max(held) == 1).alias("was")), "pairs-net"
     )
-    moved = net.groupBy("basket", "item").agg(F.sum("sign").alias("s")).filter("s <> 0")
+    moved = net.filter("now <> was")
     marginals = cut(
         state.marginals.select("item", "n", F.lit(0).cast("bigint").alias("d"))
-        .unionByName(moved.select("item", F.lit(0).cast("bigint").alias("n"), F.col("s").cast("bigint").alias("d")))
+        .unionByName(moved.select("item", F.lit(0).cast("bigint").alias("n"), F.when(F.col("now"), 1).otherwise(-1).cast("bigint").alias("d")))
         .groupBy("item")
         .agg(F.sum("n").alias("before"), F.sum(F.col("n") + F.col("d")).alias("n"))
         .filter("n > 0 OR before > 0"),
@@ -127,17 +124,10 @@ def update(state: PairTable, changed: DataFrame, removed: DataFrame | None = Non
     )
     s = state.min_support
     counted = marginals.filter(F.col("n") >= s).select("item", (F.col("before") < s).alias("fresh"))
-
-    # pairs of items that were counted before: signed deltas of the baskets that really changed
-    dirty = moved.select("basket").distinct()
-    deltas = _weighted_pairs(
-        net.join(dirty, "basket", "left_semi").join(counted.filter("NOT fresh"), "item")
-    )
-    # pairs with an item that has just reached the support: counted from the baskets that hold it
-    fresh_baskets = baskets.join(counted.filter("fresh"), "item", "left_semi").select("basket").distinct()
-    filled = _weighted_pairs(
-        baskets.join(fresh_baskets, "basket", "left_semi").withColumn("sign", F.lit(1)).join(counted, "item"), True
-    )
+    baskets = cut(kept.select("basket", "item", F.lit(True).alias("now"), F.lit(True).alias("was")).unionByName(net), "pairs-baskets")
+    # baskets that changed, and those that hold an item which has just reached the support
+    affected = moved.select("basket").unionByName(baskets.join(counted.filter("fresh"), "item", "left_semi").select("basket")).distinct()
+    deltas = _pair_deltas(baskets.join(affected, "basket", "left_semi").join(counted, "item"))
     still = counted.select("item")
     before = (
         state.pairs.join(still.withColumnRenamed("item", "item_a"), "item_a", "left_semi")
@@ -146,13 +136,13 @@ def update(state: PairTable, changed: DataFrame, removed: DataFrame | None = Non
     )
     pairs = (
         before.unionByName(deltas)
-        .unionByName(filled)
         .groupBy("item_a", "item_b")
         .agg(F.sum("n").alias("n"))
         .filter("n > 0")
         .select(F.pmod(F.xxhash64("item_a", "item_b"), F.lit(state.buckets)).cast("int").alias("bucket"), "item_a", "item_b", "n")
     )
-    n_baskets = baskets.agg(F.count_distinct("basket")).first()[0]
+    baskets = baskets.filter("now").select("basket", "item")
+    n_baskets = baskets.select("basket").distinct().count()
     return PairTable(
         baskets, marginals.filter("n > 0").select("item", "n"), cut(pairs, "pairs-counts"), n_baskets, s, state.buckets
     )
