@@ -11,13 +11,14 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import keys as K
+from ..runtime import cut
 
 # fixed patterns of the note syntax
 WIKILINK = re.compile(r"(!?)\[\[([^\[\]]+?)\]\]")
@@ -32,7 +33,10 @@ FIELD_BRACKET = re.compile(r"\[([A-Za-z0-9_]+)::\s*([^\[\]]*)\]")
 FIELD_PAREN = re.compile(r"\(([A-Za-z0-9_]+)::\s*([^()]*)\)")
 
 
-class _Yaml(yaml.SafeLoader):
+_Loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
+class _Yaml(_Loader):
     """YAML in which only true/false are booleans, and the last of equal keys counts."""
 
 
@@ -236,20 +240,27 @@ def frontmatter_tags(fm: dict) -> list[str]:
 _FIELDS = [f.split()[0] for f in model.NODE.split(", ")]
 _NODE_STRUCT = "struct<" + ",".join(f"{a}:{b}" for a, b in (f.split() for f in model.NODE.split(", "))) + ">"
 PARSED = f"path string, frontmatter string, fm_tags array<string>, nodes array<{_NODE_STRUCT}>"
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+_NODES = pa.list_(pa.struct([(a, _ARROW[b]) for a, b in (f.split() for f in model.NODE.split(", "))]))
 
 
 def parse_notes(notes: DataFrame) -> DataFrame:
     """``path, frontmatter, fm_tags, nodes`` of ``(path, content)``; a null content is an empty note."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, text in zip(b["path"], b["content"]):
-                fm, nodes = parse(text or "")
-                rows.append((path, json.dumps(fm, ensure_ascii=False), frontmatter_tags(fm), [{k: x.get(k) for k in _FIELDS} for x in nodes]))
-            yield pd.DataFrame(rows, columns=["path", "frontmatter", "fm_tags", "nodes"])
+            parsed = [parse(t or "") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.array([json.dumps(fm, ensure_ascii=False) for fm, _ in parsed], pa.string()),
+                    pa.array([frontmatter_tags(fm) for fm, _ in parsed], pa.list_(pa.string())),
+                    pa.array([nodes for _, nodes in parsed], _NODES),
+                ],
+                ["path", "frontmatter", "fm_tags", "nodes"],
+            )
 
-    return notes.select("path", "content").mapInPandas(run, PARSED)
+    return notes.select("path", "content").mapInArrow(run, PARSED)
 
 
 def file_columns(df: DataFrame) -> DataFrame:
@@ -306,8 +317,9 @@ def tables_of(parsed: DataFrame) -> dict[str, DataFrame]:
 
 
 def build_tables(notes: DataFrame) -> dict[str, DataFrame]:
-    """All six tables of ``(path, size, mtime, ctime, content)``."""
-    parsed = parse_notes(notes)
+    """All six tables of ``(path, size, mtime, ctime, content)``.  Notes are parsed once: the parsed rows are
+    written to the shared folder, and the tables are read from there."""
+    parsed = cut(parse_notes(notes), "parsed-notes")
     fm = parsed.select("path", "frontmatter")
     cols = [c.split()[0] for c in model.FILES.split(", ")]
     files = file_columns(notes.join(fm, "path")).select(*cols)

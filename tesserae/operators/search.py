@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import typed as T
 from ..plans.dql.syntax import NotIndexed
+from ..runtime import cut
 
 GRAM, SHORTEST = 3, 2
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -37,7 +39,8 @@ def grams(term: str) -> list[str]:
 
 @dataclass
 class GramIndex:
-    """Postings ``(gram, path, tf)`` and lengths ``(path, length)``, with the version of the rule that made them."""
+    """Postings ``(path, gram, tf)`` and lengths ``(path, length)``, written to the shared folder, with the version
+    of the rule that made them."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -46,12 +49,10 @@ class GramIndex:
     @classmethod
     def build(cls, files: DataFrame) -> GramIndex:
         text = F.lower(F.concat_ws("\u0000", "path", "name", "content"))
-        n = F.length("t") - F.lit(GRAM - 1)
-        g = files.select("path", text.alias("t")).filter(F.length("t") >= GRAM).select(
-            "path", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col("t"), i, F.lit(GRAM)))).alias("gram")
-        )
-        postings = g.filter(~F.col("gram").contains("\u0000")).groupBy("gram", "path").agg(F.count(F.lit(1)).alias("tf"))
-        return cls(postings, files.select("path", _length().alias("length")))
+        # overlapping trigrams: an empty match before each of them, by look-ahead
+        g = files.select("path", F.explode(F.regexp_extract_all(text, F.lit("(?s)(?=([^\u0000]{3}))"), F.lit(1))).alias("gram"))
+        postings = g.groupBy("path", "gram").agg(F.count(F.lit(1)).alias("tf"))
+        return cls(cut(postings, "search-postings"), cut(files.select("path", _length().alias("length")), "search-lengths"))
 
     def checked(self) -> GramIndex:
         if self.version != INDEX_VERSION:
@@ -71,11 +72,6 @@ def _length() -> Column:
     return part("path") + part("name") + part("content")
 
 
-def _occurrences(term: str) -> Column:
-    text = F.lower(F.concat_ws("\u0000", "path", "name", "content"))
-    return F.regexp_count(text, F.lit("(?=" + _quoted(term.lower()) + ")"))
-
-
 def _quoted(s: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", s, flags=re.A) if s.isascii() else "".join("\\" + c if c.isascii() and not c.isalnum() and not c.isspace() else c for c in s)
 
@@ -119,22 +115,27 @@ def like_search(files: DataFrame, terms: list[str]) -> DataFrame:
 
 def ranked(files: DataFrame, phrases: list[str], all_of: bool, show: list[str], index: GramIndex | None = None) -> DataFrame:
     """``path, name, snippet, score``: BM25, best first.  Statistics cover all files; scores only the matching."""
-    tf = {f"tf{i}": _occurrences(p) for i, p in enumerate(phrases)}
+    low = [p.lower() for p in phrases]
     scan = files
     if index is not None:
-        scan = files.join(index.checked().candidates([grams(p.lower()) for p in phrases], all_of), "path", "left_semi")
-    counts = scan.select(*(c.alias(n) for n, c in tf.items())).agg(*(F.sum((F.col(n) > 0).cast("bigint")).alias(n) for n in tf)).first()
+        scan = files.join(index.checked().candidates([grams(p) for p in low], all_of), "path", "left_semi")
+    # the folded text is made once per row; the optimizer would else copy it into every condition and count
+    text = T.once(F.lower(F.concat_ws("\u0000", "path", "name", "content"))).alias("__text")
+    scan = scan.select("path", "name", "content", text)
+    held = [F.col("__text").contains(p) for p in low]
+    counts = scan.agg(*(F.sum(h.cast("bigint")).alias(f"n{i}") for i, h in enumerate(held))).first()
     lengths = index.lengths if index is not None else files.select(_length().alias("length"))
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
-    df = scan.select("path", "name", "content", _length().alias("len"), *(c.alias(n) for n, c in tf.items()))
     hit, score = None, F.lit(0.0)
-    for n in tf:
-        held = counts[n] or 0
-        idf = max(LEAST_IDF, math.log((size.n - held + 0.5) / (held + 0.5))) if size.n else LEAST_IDF
-        c = F.col(n)
-        hit = c > 0 if hit is None else (hit & (c > 0) if all_of else hit | (c > 0))
-        score = score + F.lit(idf) * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("len") / F.lit(float(size.avg or 1.0))))
-    return df.filter(hit).select("path", "name", snippet(show).alias("snippet"), score.alias("score")).orderBy(F.desc("score"), "path")
+    for h in held:
+        hit = h if hit is None else (hit & h if all_of else hit | h)
+    for i, p in enumerate(low):
+        n = counts[f"n{i}"] or 0
+        idf = max(LEAST_IDF, math.log((size.n - n + 0.5) / (n + 0.5))) if size.n else LEAST_IDF
+        c = F.regexp_count("__text", F.lit("(?=" + _quoted(p) + ")"))  # overlapping occurrences
+        score = score + F.lit(idf) * c * (K1 + 1) / (c + K1 * (1 - B + B * _length() / F.lit(float(size.avg or 1.0))))
+    out = scan.filter(hit).select("path", "name", snippet(show).alias("snippet"), score.alias("score"))
+    return out.orderBy(F.desc("score"), "path")
 
 
 def search(files: DataFrame, text: str, index: GramIndex | None = None, with_score: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..functions import keys as K
 from ..operators import actions, events, lint, meta, parse, recall, scan
-from ..runtime import load, vault_of
+from ..runtime import load, spread, vault_of
 from .vault_queries import _FOLDER, _TAG_AREA, _WITH, catalog
 
 
@@ -188,7 +188,7 @@ def src5_build(spark, d):
 
 
 def _generated(spark, d) -> dict[str, DataFrame]:
-    part = load(spark, d, "part")
+    part = spread(load(spark, d, "part"))
     text = F.concat(
         F.lit("---\ntitle: "), F.col("p_partkey"), F.lit("\nsize: "), F.col("p_size"), F.lit("\ntags: [t"), F.col("p_size"), F.lit(", part/x]\n---\n# Part\n\n"),
         F.lit("See [[Makers/"), F.col("p_partkey"), F.lit("#Use|it]] and ![[pic.png]] but `[[not]]` #kind/k"), F.col("p_size"), F.lit("\n"),

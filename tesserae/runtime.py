@@ -83,6 +83,13 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over all cores where its files give fewer tasks (a small table in one file); a table of
+    many files stays as it is.  Only for plain scans: the number of their partitions is known without a job."""
+    n, want = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df if n >= want else df.repartition(want)
+
+
 def utc_month(ms):
     """``YYYY-MM`` of an epoch-millisecond column, whatever the session's time zone."""
     days = F.floor(ms / F.lit(86_400_000)).cast("int")
