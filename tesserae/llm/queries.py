@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import load
+from ..runtime import load, spread
 from . import abuse, cooccurrence, neardup, packing, splitting, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,23 +40,27 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.similar_pairs(load(spark, d, "files")).select(
+    return neardup.similar_pairs(spread(load(spark, d, "files").select("path", "content"))).select(
         F.col("key_a").alias("path_a"), F.col("key_b").alias("path_b")
     )
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(load(spark, d, "files")).select(
+    return neardup.groups(spread(load(spark, d, "files").select("path", "content"))).select(
         F.col("key").alias("path"), F.col("group_key").alias("group_path"), "n_links"
     )
 
 
+def _documents(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return spread(load(spark, d, "documents").select("doc_id", "text", *more))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_corpus(load(spark, d, "documents"))
+    return tokens.encode_corpus(_documents(spark, d))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(tokens.token_counts(load(spark, d, "documents")))
+    return packing.pack(tokens.token_counts(_documents(spark, d)))
 
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +72,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    documents = load(spark, d, "documents")
+    documents = _documents(spark, d, "source", "page_id")
     model = abuse.fit(*abuse.labelled_words(documents, load(spark, d, "review_labels")))
     return abuse.score(documents, model)
 
