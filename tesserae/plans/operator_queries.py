@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import keys as K
 from ..operators import actions, events, lint, meta, parse, recall, scan
-from ..runtime import load, spread, vault_of
+from ..runtime import load, shared_dir, spread, vault_of
+from ..sources import notes
 from .vault_queries import _FOLDER, _TAG_AREA, _WITH, catalog
 
 
@@ -184,6 +188,50 @@ def src5_build(spark, d):
     return out
 
 
+def snk2_upsert(spark, d):
+    """The notes of one vault are parsed and merged again: nothing is lost or doubled."""
+    c = catalog(spark, d)
+    again = c.files.filter(vault_of(F.col("path")) == "commons").select("path", "size", "mtime", "ctime", "content")
+    f = scan.upsert(c, again).files
+    return f.groupBy(vault_of(F.col("path")).alias("vault")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("content")).alias("n_chars"))
+
+
+def src1_notes(spark, d):
+    """All notes written as files below the shared folder, then listed and read by the note source."""
+    root = f"{shared_dir(spark).removeprefix('file://')}/notes-{uuid.uuid4().hex}"
+    files = catalog(spark, d).files.select("path", F.coalesce("content", F.lit("")).alias("content"))
+
+    def write(batches):
+        for b in batches:
+            for path, text in zip(b["path"], b["content"]):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield b[["path"]]
+
+    files.mapInPandas(write, "path string").agg(F.count(F.lit(1))).collect()
+    read = notes.notes(spark, root)
+    return read.select("path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+def str1_stream(spark, d):
+    """Change events as a stream: each batch is appended to a table, whose events are then folded."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = load(spark, d, "changes").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 50).parquet(f"{d}/changes.parquet*")
+    picked = stream.dropDuplicates(["change_id"]).select("path", "type", "mtime", "size", F.col("change_id").alias("seq"))
+    query = (
+        picked.writeStream.outputMode("append")
+        .option("checkpointLocation", path + "-log")
+        .trigger(availableNow=True)
+        .foreachBatch(lambda df, i: df.write.mode("append").parquet(path) and None)
+        .start()
+    )
+    query.awaitTermination()
+    return events.fold(spark.read.schema(picked.schema).parquet(path)).select("path", "type", "mtime", "size")
+
+
 # ---- notes generated from the trade tables, parsed, and compared with the columns they came from ------------
 
 
@@ -312,6 +360,9 @@ REGISTERED = {
         UNION ALL SELECT 'tasks', count(*) FROM k WHERE file_path NOT IN (SELECT path FROM g)
         UNION ALL SELECT 'links', count(*) FROM l WHERE source NOT IN (SELECT path FROM g)"""),
     "src5_build": (src5_build, None),
+    "snk2_upsert": (snk2_upsert, f"{_WITH} SELECT split_part(path, '/', 1) AS vault, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM f GROUP BY 1"),
+    "src1_notes": (src1_notes, f"{_WITH} SELECT path, CAST(octet_length(encode(coalesce(content, ''))) AS BIGINT) AS size, sha256(coalesce(content, '')) AS sha256 FROM f"),
+    "str1_stream": (str1_stream, _FOLD),
     "par1_frontmatter": (par1_frontmatter, f"SELECT {_PATH} AS path, CAST(p_partkey AS VARCHAR) AS name, 'parts' AS folder, CAST(p_size AS VARCHAR) AS size FROM part"),
     "par3_links": (par3_links, f"""SELECT {_PATH} AS source, 'Makers/' || p_partkey AS target, CAST(p_partkey AS VARCHAR) AS target_key, 'makers/' || p_partkey AS target_path_key, 'it' AS alias, 'Use' AS heading, false AS is_embed FROM part
         UNION ALL SELECT {_PATH}, 'pic.png', 'pic', NULL, NULL, NULL, true FROM part"""),
