@@ -41,6 +41,8 @@ SLOTS, SHAPES = 64, 64
 ALIKE = 0.5
 #: A table of more columns than this is refused; it would be no template but free text as field names.
 MAX_COLUMNS = 5_000
+#: Fields outside all templates that have a column of their own; what is beyond them stands in the column ``other``.
+FREE_COLUMNS = 500
 
 
 def json_type(v: Column) -> Column:
@@ -247,10 +249,18 @@ def drift_steps(files: DataFrame) -> DataFrame:
     return rows.groupBy("vault").applyInPandas(_steps_of_vault, STEPS)
 
 
-def meanings(steps: DataFrame, fields: DataFrame) -> tuple[dict[str, list[str]], dict[str, str]]:
+def carried(notes: DataFrame) -> DataFrame:
+    """``(field, n, type)`` of every field that any note carries, with the type of most of its values."""
+    typed = fields_of(notes).groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"))
+    most = typed.groupBy("field").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("neg"), "type")).alias("m"))
+    return most.select("field", "n", F.col("m.type").alias("type"))
+
+
+def meanings(steps: DataFrame, fields: DataFrame, carried: DataFrame | None = None) -> tuple[dict[str, list[str]], dict[str, str]]:
     """(column -> its names, most used first; column -> its type).  Names that the vaults renamed into one
     another, at least twice or under similar names, are one meaning.  It becomes a table schema, so it is
-    collected: one row per pair of names, refused beyond ``MAX_COLUMNS``."""
+    collected: one row per pair of names, refused beyond ``MAX_COLUMNS``.  Of the fields outside all templates
+    (``carried``), the ``FREE_COLUMNS`` that most notes carry have a column of their own."""
     use = fields.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n")).limit(MAX_COLUMNS * 5 + 1).collect()
     if len({r.field for r in use}) > MAX_COLUMNS:
         raise ValueError(f"templates have more than {MAX_COLUMNS} field names")
@@ -287,6 +297,10 @@ def meanings(steps: DataFrame, fields: DataFrame) -> tuple[dict[str, list[str]],
                 of[r.type] = of.get(r.type, 0) + r.n
         columns[group[0]] = group
         kinds[group[0]] = min(of, key=lambda t: (-of[t], t))
+    if carried is not None:
+        free = carried.join(fields.select("field").distinct(), "field", "left_anti").orderBy(F.desc("n"), "field").limit(FREE_COLUMNS)
+        for r in free.collect():
+            columns[r.field], kinds[r.field] = [r.field], r.type
     return columns, kinds
 
 
@@ -303,7 +317,7 @@ def cast_value(parts: Column, to: str) -> Column:
     if to == "array":
         return F.when(kind == "[", F.from_json(j, "array<string>")).otherwise(F.split(text, r"\s*,\s*"))
     if to == "object":
-        return F.when(kind == "{", j).otherwise(F.to_json(F.struct(text.alias("value"))))
+        return F.when(kind == "{", j).when(j.isNotNull(), F.to_json(F.struct(text.alias("value"))))
     return F.when(kind == "[", F.array_join(F.from_json(j, "array<string>"), ", ")).otherwise(text)
 
 
@@ -314,30 +328,65 @@ def _type_of(j: Column) -> Column:
     )
 
 
-def unify(files: DataFrame, steps: DataFrame, fields: DataFrame) -> DataFrame:
-    """``path, vault, month``, one column per meaning, and ``applied``: the rename and cast rules each note
-    went through.  A column absent from a note is null by default.  Narrow: no shuffle after the notes' own."""
-    columns, kinds = meanings(steps, fields)
-    names = sorted({n for group in columns.values() for n in group})
-    at = {n: f"n{i}" for i, n in enumerate(names)}
-    notes = dated_notes(files)
-    if not names:
-        return notes.select("path", "vault", "month", F.array().cast("array<string>").alias("applied"))
-    read = [json_parts(F.try_variant_get("v", '$["' + n.replace('"', '\\"') + '"]', "variant")).alias(at[n]) for n in names]
-    notes = notes.withColumn("f", once(F.struct(*read)))
-    chosen = []
-    for c, group in columns.items():
-        pick, name = F.lit(None).cast("struct<json:string,text:string>"), F.lit(None).cast("string")
-        for n in reversed(group):
-            has = F.col("f")[at[n]]["json"] != "null"
-            pick, name = F.when(has, F.col("f")[at[n]]).otherwise(pick), F.when(has, F.lit(n)).otherwise(name)
-        chosen.append(F.struct(pick.alias("p"), name.alias("name")).alias(at[c]))
-    notes = notes.withColumn("g", once(F.struct(*chosen)))
-    out, applied = [], []
+def _column_names(columns: list[str]) -> dict[str, str]:
+    """Column -> its name in the table.  Spark compares column names without case: those that differ in case only are numbered."""
+    out: dict[str, str] = {}
+    taken: set[str] = set()
     for c in sorted(columns):
-        g = F.col("g")[at[c]]
-        out.append(cast_value(g["p"], kinds[c]).alias(f"field_{c}"))
-        applied.append(F.when(g["name"] != c, F.concat(F.lit("rename "), g["name"], F.lit(f" to {c}"))))
-        was = _type_of(g["p"]["json"])
-        applied.append(F.when(g["name"].isNotNull() & (was != kinds[c]), F.concat(F.lit(f"cast {c} from "), was, F.lit(f" to {kinds[c]}"))))
-    return notes.select("path", "vault", "month", *out, F.array_compact(F.array(*applied)).alias("applied"))
+        name, k = f"field_{c}", 1
+        while name.lower() in taken:
+            k += 1
+            name = f"field_{c}_{k}"
+        taken.add(name.lower())
+        out[c] = name
+    return out
+
+
+def unify(files: DataFrame, steps: DataFrame, fields: DataFrame) -> DataFrame:
+    """``path, vault, month``, one column per meaning, ``other`` and ``applied``: the rules each note went
+    through.  A column absent from a note is null by default.  ``other`` holds, by name and as JSON, what
+    no column holds: fields without a column, the further values of a note that carries several names of
+    one column, and values that cannot be read as the type of their column."""
+    notes = cut(dated_notes(files).withColumn("v", F.to_json("v")), "unify-notes").withColumn("v", F.try_parse_json("v"))
+    columns, kinds = meanings(steps, fields, carried(notes))
+    ranked = {n: (c, i) for c, group in columns.items() for i, n in enumerate(group)}
+    pairs = [x for n, (c, i) in ranked.items() for x in (F.lit(n), F.struct(F.lit(c).alias("col"), F.lit(i).alias("rank")))]
+    known = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,struct<col:string,rank:int>>")
+
+    def entry(e: Column) -> Column:
+        parts, to = json_parts(e["value"]), F.try_element_at(known, e["key"])
+        return F.struct(to["col"].alias("col"), to["rank"].alias("rank"), e["key"].alias("name"), parts["json"].alias("json"), parts["text"].alias("text"))
+
+    # the entries of a note by column, its best name first
+    read = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), entry)
+    read = F.array_sort(F.filter(read, lambda e: e["json"] != "null"))
+    notes = notes.withColumn("e", once(F.coalesce(read, F.array().cast("array<struct<col:string,rank:int,name:string,json:string,text:string>>"))))
+    first = lambda e, i: e["col"].isNotNull() & ((i == 0) | ~F.get(F.col("e"), i - 1)["col"].eqNullSafe(e["col"]))
+    best = F.map_from_entries(F.transform(F.filter("e", first), lambda e: F.struct(e["col"], e)))
+    rest = F.filter("e", lambda e, i: ~first(e, i))
+    notes = notes.withColumn("g", once(F.struct(best.alias("best"), rest.alias("rest"))))
+    order = sorted(columns)
+    at = {c: f"c{i}" for i, c in enumerate(order)}
+    pick = {c: F.try_element_at(F.col("g.best"), F.lit(c)) for c in order}
+    if order:
+        notes = notes.withColumn("p", once(F.struct(*(pick[c].alias(at[c]) for c in order))))
+        notes = notes.withColumn("c", once(F.struct(*(cast_value(F.col("p")[at[c]], kinds[c]).alias(at[c]) for c in order))))
+    shown = _column_names(order)
+    out, applied, unread = [], [], []
+    for c in order:
+        p = F.col("p")[at[c]]
+        value = F.col("c")[at[c]]
+        out.append(value.alias(shown[c]))
+        applied.append(F.when(p["name"] != c, F.concat(F.lit("rename "), p["name"], F.lit(f" to {c}"))))
+        was = _type_of(p["json"])
+        applied.append(F.when(p["name"].isNotNull() & (was != kinds[c]), F.concat(F.lit(f"cast {c} from "), was, F.lit(f" to {kinds[c]}"))))
+        unread.append(F.when(p["name"].isNotNull() & value.isNull(), F.struct(p["name"].alias("name"), p["json"].alias("json"))))
+    kept = F.transform("g.rest", lambda e: F.struct(e["name"].alias("name"), e["json"].alias("json")))
+    said = F.transform(
+        "g.rest", lambda e: F.when(e["col"].isNull(), F.concat(F.lit("other "), e["name"])).otherwise(F.concat(F.lit("conflict "), e["name"], F.lit(" in "), e["col"]))
+    )
+    if order:
+        kept = F.concat(kept, F.array_compact(F.array(*unread)))
+        said = F.concat(F.array_compact(F.array(*applied)), said)
+    other = F.when(F.size(kept) > 0, F.map_from_entries(kept))
+    return notes.select("path", "vault", "month", *out, other.alias("other"), said.alias("applied"))

@@ -83,3 +83,19 @@ def test_too_many_columns(spark, monkeypatch):
     fields = spark.createDataFrame([("a", "2024-01", "x", "string"), ("a", "2024-01", "y", "string")], "vault string, month string, field string, type string")
     with pytest.raises(ValueError):
         drift.meanings(spark.createDataFrame([], drift.STEPS), fields)
+
+
+def test_table_keeps_fields_outside_templates(spark, monkeypatch):
+    rows = month("a", "2024-01", '{"t":"x","rare":1,"T":"y"}', '{"t":"y","rare":2}', '{"t":"z","odd":{"k":[1]}}', '{"t":"x"}', '{"t":null}', None)
+    df = files(spark, rows)
+    _, fields = drift.templates(drift.dated_notes(df))
+    none = spark.createDataFrame([], drift.STEPS)
+    for free, rare, odd in ((500, 1.0, None), (0, None, '{"k":[1]}')):
+        monkeypatch.setattr(drift, "FREE_COLUMNS", free)
+        got = {r.path: r.asDict() for r in drift.unify(df, none, fields).collect()}
+        assert len(got) == 6 and got["a/5.md"]["other"] is None
+        assert got["a/0.md"].get("field_rare") == rare and (got["a/2.md"]["other"] or {}).get("odd") == odd
+        if free:
+            assert got["a/5.md"]["field_odd"] is None and got["a/2.md"]["field_odd"] == '{"k":[1]}' and {got["a/0.md"][c] for c in got["a/0.md"] if c.lower().startswith("field_t")} == {"x", "y"}
+        else:
+            assert got["a/0.md"]["other"] == {"rare": "1", "T": '"y"'} and "other rare" in got["a/0.md"]["applied"]
