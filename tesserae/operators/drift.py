@@ -41,6 +41,7 @@ SLOTS, SHAPES = 64, 64
 ALIKE = 0.5
 #: A table of more columns than this is refused; it would be no template but free text as field names.
 MAX_COLUMNS = 5_000
+MAX_PAIRS = 100_000
 #: Fields outside all templates that have a column of their own; what is beyond them stands in the column ``other``.
 FREE_COLUMNS = 500
 
@@ -258,13 +259,16 @@ def carried(notes: DataFrame) -> DataFrame:
 
 def meanings(steps: DataFrame, fields: DataFrame, carried: DataFrame | None = None) -> tuple[dict[str, list[str]], dict[str, str]]:
     """(column -> its names, most used first; column -> its type).  Names that the vaults renamed into one
-    another, at least twice or under similar names, are one meaning.  It becomes a table schema, so it is
-    collected: one row per pair of names, refused beyond ``MAX_COLUMNS``.  Of the fields outside all templates
+    another, at least three times or under similar names, are one meaning in all vaults; any other rename
+    holds in its own vault (:func:`chains`).  It becomes a table schema, so it is collected: one row per pair
+    of names, refused beyond ``MAX_COLUMNS`` names or ``MAX_PAIRS`` pairs.  Of the fields outside all templates
     (``carried``), the ``FREE_COLUMNS`` that most notes carry have a column of their own."""
     use = fields.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n")).limit(MAX_COLUMNS * 5 + 1).collect()
     if len({r.field for r in use}) > MAX_COLUMNS:
         raise ValueError(f"templates have more than {MAX_COLUMNS} field names")
-    pairs = steps.filter("step = 'rename'").groupBy("field_before", "field_after").agg(F.count(F.lit(1)).alias("n")).limit(MAX_COLUMNS * 20).collect()
+    pairs = steps.filter("step = 'rename'").groupBy("field_before", "field_after").agg(F.count(F.lit(1)).alias("n")).limit(MAX_PAIRS + 1).collect()
+    if len(pairs) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of names were renamed")
     count: dict[str, int] = {}
     for r in use:
         count[r.field] = count.get(r.field, 0) + r.n
@@ -304,6 +308,44 @@ def meanings(steps: DataFrame, fields: DataFrame, carried: DataFrame | None = No
     return columns, kinds
 
 
+MOVES = "vault string, month string, moves map<string,string>"
+
+
+def chains(months: DataFrame, steps: DataFrame, known: dict[str, str]) -> DataFrame:
+    """``MOVES`` of every vault and month: name -> column, where the renames that the vault went through after
+    that month lead to another column than ``known`` has for the name.  A chain ends where its field leaves."""
+    marks = months.select("vault", F.col("month").alias("period"), F.lit("month").alias("step"), F.lit("").alias("field_before"), F.lit("").alias("field_after"))
+    of = marks.unionByName(steps.filter("step IN ('rename', 'leave')").select("vault", "period", "step", "field_before", "field_after"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        renamed: dict[str, dict[str, str]] = {}
+        left: dict[str, set[str]] = {}
+        for r in pdf.itertuples(index=False):
+            if r.step == "rename":
+                renamed.setdefault(r.period, {})[r.field_before] = r.field_after
+            elif r.step == "leave":
+                left.setdefault(r.period, set()).add(r.field_before)
+        periods = sorted(renamed.keys() | left.keys())
+        sources = sorted({x for of_period in renamed.values() for x in of_period})
+        rows = []
+        for month in sorted(set(pdf.loc[pdf["step"] == "month", "period"])):
+            moves = {}
+            for x in sources:
+                name = x
+                for p in periods:
+                    if p > month:
+                        if name in renamed.get(p, ()):
+                            name = renamed[p][name]
+                        elif name in left.get(p, ()):
+                            break
+                if name in known and known[name] != known.get(x):
+                    moves[x] = known[name]
+            rows.append((pdf["vault"].iloc[0], month, moves))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in MOVES.split(", ")])
+
+    return of.groupBy("vault").applyInPandas(run, MOVES)
+
+
 def cast_value(parts: Column, to: str) -> Column:
     """A JSON value (see :func:`json_parts`) as the type of its column; null where it cannot be read so."""
     j = parts["json"]
@@ -350,12 +392,16 @@ def unify(files: DataFrame, steps: DataFrame, fields: DataFrame) -> DataFrame:
     notes = cut(dated_notes(files).withColumn("v", F.to_json("v")), "unify-notes").withColumn("v", F.try_parse_json("v"))
     columns, kinds = meanings(steps, fields, carried(notes))
     ranked = {n: (c, i) for c, group in columns.items() for i, n in enumerate(group)}
+    moves = chains(notes.select("vault", "month").distinct(), steps, {n: c for n, (c, _) in ranked.items()})
+    notes = notes.join(moves, ["vault", "month"], "left")
     pairs = [x for n, (c, i) in ranked.items() for x in (F.lit(n), F.struct(F.lit(c).alias("col"), F.lit(i).alias("rank")))]
     known = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,struct<col:string,rank:int>>")
 
     def entry(e: Column) -> Column:
         parts, to = json_parts(e["value"]), F.try_element_at(known, e["key"])
-        return F.struct(to["col"].alias("col"), to["rank"].alias("rank"), e["key"].alias("name"), parts["json"].alias("json"), parts["text"].alias("text"))
+        moved = F.try_element_at("moves", e["key"])
+        rank = F.when(moved.isNull(), to["rank"]).otherwise(MAX_COLUMNS)
+        return F.struct(F.coalesce(moved, to["col"]).alias("col"), rank.alias("rank"), e["key"].alias("name"), parts["json"].alias("json"), parts["text"].alias("text"))
 
     # the entries of a note by column, its best name first
     read = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), entry)

@@ -99,3 +99,21 @@ def test_table_keeps_fields_outside_templates(spark, monkeypatch):
             assert got["a/5.md"]["field_odd"] is None and got["a/2.md"]["field_odd"] == '{"k":[1]}' and {got["a/0.md"][c] for c in got["a/0.md"] if c.lower().startswith("field_t")} == {"x", "y"}
         else:
             assert got["a/0.md"]["other"] == {"rare": "1", "T": '"y"'} and "other rare" in got["a/0.md"]["applied"]
+
+
+def test_a_rename_seen_once_holds_in_its_vault_and_period(spark, monkeypatch):
+    rows = [
+        *month("a", "2024-01", '{"mood":"calm"}', '{"mood":"busy"}'),
+        *month("a", "2024-02", '{"feeling":"calm"}', '{"feeling":"busy"}', '{"feeling":"busy"}', '{"mood":"late"}'),
+        *month("b", "2024-01", '{"mood":"dark"}'),
+    ]
+    df = files(spark, rows)
+    _, fields = drift.templates(drift.dated_notes(df))
+    s = drift.drift_steps(df)
+    assert [(r.field_before, r.field_after) for r in s.collect()] == [("mood", "feeling")]
+    got = {r.path: (r.field_mood, r.field_feeling, r.applied) for r in drift.unify(df, s, fields).collect()}
+    assert got["a/0.md"] == (None, "calm", ["rename mood to feeling"]) and got["a/2.md"] == (None, "calm", [])
+    assert got["a/5.md"] == ("late", None, []) and got["b/6.md"] == ("dark", None, [])
+    monkeypatch.setattr(drift, "MAX_PAIRS", 0)
+    with pytest.raises(ValueError):
+        drift.meanings(s, fields)
