@@ -311,22 +311,34 @@ def meanings(steps: DataFrame, fields: DataFrame, carried: DataFrame | None = No
 MOVES = "vault string, month string, moves map<string,string>"
 
 
-def chains(months: DataFrame, steps: DataFrame, known: dict[str, str]) -> DataFrame:
+def chains(months: DataFrame, fields: DataFrame, steps: DataFrame, known: dict[str, str]) -> DataFrame:
     """``MOVES`` of every vault and month: name -> column, where the renames that the vault went through after
-    that month lead to another column than ``known`` has for the name.  A chain ends where its field leaves."""
-    marks = months.select("vault", F.col("month").alias("period"), F.lit("month").alias("step"), F.lit("").alias("field_before"), F.lit("").alias("field_after"))
-    of = marks.unionByName(steps.filter("step IN ('rename', 'leave')").select("vault", "period", "step", "field_before", "field_after"))
+    that month lead to another column than ``known`` has for the name.  A chain ends where its field leaves.
+
+    Names of one column keep apart (each has the column of its own name) in a vault that shows them to differ:
+    a template has both, or one left as the other, of the same type, entered and their values were unlike."""
+    marks = months.select("vault", F.col("month").alias("period"), F.lit("month").alias("step"), F.lit("").alias("field_before"), F.lit("").alias("field_after"), F.lit("").alias("type"))
+    held = fields.select("vault", F.col("month").alias("period"), F.lit("field").alias("step"), F.col("field").alias("field_before"), F.lit("").alias("field_after"), "type")
+    kind = F.when(F.col("step") == "enter", F.col("type_after")).otherwise(F.col("type_before")).alias("type")
+    of = marks.unionByName(held).unionByName(steps.filter("step <> 'cast'").select("vault", "period", "step", "field_before", "field_after", kind))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         renamed: dict[str, dict[str, str]] = {}
         left: dict[str, set[str]] = {}
+        together: dict[tuple, set[str]] = {}  # names of one column in one template, or that left and entered unmatched
         for r in pdf.itertuples(index=False):
+            name = r.field_after if r.step == "enter" else r.field_before
+            if r.step in ("field", "leave", "enter") and name in known:
+                same = (r.period, "") if r.step == "field" else (r.period, r.type)
+                together.setdefault((*same, known[name]), set()).add(name)
             if r.step == "rename":
                 renamed.setdefault(r.period, {})[r.field_before] = r.field_after
             elif r.step == "leave":
                 left.setdefault(r.period, set()).add(r.field_before)
         periods = sorted(renamed.keys() | left.keys())
-        sources = sorted({x for of_period in renamed.values() for x in of_period})
+        apart = {n for names in together.values() if len(names) > 1 for n in names}
+        to = {n: n if n in apart else c for n, c in known.items()}
+        sources = sorted({x for of_period in renamed.values() for x in of_period} | apart)
         rows = []
         for month in sorted(set(pdf.loc[pdf["step"] == "month", "period"])):
             moves = {}
@@ -338,8 +350,8 @@ def chains(months: DataFrame, steps: DataFrame, known: dict[str, str]) -> DataFr
                             name = renamed[p][name]
                         elif name in left.get(p, ()):
                             break
-                if name in known and known[name] != known.get(x):
-                    moves[x] = known[name]
+                if name in to and to[name] != known.get(x):
+                    moves[x] = to[name]
             rows.append((pdf["vault"].iloc[0], month, moves))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in MOVES.split(", ")])
 
@@ -385,22 +397,29 @@ def _column_names(columns: list[str]) -> dict[str, str]:
 
 
 def unify(files: DataFrame, steps: DataFrame, fields: DataFrame) -> DataFrame:
-    """``path, vault, month``, one column per meaning, ``other`` and ``applied``: the rules each note went
-    through.  A column absent from a note is null by default.  ``other`` holds, by name and as JSON, what
+    """``path, vault, month, version`` (the fingerprint of the template of that vault and month), one column
+    per meaning, ``other`` and ``applied``: the rules of that version that the note went through.  A column absent from a note is null by default.  ``other`` holds, by name and as JSON, what
     no column holds: fields without a column, the further values of a note that carries several names of
     one column, and values that cannot be read as the type of their column."""
     notes = cut(dated_notes(files).withColumn("v", F.to_json("v")), "unify-notes").withColumn("v", F.try_parse_json("v"))
-    columns, kinds = meanings(steps, fields, carried(notes))
+    every = cut(carried(notes), "unify-carried")
+    columns, kinds = meanings(steps, fields, every)
     ranked = {n: (c, i) for c, group in columns.items() for i, n in enumerate(group)}
-    moves = chains(notes.select("vault", "month").distinct(), steps, {n: c for n, (c, _) in ranked.items()})
-    notes = notes.join(moves, ["vault", "month"], "left")
+    moves = cut(chains(notes.select("vault", "month").distinct(), fields, steps, {n: c for n, (c, _) in ranked.items()}), "unify-moves")
+    # names that a vault keeps apart from their column; never more than there are names
+    own = [r.col for r in moves.select(F.explode(F.map_values("moves")).alias("col")).distinct().collect() if r.col not in columns]
+    if own:
+        kinds |= {r.field: r.type for r in every.join(F.broadcast(notes.sparkSession.createDataFrame([(c,) for c in own], "field string")), "field").collect()}
+        columns |= {c: [c] for c in own}
+    fingerprints = versions(fields).select("vault", "month", F.col("fingerprint").alias("version"))
+    notes = notes.join(moves.join(fingerprints, ["vault", "month"], "left"), ["vault", "month"], "left")
     pairs = [x for n, (c, i) in ranked.items() for x in (F.lit(n), F.struct(F.lit(c).alias("col"), F.lit(i).alias("rank")))]
     known = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,struct<col:string,rank:int>>")
 
     def entry(e: Column) -> Column:
         parts, to = json_parts(e["value"]), F.try_element_at(known, e["key"])
         moved = F.try_element_at("moves", e["key"])
-        rank = F.when(moved.isNull(), to["rank"]).otherwise(MAX_COLUMNS)
+        rank = F.when(moved.isNull(), to["rank"]).when(moved == e["key"], 0).otherwise(MAX_COLUMNS)
         return F.struct(F.coalesce(moved, to["col"]).alias("col"), rank.alias("rank"), e["key"].alias("name"), parts["json"].alias("json"), parts["text"].alias("text"))
 
     # the entries of a note by column, its best name first
@@ -435,4 +454,4 @@ def unify(files: DataFrame, steps: DataFrame, fields: DataFrame) -> DataFrame:
         kept = F.concat(kept, F.array_compact(F.array(*unread)))
         said = F.concat(F.array_compact(F.array(*applied)), said)
     other = F.when(F.size(kept) > 0, F.map_from_entries(kept))
-    return notes.select("path", "vault", "month", *out, other.alias("other"), said.alias("applied"))
+    return notes.select("path", "vault", "month", "version", *out, other.alias("other"), said.alias("applied"))

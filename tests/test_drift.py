@@ -117,3 +117,20 @@ def test_a_rename_seen_once_holds_in_its_vault_and_period(spark, monkeypatch):
     monkeypatch.setattr(drift, "MAX_PAIRS", 0)
     with pytest.raises(ValueError):
         drift.meanings(s, fields)
+
+
+def test_names_that_differ_in_a_vault_stay_apart_and_conflicts_are_kept(spark):
+    rows = [
+        *month("a", "2024-01", '{"mood":"calm"}', '{"mood":"busy"}'),
+        *month("a", "2024-02", '{"feeling":"calm"}', '{"feeling":"busy","mood":"old"}', '{"feeling":"calm"}'),
+        *month("c", "2024-01", '{"mood":"dark","feeling":"cold"}', '{"mood":"dark","feeling":"warm"}'),
+    ]
+    df = files(spark, rows)
+    _, fields = drift.templates(drift.dated_notes(df))
+    s = spark.createDataFrame([("a", "2024-02", "rename", "mood", "feeling", "string", "string")] * 3, drift.STEPS)
+    t = {r.path: r for r in drift.unify(df, s, fields).collect()}
+    assert (t["c/5.md"].field_mood, t["c/5.md"].field_feeling) == ("dark", "cold")
+    both = t["a/3.md"]
+    assert {both.field_mood, both.field_feeling, *(both.other or {}).values()} - {None} == {"busy", '"old"'}
+    assert any(x.startswith("conflict mood in ") for x in both.applied)
+    assert t["a/0.md"].version != t["a/2.md"].version == t["a/3.md"].version
