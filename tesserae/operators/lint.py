@@ -23,7 +23,6 @@ from .profiles import BUILTIN
 COLUMNS = [c.split()[0] for c in model.DIAGNOSTIC.split(", ")]
 LINK_RULE, REQUIRED_RULE, ENUM_RULE = "links", "metadata/required-missing", "metadata/enum-invalid"
 EXTERNAL = re.compile(r"^(?:[a-z][a-z0-9+.-]*:|//)", re.I)
-#: Suggestions listed per diagnostic come from one name; a name this common lists none beyond the bound.
 MESSAGES = {
     "not_found": "target does not exist: ",
     "ambiguous_target": "several files have this name: ",
@@ -57,12 +56,8 @@ class TargetIndex:
     names: DataFrame
 
 
-#: Paths kept of those that share a name, to be suggested; ``n`` counts them all.
-SUGGESTED = 50
-
-
 def target_index(all_paths: DataFrame) -> TargetIndex:
-    """From ``(path)`` of every file, notes and assets."""
+    """From ``(path)`` of every file, notes and assets.  ``found`` holds all paths of a name: all are suggested."""
     p = all_paths.select("path").distinct()
     notes = p.filter(F.lower("path").endswith(".md"))
 
@@ -70,9 +65,9 @@ def target_index(all_paths: DataFrame) -> TargetIndex:
         return (
             df.select(key.alias("key"), "path", F.pmod(F.xxhash64("path"), F.lit(64)).alias("salt"))
             .groupBy("key", "salt")
-            .agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set("path")), 1, SUGGESTED).alias("some"))
+            .agg(F.count(F.lit(1)).alias("n"), F.collect_set("path").alias("some"))
             .groupBy("key")
-            .agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, SUGGESTED).alias("found"))
+            .agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("some"))).alias("found"))
         )
 
     return TargetIndex(

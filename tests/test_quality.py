@@ -21,6 +21,13 @@ def test_broken_links(spark):
     assert lint.exit_code(lint.check_links(notes, every)) == 1
 
 
+def test_all_files_of_a_common_name_are_suggested(spark):
+    notes = spark.createDataFrame([("start.md", "[[home]] and [x](none/home.md)")], "path string, content string")
+    every = spark.createDataFrame([("start.md",), *((f"d{i:02d}/home.md",) for i in range(70))], "path string")
+    got = {r.reason: r.suggestions for r in lint.check_links(notes, every).collect()}
+    assert got["ambiguous_target"] == got["not_found"] == [f"d{i:02d}/home.md" for i in range(70)]
+
+
 def test_outside_vault_and_decoding():
     assert lint._resolved_path("a.md", "../x.md") == (None, "outside_vault")
     assert lint._resolved_path("d/a.md", "b%20c.md#h") == ("d/b c.md", None)
