@@ -65,6 +65,13 @@ class GramIndex:
         hits = self.postings.filter(F.col("gram").isin(flat)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
         return (hits.filter(F.col("n") == len(flat)) if all_of else hits).select("path")
 
+    def of_any_term(self, wanted: list[list[str]]) -> DataFrame:
+        """Paths that hold every gram of at least one term: all files that any term occurs in."""
+        flat = list(dict.fromkeys(g for ts in wanted for g in ts))
+        held = [F.sum(F.col("gram").isin(ts).cast("int")).alias(f"t{i}") for i, ts in enumerate(wanted)]
+        full = " OR ".join(f"t{i} = {len(ts)}" for i, ts in enumerate(wanted))
+        return self.postings.filter(F.col("gram").isin(flat)).groupBy("path").agg(*held).filter(full).select("path")
+
 
 def _length() -> Column:
     """Trigrams of a file over its columns."""
@@ -116,14 +123,16 @@ def like_search(files: DataFrame, terms: list[str]) -> DataFrame:
 def ranked(files: DataFrame, phrases: list[str], all_of: bool, show: list[str], index: GramIndex | None = None) -> DataFrame:
     """``path, name, snippet, score``: BM25, best first.  Statistics cover all files; scores only the matching."""
     low = [p.lower() for p in phrases]
-    scan = files
+    scan = seen = files
     if index is not None:
-        scan = files.join(index.checked().candidates([grams(p) for p in low], all_of), "path", "left_semi")
+        wanted = [grams(p) for p in low]
+        scan = files.join(index.checked().candidates(wanted, all_of), "path", "left_semi")
+        seen = files.join(index.of_any_term(wanted), "path", "left_semi")  # a term's frequency is not that of all terms
     # the folded text is made once per row; the optimizer would else copy it into every condition and count
     text = T.once(F.lower(F.concat_ws("\u0000", "path", "name", "content"))).alias("__text")
-    scan = scan.select("path", "name", "content", text)
+    scan, seen = scan.select("path", "name", "content", text), seen.select(text)
     held = [F.col("__text").contains(p) for p in low]
-    counts = scan.agg(*(F.sum(h.cast("bigint")).alias(f"n{i}") for i, h in enumerate(held))).first()
+    counts = seen.agg(*(F.sum(h.cast("bigint")).alias(f"n{i}") for i, h in enumerate(held))).first()
     lengths = index.lengths if index is not None else files.select(_length().alias("length"))
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
     hit, score = None, F.lit(0.0)

@@ -52,3 +52,10 @@ def test_index_gives_the_same(files):
     index.version = 0
     with pytest.raises(NotIndexed):
         fts.search(files, "granite", index)
+
+
+def test_index_gives_the_same_scores(files):
+    index = fts.GramIndex.build(files)
+    for text in ("granite quarry", "granite filler", "单元测试"):
+        plain, indexed = (fts.search(files, text, i, with_score=True).select("path", "score").collect() for i in (None, index))
+        assert [r.path for r in plain] == [r.path for r in indexed] and [r.score for r in indexed] == pytest.approx([r.score for r in plain])
