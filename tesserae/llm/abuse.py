@@ -1,18 +1,23 @@
 """Abusive, hateful or sexual content: a factorization machine over hashed terms.
 
 Texts are reduced to a normal form in which disguised spellings meet the plain ones (case, digits for
-letters, separators and zero-width characters inside words, stretched letters, markup).  Words and pairs
-of neighbouring words are hashed.  Terms that raters' votes tie to abuse become *cues*; a cue brings the
-words around it along as *context*.  A factorization machine weighs cues and contexts and, through the
-inner products of their factors, their pairs: an insult together with the mention of a group, or the
-same word inside a neutral account, which an additive model cannot tell apart.
-
-The model is fitted on the driver on at most ``MAX_LABELLED`` voted documents (chosen by hash of the key
-when there are more).  Everything else covers all rows: every document is scored where it lies, in one
-pass without a shuffle, over its whole text.
+letters, separators, blanks and zero-width characters inside words, stretched letters, markup).  Words and
+pairs of neighbouring words are hashed.  Every run of ``SPAN`` words is one instance: a factorization machine
+adds the weights of its terms and, through the inner products of their factors, what their pairs say: an
+insult together with the mention of a group, or the same word inside a neutral account, which an additive
+model cannot tell apart.  A text scores as its worst run does, so a short passage in a long page counts as
+much as alone, and every text is scored by the machine; no list of words decides beforehand.
+
+The model is fitted on the driver, in mini-batches, on at most ``MAX_LABELLED`` voted documents (chosen by
+hash of the key when there are more).  Each round looks for the worst run of every document under the present
+model, so documents voted clean give the runs that are easiest to mistake (quotations, technical use, other
+vandalism), then fits on those runs.  Votes can be wrong: how often is estimated from documents with several
+votes, and each document's target is its chance of being abusive given its votes and a model fitted on other
+pages.  The threshold is the highest with nearly the best expected F1 over all voted documents, each scored by a
+model that has not seen its page.  Scoring covers all rows in one pass without a shuffle, over whole texts.
 
 Defined results
-* null, empty and blank texts score the same as a text without cues and are never flagged;
+* null, empty and blank texts score 0 and are never flagged;
 * several votes for a document are averaged; votes for unknown documents and null votes are ignored;
 * without any usable positive and negative vote nothing is flagged, every score is 0;
 * a repeated document row is scored each time; other columns are ignored; empty tables give empty results;
@@ -33,13 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 50_000
-#: Words to the left and right of a cue that count as its context.
-REACH = 6
-#: A cue must occur in positive documents of so many groups (pages), and a context word in so many.
-LEAST_CUE, LEAST_CONTEXT = 3, 3
-FACTORS, EPOCHS, L2_WEIGHT, L2_FACTOR = 8, 40, 2e-3, 4e-3
-#: A document is flagged from this probability on; held-out accuracy against votes is flat from 0.3 to 0.6.
-THRESHOLD = 0.4
+#: Words of an instance.
+SPAN = 8
+#: A term becomes a feature when it occurs in documents of so many groups (pages).
+LEAST_GROUPS = 2
+FACTORS, ROUNDS, PASSES, BATCH = 8, 7, 4, 256
+L2_WEIGHT, L2_FACTOR, RATE_WEIGHT, RATE_FACTOR = 1e-3, 2e-3, 0.15, 0.1
+#: A model of other pages is believed up to this probability, and up to 1 less it.
+SURE = 0.005
+#: Folds of pages of the cross-fits, and the threshold where they cannot be made.
+FOLDS, THRESHOLD, SLACK = 2, 0.5, 0.005
+#: Words looked at together: bounds memory.
+BLOCK = 200_000
 
 _GONE = re.compile(r"&nbsp;|&#?\w{1,8};|</?\w{1,10}[^<>\n]{0,60}>|'{2,}|[​-‏⁠﻿­]")
 _SPLIT_WORD = re.compile(r"^\W*[^\W_](?:[-._*~+|][^\W_]){2,}\W*$")
@@ -47,6 +57,7 @@ _LEET = str.maketrans("013457@$", "oieastas")
 _PIECE = re.compile(r"[^\W_]+|[぀-ヿ一-鿿]")
 _MASKED = re.compile(r"([^\W\d_])\*{2,}([^\W\d_]?)")
 _RUN = re.compile(r"(.)\1+")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ \t]+){2,}[^\W\d_](?![^\W_])")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
 
@@ -90,159 +101,267 @@ def word_hashes(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint32)
     if "@" in text or "$" in text:
         text = text.replace("@", "a").replace("$", "s")
-    return np.frombuffer(b"".join(map(_words.__getitem__, _GONE.sub("", text).split())), np.uint32)
+    text = _SPACED.sub(lambda m: "".join(m.group().split()), _GONE.sub("", text))  # i d i o t
+    return np.frombuffer(b"".join(map(_words.__getitem__, text.split())), np.uint32)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def terms(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the single words, and of the pairs that begin at each word (the last has none)."""
-    w = words.astype(np.uint64)
-    one = (w * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
-    two = ((w[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (w[1:] + np.uint64(0x165667B1))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
-    return one.astype(np.int64), two.astype(np.int64)
+@dataclass
+class Texts:
+    """Word hashes of many texts, one after the other."""
+
+    words: np.ndarray
+    begin: np.ndarray  # of each text, and the end of the last
+
+    @staticmethod
+    def of(docs: list[np.ndarray]) -> Texts:
+        begin = np.concatenate(([0], np.cumsum([len(d) for d in docs], dtype=np.int64)))
+        return Texts(np.concatenate(docs) if docs else np.empty(0, np.uint32), begin)
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def blocks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of texts that hold about ``BLOCK`` words; a longer text is a block of its own."""
+        a = 0
+        while a < len(self):
+            b = max(a + 1, int(np.searchsorted(self.begin, self.begin[a] + BLOCK, side="right")) - 1)
+            yield a, b
+            a = b
+
+    def terms(self, a: int, b: int) -> np.ndarray:
+        """Two terms at each word of the texts a to b: the word, and its pair with the next word of its text (0 at the end)."""
+        w = self.words[self.begin[a] : self.begin[b]].astype(np.uint64)
+        out = np.zeros((len(w), 2), np.uint64)
+        out[:, 0] = _mix(w) | np.uint64(1)
+        if len(w) > 1:
+            out[:-1, 1] = _mix((w[:-1] << np.uint64(32)) ^ w[1:] ^ np.uint64(0x165667B1)) & ~np.uint64(1)
+        ends = self.begin[a + 1 : b + 1] - self.begin[a] - 1
+        out[ends[np.diff(self.begin[a : b + 1]) > 0], 1] = 0
+        return out
 
 
 @dataclass
 class Model:
-    cues: np.ndarray  # sorted buckets
-    features: np.ndarray  # sorted buckets of cues (2b) and contexts (2b + 1)
+    """Feature k + 1 is the k-th term; row 0 stands for every other term and is all zero."""
+
+    terms: np.ndarray  # sorted
     bias: float
     weight: np.ndarray
     factor: np.ndarray
     threshold: float = THRESHOLD
 
-
-def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return sorted_values[at] == x
-
-
-def active(words: np.ndarray, cues: np.ndarray) -> np.ndarray:
-    """Different cues (2b) and context words (2b + 1) of a text; none without a cue."""
-    if not len(words):
-        return np.empty(0, np.int64)
-    one, two = terms(words)
-    c1, c2 = _in(cues, one), _in(cues, two)
-    if not (c1.any() or c2.any()):
-        return np.empty(0, np.int64)
-    at = np.concatenate((np.flatnonzero(c1), np.flatnonzero(c2)))
-    near = np.zeros(len(words) + 2 * REACH + 2, np.int64)
-    np.add.at(near, at, 1)
-    np.add.at(near, at + 2 * REACH + 2, -1)
-    around = np.cumsum(near)[REACH : REACH + len(words)] > 0
-    return np.unique(np.concatenate((2 * one[c1], 2 * two[c2], 2 * one[around & ~c1] + 1)))
-
-
-def find_cues(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Terms over-represented in positive documents; a group (page) counts once for a term, so revisions
-    that hold the same passage do not confirm one another."""
-    pos: dict[int, set] = {}
-    neg: dict[int, set] = {}
-    for d, label, g in zip(docs, y, groups):
-        one, two = terms(d) if len(d) else (np.empty(0, np.int64),) * 2
-        into = pos if label > 0.5 else neg
-        for t in np.unique(np.concatenate((one, two))).tolist():
-            into.setdefault(t, set()).add(g)
-    n_pos = max(1, len({g for g, v in zip(groups, y) if v > 0.5}))
-    n_neg = max(1, len({g for g, v in zip(groups, y) if v <= 0.5}))
-    out = []
-    for t, s in pos.items():
-        a = len(s)
-        if a < LEAST_CUE:
-            continue
-        b = len(neg.get(t, ()))
-        p, q = (a + 0.5) / (n_pos + 1), (b + 0.5) / (n_neg + 1)
-        mid = (a + b + 1) / (n_pos + n_neg + 2)
-        z = (p - q) / np.sqrt(mid * (1 - mid) * (1 / (n_pos + 1) + 1 / (n_neg + 1)))
-        if z > 3.0 and p > 3 * q:
-            out.append(t)
-    return np.array(sorted(out), np.int64)
+    def features(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.zeros(terms.shape, np.int32)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at + 1, 0).astype(np.int32)
+
+    def known(self) -> np.ndarray:
+        """Which low 20 bits of a term some feature has: rules out most terms before the search."""
+        mark = np.zeros(1 << 20, bool)
+        mark[(self.terms >> np.uint64(8)).astype(np.int64) & 0xFFFFF] = True
+        return mark
+
+
+def _worst(m: Model, f: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of the worst run of each text and where it begins (-1: no words); ``f`` has two features a word."""
+    out, at = np.full(len(begin) - 1, -30.0), np.full(len(begin) - 1, -1, np.int64)
+    n = len(f)
+    if not n:
+        return out, at
+    square = (m.factor**2).sum(axis=1)
+    own = m.weight[f].sum(axis=1) - 0.5 * square[f].sum(axis=1)
+    sums = np.zeros((n + 1, FACTORS + 1))
+    sums[1:, 0] = own
+    sums[1:, 1:] = m.factor[f[:, 0]] + m.factor[f[:, 1]]
+    np.cumsum(sums, axis=0, out=sums)
+    size = np.diff(begin)
+    end = np.minimum(np.arange(n) + SPAN, np.repeat(begin[1:], size))
+    run = sums[end] - sums[:n]
+    z = m.bias + run[:, 0] + 0.5 * (run[:, 1:] ** 2).sum(axis=1)
+    some = np.flatnonzero(size > 0)
+    best = np.maximum.reduceat(z, begin[some])
+    hit = np.flatnonzero(z == np.repeat(best, size[some]))
+    texts, first = np.unique(np.repeat(some, size[some])[hit], return_index=True)
+    out[some], at[texts] = best, hit[first]
+    return out, at
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def raw_scores(m: Model, rows: list[np.ndarray]) -> np.ndarray:
-    """Log-odds of each row of sorted feature positions."""
-    out = np.full(len(rows), m.bias)
-    for i, r in enumerate(rows):
-        if len(r):
-            v = m.factor[r] / np.sqrt(len(r))
-            out[i] += m.weight[r].sum() + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
+def _train(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, seed: int = 7) -> Model | None:
+    """A model of the targets ``y`` (chances; the less certain one is, the less it weighs); None where one side is missing."""
+    y = np.asarray(y, float)
+    if not (y > 0.5).any() or not (y <= 0.5).any():
+        return None
+    certain = np.abs(2 * y - 1)
+    texts = Texts.of(docs)
+    group = np.unique(groups, return_inverse=True)[1]
+    size = np.diff(texts.begin)
+    of_word = np.repeat(group, size)
+    terms = np.concatenate([texts.terms(a, b) for a, b in texts.blocks()])
+    # how many groups hold a term, in all and among the positive ones
+    values, inverse = np.unique(terms, return_inverse=True)
+    inverse = inverse.reshape(terms.shape)
+    n_groups = int(group.max()) + 1
+    positive = np.repeat(y > 0.5, size)
+
+    held = np.unique(((inverse * n_groups + of_word[:, None]) * 2 + positive[:, None]).ravel())
+    pos, neg, both = (np.bincount(x // (2 * n_groups), minlength=len(values)) for x in (held[held % 2 == 1], held[held % 2 == 0], np.unique(held // 2) * 2))
+    keep = (both >= LEAST_GROUPS) & (values > 0)
+    n_pos, n_neg = len(np.unique(group[y > 0.5])), len(np.unique(group[y <= 0.5]))
+    place = np.where(keep, np.cumsum(keep), 0).astype(np.int32)
+    f = place[inverse]
+    del inverse, terms, of_word, held
+    n = int(keep.sum()) + 1
+    share = n_pos / (n_pos + n_neg)
+    odds = np.log((pos + 2 * share) / (n_pos + 2)) - np.log((neg + 2 * (1 - share)) / (n_neg + 2))
+    start = 0.5 * np.clip(odds, -2, 2) * np.where(pos + neg < 5, 0.5, 1.0)
+    rng = np.random.default_rng(seed)
+    m = Model(values[keep], -4.0, np.concatenate(([0.0], start[keep])), rng.normal(0, 0.03, (n, FACTORS)).astype(np.float32))
+    m.factor[0] = 0
+    grad_w, grad_v, grad_b = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
+    worst = np.empty(len(texts), np.int64)
+    for _ in range(ROUNDS):
+        for a, b in texts.blocks():
+            lo = texts.begin[a]
+            at = _worst(m, f[lo : texts.begin[b]], texts.begin[a : b + 1] - lo)[1]
+            worst[a:b] = np.where(at >= 0, at + lo, -1)
+        have = np.flatnonzero(worst >= 0)
+        where = worst[have, None] + np.arange(SPAN)
+        runs = np.zeros((len(texts), SPAN, 2), np.int32)
+        runs[have] = np.where((where < texts.begin[have + 1, None])[..., None], f[np.minimum(where, len(f) - 1)], 0)
+        runs = runs.reshape(len(texts), -1)
+        for _ in range(PASSES):
+            order = rng.permutation(len(texts))
+            for c in range(0, len(order), BATCH):
+                rows = order[c : c + BATCH]
+                r = runs[rows]
+                v = m.factor[r]
+                s = v.sum(axis=1)
+                z = m.bias + m.weight[r].sum(axis=1) + 0.5 * ((s**2).sum(axis=1) - (v**2).sum(axis=(1, 2)))
+                e = (_sigmoid(z) - y[rows]) * certain[rows]
+                used, back = np.unique(r, return_inverse=True)
+                back = back.ravel()
+                times = np.bincount(back, minlength=len(used))
+                dw = np.bincount(back, np.repeat(e, r.shape[1]), len(used)) + L2_WEIGHT * m.weight[used] * times
+                each = (e[:, None, None] * (s[:, None, :] - v)).reshape(-1, FACTORS)
+                dv = np.stack([np.bincount(back, each[:, k], len(used)) for k in range(FACTORS)], axis=1)
+                dv += L2_FACTOR * m.factor[used] * times[:, None]
+                grad_w[used] += dw**2
+                grad_v[used] += dv**2
+                grad_b += e.sum() ** 2
+                m.weight[used] -= RATE_WEIGHT * dw / np.sqrt(grad_w[used])
+                m.factor[used] -= RATE_FACTOR * dv / np.sqrt(grad_v[used])
+                m.bias -= RATE_FACTOR * e.sum() / np.sqrt(grad_b)
+                m.weight[0], m.factor[0] = 0, 0
+    return m
+
+
+def _log_odds(m: Model, docs: list[np.ndarray]) -> np.ndarray:
+    texts, out, known = Texts.of(docs), np.empty(len(docs)), m.known()
+    for a, b in texts.blocks():
+        t = texts.terms(a, b)
+        f = np.zeros(t.shape, np.int32)
+        maybe = known[(t >> np.uint64(8)).astype(np.int64) & 0xFFFFF]
+        f[maybe] = m.features(t[maybe])
+        out[a:b] = _worst(m, f, texts.begin[a : b + 1] - texts.begin[a])[0]
     return out
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, seed: int = 7) -> Model:
-    """Fit on word hashes, the mean vote of each document and its group."""
-    none = Model(np.empty(0, np.int64), np.empty(0, np.int64), -30.0, np.empty(0), np.empty((0, FACTORS)))
-    y = np.asarray(y, float)
+def _cross(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray) -> np.ndarray | None:
+    """Probability of each document by a model of other groups; None where a fold cannot be fitted."""
+    fold = np.array([xxhash.xxh3_64_intdigest(str(g)) % FOLDS for g in groups])
+    out = np.empty(len(docs))
+    for k in range(FOLDS):
+        rest = np.flatnonzero(fold != k)
+        m = _train([docs[i] for i in rest], y[rest], groups[rest])
+        if m is None:
+            return None
+        mine = np.flatnonzero(fold == k)
+        out[mine] = _sigmoid(_log_odds(m, [docs[i] for i in mine]))
+    return out
+
+
+def wrong_votes(y: np.ndarray, n: np.ndarray) -> float:
+    """Share of wrong votes, from how often two votes for one document differ: 2 e (1 - e)."""
+    pairs = (n * (n - 1) / 2).sum()
+    apart = (y * n * (n - y * n)).sum() / pairs if pairs else 0.1
+    return float(np.clip((1 - np.sqrt(max(0.0, 1 - 2 * apart))) / 2, 0.01, 0.2))
+
+
+def _believed(p: np.ndarray, y: np.ndarray, n: np.ndarray, wrong: float) -> np.ndarray:
+    """Chance of each document given a model's probability and its votes."""
+    p = np.clip(p, SURE, 1 - SURE)
+    return _sigmoid(np.log(p / (1 - p)) + (2 * y - 1) * n * np.log((1 - wrong) / wrong))
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(threshold, expected F1): the highest with an F1 at most ``SLACK`` below the best, as votes are sought where
+    abuse is likely and the corpus holds more clean documents than the voted ones do."""
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    last = np.append(p[order][1:] < p[order][:-1], True)  # equal scores are flagged together
+    k = int(np.argmax(last & (f1 >= f1[last].max() - SLACK)))
+    low = p[order][k + 1] if k + 1 < len(p) else 0.0
+    return float((p[order][k] + low) / 2), float(f1[k])
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, votes: np.ndarray | None = None) -> Model:
+    """Fit on word hashes, the mean vote of each document, its group and its number of votes (1 if not given)."""
+    y, groups = np.asarray(y, float), np.asarray(groups)
+    n = np.ones(len(y)) if votes is None else np.asarray(votes, float)
+    none = Model(np.empty(0, np.uint64), -30.0, np.zeros(1), np.zeros((1, FACTORS)))
     if not len(y) or not (y > 0.5).any() or not (y <= 0.5).any():
         return none
-    cues = find_cues(docs, y, groups)
-    if not len(cues):
+    target, threshold = y, THRESHOLD
+    p = _cross(docs, y, groups)
+    if p is not None:
+        e = wrong_votes(y, n)
+        target = _believed(p, y, n, e)
+        p = _cross(docs, target, groups)
+        if p is not None:
+            target = _believed(p, y, n, e)
+            threshold = best_threshold(p, target)[0]
+    m = _train(docs, target, groups)
+    if m is None:
         return none
-    acts = [active(d, cues) for d in docs]
-    seen: dict[int, set] = {}
-    for a, g in zip(acts, groups):
-        for t in a.tolist():
-            seen.setdefault(t, set()).add(g)
-    feats = np.array(sorted(t for t, s in seen.items() if t % 2 == 0 or len(s) >= LEAST_CONTEXT), np.int64)
-    rows = [np.searchsorted(feats, a[_in(feats, a)]) for a in acts]
-    rng = np.random.default_rng(seed)
-    n = len(feats)
-    m = Model(cues, feats, float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))), np.zeros(n), rng.normal(0, 0.05, (n, FACTORS)))
-    # documents without a cue differ in nothing: they only set the bias, so they are counted, not walked
-    have = np.array([i for i, r in enumerate(rows) if len(r)])
-    idle_n, idle_pos = len(y) - len(have), float(y.sum() - y[have].sum())
-    gw, gv, gb = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
-    for _ in range(EPOCHS):
-        rng.shuffle(have)
-        for i in have:
-            r = rows[i]
-            scale = 1 / np.sqrt(len(r))
-            v = m.factor[r] * scale
-            s = v.sum(axis=0)
-            z = m.bias + m.weight[r].sum() + 0.5 * float((s**2 - (v**2).sum(axis=0)).sum())
-            e = float(_sigmoid(z) - y[i])
-            dw = e + L2_WEIGHT * m.weight[r]
-            dv = e * (s - v) * scale + L2_FACTOR * m.factor[r]
-            gw[r] += dw**2
-            gv[r] += dv**2
-            gb += e * e
-            m.weight[r] -= 0.15 * dw / np.sqrt(gw[r])
-            m.factor[r] -= 0.1 * dv / np.sqrt(gv[r])
-            m.bias -= 0.1 * e / np.sqrt(gb)
-        e = float(idle_n * _sigmoid(m.bias) - idle_pos) / max(1, len(y))
-        m.bias -= 0.5 * e
-    return m
+    used = (np.abs(m.weight[1:]) > 0.01) | (np.abs(m.factor[1:]).max(axis=1) > 0.15)
+    row = np.concatenate(([True], used))
+    return Model(m.terms[used], m.bias, m.weight[row], m.factor[row].astype(np.float32), threshold)
 
 
 def score_words(m: Model, docs: list[np.ndarray]) -> np.ndarray:
-    """Probability of each text; 0 for a text without a cue."""
-    rows = []
-    for d in docs:
-        a = active(d, m.cues)
-        rows.append(np.searchsorted(m.features, a[_in(m.features, a)]) if len(a) else np.empty(0, np.int64))
-    p = _sigmoid(raw_scores(m, rows))
-    p[[not len(r) for r in rows]] = 0.0
+    """Probability of each text; 0 for a text without words or by a model without features."""
+    if not len(m.terms):
+        return np.zeros(len(docs))
+    p = _sigmoid(_log_odds(m, docs))
+    p[[not len(d) for d in docs]] = 0.0
     return p
 
 
 def labelled_words(documents: DataFrame, votes: DataFrame, key: str = "doc_id", text: str = "text", vote: str = "abusive", group: str = "page_id", most: int = MAX_LABELLED):
-    """(word hashes, mean votes, groups) of the voted documents, brought to the driver: at most ``most``."""
-    mean = votes.filter(F.col(vote).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.avg(vote).alias("y"))
+    """(word hashes, mean votes, groups, numbers of votes) of the voted documents, brought to the driver: at most ``most``."""
+    mean = votes.filter(F.col(vote).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.avg(vote).alias("y"), F.count(vote).alias("n"))
     mean = mean.orderBy(F.xxhash64("k"), "k").limit(most)
     d = documents.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(text).alias("t"))
-    joined = d.join(F.broadcast(mean), "k").select("k", "g", "y", "t")  # `most` bounds the broadcast
+    joined = d.join(F.broadcast(mean), "k").select("k", "g", "y", "n", "t")  # `most` bounds the broadcast
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "g": b["g"], "y": b["y"], "w": [word_hashes(t).tobytes() for t in b["t"]]})
+            yield pd.DataFrame({"k": b["k"], "g": b["g"], "y": b["y"], "n": b["n"], "w": [word_hashes(t).tobytes() for t in b["t"]]})
 
-    got = joined.mapInPandas(run, "k bigint, g bigint, y double, w binary").toPandas().drop_duplicates("k").sort_values("k")
-    return [np.frombuffer(w, np.uint32) for w in got["w"]], got["y"].to_numpy(), got["g"].fillna(-1).to_numpy()
+    got = joined.mapInPandas(run, "k bigint, g bigint, y double, n bigint, w binary").toPandas().drop_duplicates("k").sort_values("k")
+    return [np.frombuffer(w, np.uint32) for w in got["w"]], got["y"].to_numpy(), got["g"].fillna(-1).to_numpy(), got["n"].to_numpy()
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("source",)) -> DataFrame:
