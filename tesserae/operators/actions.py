@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from . import meta
 from .profiles import get_profile
 
@@ -100,12 +101,26 @@ def editor(actions: tuple[Action, ...], if_exists: str = "skip") -> meta.Edit:
 
 def run_actions(events: DataFrame, notes: DataFrame, pipeline: Pipeline) -> DataFrame:
     """``(path, type, new_content, changed, skipped, changes, error)`` of routed events and notes (path, content,
-    mtime, ctime).  Deleted notes have nothing to edit and are skipped; a dry run changes nothing."""
+    mtime, ctime).  Deleted notes have nothing to edit and are skipped; a dry run changes nothing.
+
+    ``parse`` reports a note's frontmatter that cannot be read as its error.  With ``on_error = stop`` nothing counts
+    as changed from the first failing note on, in the order of the events (by ``first_seq``, else by path)."""
     edits = tuple(a for a in pipeline.actions if a.name not in ("index", "parse"))
     live = events.filter("type <> 'unlink'").select("path", "type")
-    edited = meta.edit(notes.join(live.select("path"), "path", "left_semi"), editor(edits, pipeline.if_exists))
-    out = events.select("path", "type").join(edited, "path", "left")
+    wanted = notes.join(live.select("path"), "path", "left_semi")
+    if edits or any(a.name == "parse" for a in pipeline.actions):
+        edited = meta.edit(wanted, editor(edits, pipeline.if_exists))  # reads the frontmatter before any edit
+    else:
+        edited = wanted.select("path", F.col("content").alias("new_content"), F.lit(False).alias("changed"), F.array().cast("array<string>").alias("changes"), F.lit(None).cast("string").alias("error"))
+    place = F.col("first_seq") if "first_seq" in events.columns else F.lit(0)
+    out = events.select("path", "type", F.struct(place.cast("bigint").alias("seq"), "path").alias("place")).join(edited, "path", "left")
     skip = F.lit(pipeline.dry_run) | (F.col("type") == "unlink") | (F.col("new_content").isNull() & F.col("error").isNull())
+    if pipeline.on_error == "stop":
+        out = cut(out, "actions")
+        first = out.filter("error IS NOT NULL").agg(F.min("place").alias("first"))  # one row
+        out = out.join(F.broadcast(first)).withColumn("stopped", F.col("first").isNotNull() & (F.col("place") > F.col("first")))
+        skip = skip | F.col("stopped")
+        out = out.withColumn("error", F.when(~F.col("stopped"), F.col("error")))
     return out.select(
         "path",
         "type",
@@ -118,8 +133,9 @@ def run_actions(events: DataFrame, notes: DataFrame, pipeline: Pipeline) -> Data
 
 
 def stop_on_error(results: DataFrame, pipeline: Pipeline) -> None:
+    """Raise the error that stopped a run (there is one at most); notes before it are done, later ones untouched."""
     if pipeline.on_error == "stop":
-        bad = results.filter("error IS NOT NULL").orderBy("path").select("path", "error").first()
+        bad = results.filter("error IS NOT NULL").select("path", "error").first()
         if bad:
             raise RuntimeError(f"{bad.path}: {bad.error}")
 

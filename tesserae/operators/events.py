@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,13 +103,38 @@ def without_own_writes(events: DataFrame, writes: DataFrame, within_ms: int = 20
     return events.join(excused, ["path", "seq"], "left_anti")
 
 
-def sessions(events: DataFrame, key: str, ts: str, wait: str, max_wait_ms: int | None = None) -> DataFrame:
-    """Batches a debounce would flush: events of a key with gaps under ``wait`` (a duration such as "10 minutes")."""
+def sessions(events: DataFrame, key: str, ts: str, wait: str) -> DataFrame:
+    """Events of a key with gaps under ``wait`` (a duration such as "10 minutes")."""
     out = events.groupBy(key, F.session_window(ts, wait).alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
-    out = out.select(key, "n_events", "first_ts", "last_ts")
-    if max_wait_ms is not None:
-        out = out.withColumn("forced", F.unix_millis("last_ts") - F.unix_millis("first_ts") >= max_wait_ms)
-    return out
+    return out.select(key, "n_events", "first_ts", "last_ts")
+
+
+def batches(events: DataFrame, key: str, ts: str, wait_ms: int, max_wait_ms: int) -> DataFrame:
+    """``(key, first_ts, last_ts, n_events, flushed_at)``: the batches a debounce flushes, ``wait_ms`` after the last event
+    of a key or ``max_wait_ms`` after the first of the batch.  Where a batch ends depends on where it began, so the
+    events of a key are read in order, as a stream of sorted rows: a task keeps one batch in mind, not a key's events."""
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(F.col(key).alias("k"), F.unix_millis(ts).alias("t")).filter("t IS NOT NULL").repartition("k").sortWithinPartitions("k", "t")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # key, first, last, number
+        for b in parts:
+            out = []
+            for k, t in zip(b["k"], b["t"]):
+                due = held and min(held[2] + wait_ms, held[1] + max_wait_ms)
+                if held and held[0] == k and t < due:
+                    held = (k, held[1], t, held[3] + 1)
+                else:
+                    if held:
+                        out.append((*held, due))
+                    held = (k, t, t, 1)
+            yield pd.DataFrame(out, columns=["k", "a", "z", "n", "f"])
+        if held:
+            yield pd.DataFrame([(*held, min(held[2] + wait_ms, held[1] + max_wait_ms))], columns=["k", "a", "z", "n", "f"])
+
+    got = rows.mapInPandas(run, f"k {kind}, a bigint, z bigint, n bigint, f bigint")
+    at = [F.timestamp_millis(c).alias(n) for c, n in (("a", "first_ts"), ("z", "last_ts"))]
+    return got.select(F.col("k").alias(key), *at, F.col("n").alias("n_events"), F.timestamp_millis("f").alias("flushed_at"))
 
 
 def run_report(results: DataFrame, dry_run: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def session(app: str = "tesserae", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,10 +38,16 @@ def session(app: str = "tesserae", cores: str = "*", partitions: int = 8, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests) a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset a folder of our own, and only where all tasks
+    run on this machine: executors elsewhere could not read it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(discard_all, spark)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _own_dir:
             _own_dir[app] = tempfile.mkdtemp(prefix="tesserae-")
             atexit.register(_remove_local, _own_dir[app])
@@ -54,6 +61,31 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(Hadoop path, its file system): looks at any storage Spark can read, not only at local files."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that :func:`cut` wrote for this application; at the latest when Python ends.  Results of
+    queries are lazy and may read them until then."""
+    try:
+        remove(spark, shared_dir(spark))
+    except Exception:  # the session has ended: there is nothing left to ask
+        pass
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table; see :func:`discard`."""
     spark = df.sparkSession
@@ -70,9 +102,7 @@ def discard(*dfs: DataFrame) -> None:
     for df in dfs:
         path = getattr(df, "_tesserae_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
 
 
 def load(spark: SparkSession, directory: str, table: str) -> DataFrame:

@@ -86,8 +86,12 @@ class Debounce(StatefulProcessor):
 
 
 def debounced(events: DataFrame, wait: int = WAIT_MS, max_wait: int = MAX_WAIT_MS, route: str | None = None) -> DataFrame:
-    """Flushed batches of a stream of change events; ``route`` names a column by which batches are kept apart."""
-    key = F.col(route) if route else F.lit("all")
+    """Flushed batches of a stream of change events; ``route`` names a column by which batches are kept apart.
+
+    Without it events are kept apart by a hash of their path, into as many states as there are shuffle partitions: a
+    path's events stay together, no single task holds all of them, and a burst in some paths flushes by itself."""
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(route) if route else F.pmod(F.xxhash64("path"), F.lit(n))
     cols = [F.col(n) for n in _NAMES]
     return (
         events.select(key.cast("string").alias("route"), *cols)

@@ -19,6 +19,9 @@ from ..sources import notes as N
 from ..sources.layout import Layout
 from .debounce import debounced
 
+#: An event this long after our own write of its path (by the file's time) is still its echo, and how far clocks differ.
+OWN_MS, CLOCK_MS = 2000, 100
+
 
 @dataclass
 class Runner:
@@ -52,9 +55,9 @@ class Runner:
                 live = E.paths_of_query(Engine(self.catalog).query(p.where).all_rows)
                 routed = E.route(folded, where=live)
             results = A.run_actions(routed, current, p).cache()
-            A.stop_on_error(results, p)
             if self.write and not p.dry_run:
                 self._write(results)
+            A.stop_on_error(results, p)
             self.reports.append(E.run_report(results, p.dry_run).first().asDict())
             if self.hook:
                 self.hook(results)
@@ -75,19 +78,22 @@ class Runner:
         return N.read_notes(listing).filter("error IS NULL").select("path", "size", "mtime", "ctime", "content")
 
     def _write(self, results: DataFrame) -> None:
-        import time
-
-        root = self.layout.roots[0]
-        for r in meta.write_notes(results, root).toLocalIterator():
-            self._written[r.path] = int(time.time() * 1000)
+        for r in meta.write_notes(results, self.layout).toLocalIterator():
+            self._written[r.path] = r.written_ms
 
     def _without_own(self, events: DataFrame) -> DataFrame:
+        """Without the events of our own writes, told by the file's time of change: each write excuses the first event of
+        its path whose time is less than two seconds after it.  Other paths' writes stay remembered; one is forgotten
+        when it has excused an event or a later change of its path was seen."""
         if not self._written:
             return events
-        writes = self.spark.createDataFrame(list(self._written.items()), "path string, ms bigint")
-        self._written.clear()  # a write excuses one event
-        writes = writes.select("path", F.timestamp_millis("ms").alias("written_at"))
-        return E.without_own_writes(events.withColumn("ts", F.current_timestamp()), writes).drop("ts")
+        writes = self.spark.createDataFrame([(p, ms) for p, ms in self._written.items()], "path string, ms bigint")
+        # the file system's clock may lag a little behind ours
+        writes = writes.select("path", F.timestamp_millis(F.col("ms") - CLOCK_MS).alias("written_at"))
+        timed = events.withColumn("ts", F.timestamp_millis("mtime"))
+        for r in timed.filter("mtime IS NOT NULL").join(writes, "path").filter("ts >= written_at").select("path").distinct().toLocalIterator():
+            self._written.pop(r.path, None)
+        return E.without_own_writes(timed, writes, OWN_MS).drop("ts")
 
     def start(self, stable_ms: int = 100, checkpoint: str | None = None) -> StreamingQuery:
         """Follow the files.  Stop with ``query.stop()``, which waits for the running batch."""

@@ -3,6 +3,8 @@ import random
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tests.vault import NOTES, catalog, frame
 
 from tesserae.operators import actions, events, scan
@@ -53,16 +55,41 @@ def test_routing(spark):
     assert paths(events.match(e, [], None)) == []
 
 
-def test_accumulator():
-    a = Accumulator(100, 200)
-    assert not a.due(0)
-    for t in (0, 50, 99):
-        a.push(t, t)
-    assert not a.due(150) and a.due(199) and a.next_due() == 199
-    assert a.flush() == [0, 50, 99] and not a.due(10_000)
-    for t in range(0, 200, 20):
-        a.push(t, t)
-    assert a.due(200)
+def flushes_by_hand(times, wait, max_wait):
+    """Loop over a clock: a batch ends at the first moment that is ``wait`` after its last or ``max_wait`` after its first push."""
+    out, held = [], []
+    for now in range(times[-1] + max_wait + 1):
+        if held and (now >= held[-1] + wait or now >= held[0] + max_wait):
+            out.append((now, held))
+            held = []
+        held = held + [now] * times.count(now)
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=12), st.integers(1, 20), st.integers(1, 40))
+def test_accumulator_against_a_clock(times, wait, max_wait):
+    times, acc, got = sorted(times), Accumulator(wait, max_wait), []
+    for now in range(times[-1] + max_wait + 1):
+        if acc.due(now):
+            assert acc.next_due() <= now
+            got.append((now, acc.flush()))
+        for _ in range(times.count(now)):
+            acc.push(now, now)
+    assert got == flushes_by_hand(times, wait, max_wait) and not acc.due(10**9)
+
+
+def test_batches_of_a_log(spark):
+    rnd = random.Random(4)
+    rows = [(k, t) for k in ("a", "b") for t in sorted(rnd.randrange(300) for _ in range(60))] + [("c", 5)]
+    df = spark.createDataFrame(rows, "k string, ms bigint").selectExpr("k", "timestamp_millis(ms) AS ts")
+    got = {}
+    for r in events.batches(df, "k", "ts", 7, 25).selectExpr("k", "unix_millis(first_ts) AS a", "unix_millis(last_ts) AS z", "n_events", "unix_millis(flushed_at) AS f").collect():
+        got.setdefault(r.k, []).append((r.f, r.a, r.z, r.n_events))
+    for k in ("a", "b", "c"):
+        want = [(now, held[0], held[-1], len(held)) for now, held in flushes_by_hand(sorted(t for x, t in rows if x == k), 7, 25)]
+        assert sorted(got[k]) == want
+    assert events.batches(df.limit(0), "k", "ts", 7, 25).count() == 0
 
 
 def test_diff_and_merge(spark):
@@ -98,7 +125,11 @@ def test_write_and_read_tables(spark, tmp_path):
         Catalog.from_parquet(spark, d)
     catalog(spark).write("file://" + d)
     catalog(spark).write("file://" + d)  # a refresh replaces
-    assert Catalog.from_parquet(spark, d).files.count() == 6 and not os.path.exists(d + ".old")
+    assert Catalog.from_parquet(spark, d).files.count() == 6 and Catalog.from_parquet(spark, "file://" + d).inline_fields.count() > 0
+    os.makedirs(d + "/version-000000003/files.parquet")  # a writer that died: no marker
+    assert Catalog.from_parquet(spark, d).files.count() == 6
+    catalog(spark).write("file://" + d)
+    assert sorted(os.listdir(d)) == ["version-000000002", "version-000000003"]
 
 
 def make(tmp_path, notes=NOTES):
