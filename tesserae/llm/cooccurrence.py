@@ -1,32 +1,46 @@
 """Items that appear together: an incremental pair table.
 
-State (written tables): the baskets, the marginal count of every item, and the counts of pairs,
-hash-bucketed by pair.  An update takes the new contents of changed baskets; each emits signed deltas
-(+1 for a pair it now holds, -1 for one it held), which are summed before the merge; pairs that did not
-change emit nothing.  Only items with at least ``min_support`` baskets have their
-pairs counted: a pair cannot occur more often than its rarer item.  An item that reaches the support
-is counted from the baskets that hold it, one that falls below loses its pairs.  Both are exact.
+A table is a folder that outlives the session.  It holds the baskets, bucketed by basket; the marginal count of
+every item, bucketed by item; and the pairs with their counts and those of their two items (all a score needs but
+the number of baskets), bucketed on a grid: row by a hash of one item, column by a hash of the other.  A manifest
+names the version of every bucket, so a reader finds either all of an update or none of it.
 
-Equal baskets are merged first and weighted.  Baskets of more than ``WIDE`` items never become one
-row: their pairs come from a join, which is split by rows where it is skewed.
+An update takes the new contents of changed baskets.  It reads the buckets of those baskets, and each basket emits
+signed deltas: +1 for a pair it now holds, -1 for one it held; a pair that stays emits nothing.  Deltas are summed,
+then merged into the buckets of the items and pairs they touch.  The counts kept beside a pair are renewed where
+one of its items changed; on a grid of R x R those are at most 2R - 1 buckets an item.  All other buckets keep
+their files.  The number of baskets is carried on by its own delta.
+
+Baskets of more than ``WIDE`` items never become one row: their pairs come from a join, which is split by rows
+where it is skewed.  Equal changes of baskets are merged first and weighted.
 
 Defined results
 * null and blank items are ignored; an item repeated in a basket counts once; null basket keys are ignored;
-* a basket that becomes empty is removed; an update that changes nothing changes no count;
-* pairs are ordered in byte order; the empty table has no pairs;
+* a basket that becomes empty is removed; an update that changes nothing changes no count and rewrites nothing;
+* pairs are ordered in byte order; every pair that occurs is counted, however rare; the empty table has no pairs;
 * other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, parallelism
+from ..runtime import cut, discard, exists, hadoop_path, parallelism, remove, shared_dir
 
 WIDE = 500
+#: Changed items are sent to the pairs up to this many (some 20 MB); beyond, both are shuffled.
+BROADCAST_ITEMS = 200_000
+SCHEMAS = {
+    "baskets": "basket string, item string, b int",
+    "items": "item string, n bigint, b int",
+    "pairs": "item_a string, item_b string, n bigint, n_a bigint, n_b bigint, b int",
+}
 
 
 def norm_tag(c: Column) -> Column:
@@ -43,29 +57,106 @@ def baskets_of(df: DataFrame, basket: str = "file_path", item: str = "tag", norm
     )
 
 
-@dataclass
+@dataclass(frozen=True)
 class PairTable:
-    baskets: DataFrame  # basket, item
-    marginals: DataFrame  # item, n
-    pairs: DataFrame  # bucket, item_a, item_b, n
+    """A version of the table in ``directory``; ``buckets`` has the version of each bucket of each table."""
+
+    spark: SparkSession
+    directory: str
+    side: int
+    version: int
     n_baskets: int
-    min_support: int
-    buckets: int
+    buckets: dict[str, dict[int, int]]
+
+    def read(self, table: str, only: set[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets."""
+        held = {b: v for b, v in self.buckets[table].items() if only is None or b in only}
+        if not held:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        found = self.spark.read.schema(SCHEMAS[table]).option("basePath", f"{self.directory}/{table}").parquet(
+            *(f"{self.directory}/{table}/v={v}/b={b}" for b, v in sorted(held.items()))
+        )
+        return found.drop("v")
+
+    @property
+    def baskets(self) -> DataFrame:
+        return self.read("baskets").select("basket", "item")
+
+    @property
+    def marginals(self) -> DataFrame:
+        return self.read("items").select("item", "n")
+
+    @property
+    def pairs(self) -> DataFrame:
+        return self.read("pairs").select("item_a", "item_b", "n", "n_a", "n_b")
+
+
+def create(spark: SparkSession, directory: str | None = None, side: int | None = None) -> PairTable:
+    """An empty table in a new folder (below the shared one if none is given), with ``side`` x ``side`` buckets of pairs
+    and as many of items and baskets."""
+    directory = directory or f"{shared_dir(spark)}/pair-table-{uuid.uuid4().hex}"
+    if exists(spark, directory):
+        raise ValueError(f"{directory} exists already")
+    t = PairTable(spark, directory.rstrip("/"), side or math.ceil(math.sqrt(parallelism(spark))), 0, 0, {n: {} for n in SCHEMAS})
+    _commit(t)
+    return t
+
+
+def load_table(spark: SparkSession, directory: str) -> PairTable:
+    """The newest version of a table that this or another session wrote."""
+    root, fs = hadoop_path(spark, directory)
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    version = max(int(n.split("-")[1]) for n in names if n.startswith("manifest-") and not n.endswith(".writing"))
+    path, fs = hadoop_path(spark, f"{directory.rstrip('/')}/manifest-{version}")
+    stream = fs.open(path)
+    try:
+        m = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return PairTable(spark, directory.rstrip("/"), m["side"], version, m["n_baskets"], {n: {int(b): v for b, v in of.items()} for n, of in m["buckets"].items()})
+
+
+def _commit(t: PairTable) -> None:
+    """Write the manifest under another name, then rename it."""
+    final, fs = hadoop_path(t.spark, f"{t.directory}/manifest-{t.version}")
+    draft, _ = hadoop_path(t.spark, f"{t.directory}/manifest-{t.version}.writing")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps({"side": t.side, "n_baskets": t.n_baskets, "buckets": t.buckets}).encode()))
+    out.close()
+    if not fs.rename(draft, final):
+        raise RuntimeError(f"version {t.version} of {t.directory} was written by another update")
+
+
+def _bucket(t: PairTable, c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(t.side * t.side)).cast("int")
+
+
+def _line(t: PairTable, c: str) -> Column:
+    """Row or column of an item in the grid of pairs."""
+    return F.pmod(F.xxhash64(c, F.lit(1)), F.lit(t.side)).cast("int")
 
 
-def _delta() -> Column:
-    """What a basket adds to the count of its pair ``x, y``.  A pair with a fresh item was not counted before,
-    so all its present occurrences are new; any other pair gives the difference of now and before."""
-    now = (F.col("x.now") & F.col("y.now")).cast("bigint")
-    was = (F.col("x.was") & F.col("y.was")).cast("bigint")
-    return F.when(F.col("x.fresh") | F.col("y.fresh"), now).otherwise(now - was)
+def _store(t: PairTable, table: str, df: DataFrame, touched: set[int]) -> dict[int, int]:
+    """Write the new contents of the ``touched`` buckets; the versions of all buckets after it."""
+    version = t.version + 1
+    path = f"{t.directory}/{table}/v={version}"
+    df.hint("rebalance", "b").write.mode("overwrite").partitionBy("b").parquet(path)
+    root, fs = hadoop_path(t.spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    kept = {b: v for b, v in t.buckets[table].items() if b not in touched}
+    return kept | {int(n[2:]): version for n in names if n.startswith("b=")}
+
+
+def _numbers(df: DataFrame, c: str) -> set[int]:
+    """Distinct bucket numbers: no more than there are buckets."""
+    return {r[0] for r in df.select(c).distinct().collect()}
 
 
 def _pair_deltas(rows: DataFrame) -> DataFrame:
-    """``(item_a, item_b, n)``, n not 0, of rows ``(basket, item, was, now, fresh)``."""
+    """``(item_a, item_b, d)``, d not 0, of rows ``(basket, item, was, now)`` of changed baskets."""
     sizes = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     sized = rows.join(sizes, "basket")
-    entry = F.struct("item", "was", "now", "fresh")
+    entry = F.struct("item", "was", "now")
     sets = (
         sized.filter(F.col("size") <= WIDE)
         .groupBy("basket")
@@ -79,91 +170,106 @@ def _pair_deltas(rows: DataFrame) -> DataFrame:
     other = wide.select("basket", entry.alias("y"))
     from_wide = wide.select("basket", entry.alias("x")).join(other, "basket").filter(F.col("x.item") < F.col("y.item"))
     pairs = narrow.select("x", "y", "w").unionByName(from_wide.select("x", "y", F.lit(1).cast("bigint").alias("w")))
+    d = (F.col("x.now") & F.col("y.now")).cast("bigint") - (F.col("x.was") & F.col("y.was")).cast("bigint")
     return (
-        pairs.select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), (_delta() * F.col("w")).alias("n"))
-        .filter("n <> 0")
+        pairs.select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), (d * F.col("w")).alias("d"))
+        .filter("d <> 0")
         .groupBy("item_a", "item_b")
-        .agg(F.sum("n").alias("n"))
-    )
-
-
-def empty_table(like: DataFrame, min_support: int = 5, buckets: int | None = None) -> PairTable:
-    spark = like.sparkSession
-    return PairTable(
-        spark.createDataFrame([], "basket string, item string"),
-        spark.createDataFrame([], "item string, n bigint"),
-        spark.createDataFrame([], "bucket int, item_a string, item_b string, n bigint"),
-        0,
-        min_support,
-        buckets or parallelism(spark),
+        .agg(F.sum("d").alias("d"))
+        .filter("d <> 0")
     )
 
 
-def update(state: PairTable, changed: DataFrame, removed: DataFrame | None = None) -> PairTable:
-    """Merge baskets: ``changed`` has the whole new contents ``(basket, item)`` of every changed basket,
-    ``removed`` the keys of deleted ones."""
-    new = changed.select("basket", "item", F.lit(True).alias("now"))
-    touched = changed.select("basket")
+def update(t: PairTable, changed: DataFrame, removed: DataFrame | None = None) -> PairTable:
+    """Merge baskets: ``changed`` has the whole new contents ``(basket, item)`` of every changed basket, ``removed`` the
+    keys of deleted ones.  Gives the next version; the one before stays readable until the update after it."""
+    new = cut(changed.select("basket", "item", _bucket(t, "basket").alias("b")), "pairs-new")
+    keys = new.select("basket", "b")
     if removed is not None:
-        touched = touched.unionByName(removed.select("basket"))
-    touched = touched.distinct()
-    old = state.baskets.join(touched, "basket", "left_semi").select("basket", "item", F.lit(False).alias("now"))
-    kept = state.baskets.join(touched, "basket", "left_anti")
-    held = (~F.col("now")).cast("int")
-    net = cut(
-        new.unionByName(old).groupBy("basket", "item").agg(F.max("now").alias("now"), (F.max(held) == 1).alias("was")), "pairs-net"
-    )
+        keys = keys.unionByName(removed.select("basket", _bucket(t, "basket").alias("b")))
+    keys = cut(keys.distinct(), "pairs-keys")
+    near = t.read("baskets", _numbers(keys, "b"))
+    old = near.join(keys, ["basket", "b"], "left_semi")
+    # every item of a changed basket, with whether it was and is there
+    side = lambda df, now: df.select("basket", "item", "b", F.lit(now).cast("int").alias("now"), F.lit(not now).cast("int").alias("was"))
+    net = cut(side(new, True).unionByName(side(old, False)).groupBy("basket", "item", "b").agg((F.max("now") == 1).alias("now"), (F.max("was") == 1).alias("was")), "pairs-net")
     moved = net.filter("now <> was")
-    marginals = cut(
-        state.marginals.select("item", "n", F.lit(0).cast("bigint").alias("d"))
-        .unionByName(moved.select("item", F.lit(0).cast("bigint").alias("n"), F.when(F.col("now"), 1).otherwise(-1).cast("bigint").alias("d")))
-        .groupBy("item")
-        .agg(F.sum("n").alias("before"), F.sum(F.col("n") + F.col("d")).alias("n"))
-        .filter("n > 0 OR before > 0"),
-        "pairs-marginals",
-    )
-    s = state.min_support
-    counted = marginals.filter(F.col("n") >= s).select("item", (F.col("before") < s).alias("fresh"))
-    baskets = cut(kept.select("basket", "item", F.lit(True).alias("now"), F.lit(True).alias("was")).unionByName(net), "pairs-baskets")
-    # baskets that changed, and those that hold an item which has just reached the support
-    affected = moved.select("basket").unionByName(baskets.join(counted.filter("fresh"), "item", "left_semi").select("basket")).distinct()
-    deltas = _pair_deltas(baskets.join(affected, "basket", "left_semi").join(counted, "item"))
-    still = counted.select("item")
-    before = (
-        state.pairs.join(still.withColumnRenamed("item", "item_a"), "item_a", "left_semi")
-        .join(still.withColumnRenamed("item", "item_b"), "item_b", "left_semi")
-        .select("item_a", "item_b", "n")
-    )
-    pairs = (
-        before.unionByName(deltas)
-        .groupBy("item_a", "item_b")
-        .agg(F.sum("n").alias("n"))
-        .filter("n > 0")
-        .select(F.pmod(F.xxhash64("item_a", "item_b"), F.lit(state.buckets)).cast("int").alias("bucket"), "item_a", "item_b", "n")
-    )
-    baskets = baskets.filter("now").select("basket", "item")
-    n_baskets = baskets.select("basket").distinct().count()
-    return PairTable(
-        baskets, marginals.filter("n > 0").select("item", "n"), cut(pairs, "pairs-counts"), n_baskets, s, state.buckets
-    )
+    buckets_moved = _numbers(moved, "b")
+    if not buckets_moved:
+        discard(new, keys, net)
+        return t
+    held = dict(t.buckets)
+
+    # baskets
+    kept = t.read("baskets", buckets_moved).join(keys, ["basket", "b"], "left_anti")
+    here = net.filter(F.col("now") & F.col("b").isin(*buckets_moved))
+    held["baskets"] = _store(t, "baskets", kept.unionByName(here.select("basket", "item", "b")), buckets_moved)
+    each = net.groupBy("basket").agg((F.max(F.col("now").cast("int")) - F.max(F.col("was").cast("int"))).alias("d"))
+    n_baskets = t.n_baskets + (each.agg(F.sum("d")).first()[0] or 0)
+
+    # items
+    sign = F.when(F.col("now"), 1).otherwise(-1).cast("bigint")
+    delta = moved.groupBy("item").agg(F.sum(sign).alias("d")).filter("d <> 0").select("item", "d", _bucket(t, "item").alias("b"))
+    delta = cut(delta, "pairs-items")
+    of_items = _numbers(delta, "b")
+    merged = t.read("items", of_items).unionByName(delta.select("item", F.col("d").alias("n"), "b"))
+    counts = cut(merged.groupBy("item", "b").agg(F.sum("n").alias("n")).filter("n > 0"), "pairs-counts")
+    held["items"] = _store(t, "items", counts.select("item", "n", "b"), of_items)
+
+    # pairs: buckets with a changed pair, and those in the row or column of a changed item
+    affected = net.join(moved.select("basket").distinct(), "basket", "left_semi")
+    grid = (_line(t, "item_a") * t.side + _line(t, "item_b")).alias("b")
+    deltas = cut(_pair_deltas(affected).select("item_a", "item_b", "d", grid), "pairs-deltas")
+    lines = _numbers(delta.select(_line(t, "item").alias("l")), "l")
+    of_pairs = _numbers(deltas, "b") | {b for b in t.buckets["pairs"] if b // t.side in lines or b % t.side in lines}
+    null = F.lit(None).cast("bigint")
+    before = t.read("pairs", of_pairs).unionByName(deltas.select("item_a", "item_b", F.col("d").alias("n"), null.alias("n_a"), null.alias("n_b"), "b"))
+    pairs = before.groupBy("item_a", "item_b", "b").agg(F.sum("n").alias("n"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")).filter("n > 0")
+    # a new pair needs the counts of both its items, another one those that changed
+    wanted = deltas.select(F.explode(F.array("item_a", "item_b")).alias("item")).unionByName(delta.select("item")).distinct()
+    wanted = wanted.withColumn("b", _bucket(t, "item"))
+    every = PairTable(t.spark, t.directory, t.side, t.version + 1, n_baskets, held)
+    now = cut(every.read("items", _numbers(wanted, "b")).join(wanted, ["item", "b"], "left_semi").select("item", "n"), "pairs-now")
+    few = now.count() <= BROADCAST_ITEMS
+    for c in ("a", "b"):
+        side_c = now.select(F.col("item").alias(f"item_{c}"), F.col("n").alias("fresh"))
+        pairs = pairs.join(F.broadcast(side_c) if few else side_c, f"item_{c}", "left").withColumn(f"n_{c}", F.coalesce("fresh", f"n_{c}")).drop("fresh")
+    held["pairs"] = _store(t, "pairs", pairs.select("item_a", "item_b", "n", "n_a", "n_b", "b"), of_pairs)
+
+    after = PairTable(t.spark, t.directory, t.side, t.version + 1, n_baskets, held)
+    _commit(after)
+    discard(new, keys, net, delta, counts, deltas, now)
+    _forget(t, after)
+    return after
+
+
+def _forget(before: PairTable, now: PairTable) -> None:
+    """Delete bucket files that neither of the two versions names."""
+    for table in SCHEMAS:
+        root, fs = hadoop_path(now.spark, f"{now.directory}/{table}")
+        used = {(v, b) for t in (before, now) for b, v in t.buckets[table].items()}
+        for s in fs.listStatus(root) if fs.exists(root) else ():
+            v = int(s.getPath().getName()[2:])
+            for f in fs.listStatus(s.getPath()):
+                name = f.getPath().getName()
+                if name.startswith("b=") and (v, int(name[2:])) not in used:
+                    remove(now.spark, f"{now.directory}/{table}/v={v}/{name}")
 
 
-def associations(state: PairTable, min_together: int = 5) -> DataFrame:
-    """``(tag_a, tag_b, n_ab, n_a, n_b, n, lift)`` of every counted pair with at least ``min_together`` baskets."""
-    m = state.marginals
+def associations(t: PairTable, min_together: int = 5, min_support: int = 1) -> DataFrame:
+    """``(tag_a, tag_b, n_ab, n_a, n_b, n, lift)`` of every pair with at least ``min_together`` baskets, of items with at
+    least ``min_support``.  Scores come from the counts kept with each pair; only the number of baskets is added."""
     return (
-        state.pairs.filter(F.col("n") >= min_together)
-        .withColumnRenamed("n", "n_ab")
-        .join(m.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a")
-        .join(m.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
+        t.read("pairs")
+        .filter((F.col("n") >= min_together) & (F.least("n_a", "n_b") >= min_support))
         .select(
             F.col("item_a").alias("tag_a"),
             F.col("item_b").alias("tag_b"),
-            "n_ab",
+            F.col("n").alias("n_ab"),
             "n_a",
             "n_b",
-            F.lit(state.n_baskets).cast("bigint").alias("n"),
-            (F.col("n_ab") * F.lit(float(state.n_baskets)) / (F.col("n_a") * F.col("n_b"))).alias("lift"),
+            F.lit(t.n_baskets).cast("bigint").alias("n"),
+            (F.col("n") * F.lit(float(t.n_baskets)) / (F.col("n_a") * F.col("n_b"))).alias("lift"),
         )
     )
 

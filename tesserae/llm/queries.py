@@ -25,9 +25,8 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 def _pair_table(spark: SparkSession, d: str) -> cooccurrence.PairTable:
     """Loaded in two increments: the tags of the frontmatter, then the whole baskets of all notes."""
     tags = load(spark, d, "tags")
-    state = cooccurrence.empty_table(tags)
-    state = cooccurrence.update(state, cooccurrence.baskets_of(tags.filter("in_frontmatter")))
-    return cooccurrence.update(state, cooccurrence.baskets_of(tags))
+    table = cooccurrence.update(cooccurrence.create(spark), cooccurrence.baskets_of(tags.filter("in_frontmatter")))
+    return cooccurrence.update(table, cooccurrence.baskets_of(tags))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
