@@ -12,7 +12,7 @@ one of its items changed; on a grid of R x R those are at most 2R - 1 buckets an
 their files.  The number of baskets is carried on by its own delta.
 
 Baskets of more than ``WIDE`` items never become one row: their pairs come from a join, which is split by rows
-where it is skewed.  Equal changes of baskets are merged first and weighted.
+where it is skewed.
 
 Defined results
 * null and blank items are ignored; an item repeated in a basket counts once; null basket keys are ignored;
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..runtime import cut, discard, exists, hadoop_path, parallelism, remove, shared_dir
 
@@ -137,10 +138,11 @@ def _line(t: PairTable, c: str) -> Column:
 
 
 def _store(t: PairTable, table: str, df: DataFrame, touched: set[int]) -> dict[int, int]:
-    """Write the new contents of the ``touched`` buckets; the versions of all buckets after it."""
+    """Write the new contents of the ``touched`` buckets; the versions of all buckets after it.  Rows come grouped by
+    bucket, so a task writes whole buckets."""
     version = t.version + 1
     path = f"{t.directory}/{table}/v={version}"
-    df.hint("rebalance", "b").write.mode("overwrite").partitionBy("b").parquet(path)
+    df.write.mode("overwrite").partitionBy("b").parquet(path)
     root, fs = hadoop_path(t.spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(root)]
     kept = {b: v for b, v in t.buckets[table].items() if b not in touched}
@@ -152,27 +154,35 @@ def _numbers(df: DataFrame, c: str) -> set[int]:
     return {r[0] for r in df.select(c).distinct().collect()}
 
 
+def _changes(t: PairTable, new: DataFrame, removed: DataFrame, touched: set[int]) -> DataFrame:
+    """The baskets of the ``touched`` buckets, old and new: ``(b, basket, size, changed, moved, xs)``, xs the basket's items
+    with whether each was and is there.  ``changed`` baskets were given anew, ``moved`` ones differ.  A basket of more
+    than ``WIDE`` items has a row for each.  All of it costs one shuffle, by bucket."""
+    row = lambda df, now, was, given: df.select("b", "basket", "item", *(F.lit(x).alias(n) for n, x in (("now", now), ("was", was), ("given", given))))
+    nothing = removed.select("b", "basket", F.lit(None).cast("string").alias("item"))
+    every = row(new, True, False, True).unionByName(row(nothing, False, False, True)).unionByName(row(t.read("baskets", touched), False, True, False))
+    one = every.repartition("b").groupBy("b", "basket", "item").agg(*(F.max(c).alias(c) for c in ("now", "was", "given")))
+    whole = Window.partitionBy("b", "basket")
+    flagged = one.select(
+        "b", "basket", F.struct("item", "now", "was").alias("x"),
+        F.count("item").over(whole).alias("size"), F.max("given").over(whole).alias("changed"), F.max((F.col("now") != F.col("was")) & F.col("given").isNotNull()).over(whole).alias("differs"),
+    ).filter("x.item IS NOT NULL")
+    flagged = flagged.select("b", "basket", "x", "size", "changed", (F.col("changed") & F.col("differs")).alias("moved"))
+    narrow = flagged.filter(F.col("size") <= WIDE).groupBy("b", "basket").agg(*(F.first(c).alias(c) for c in ("size", "changed", "moved")), F.sort_array(F.collect_list("x")).alias("xs"))
+    wide = flagged.filter(F.col("size") > WIDE).select("b", "basket", "size", "changed", "moved", F.array("x").alias("xs"))
+    return narrow.unionByName(wide)
+
+
 def _pair_deltas(rows: DataFrame) -> DataFrame:
-    """``(item_a, item_b, d)``, d not 0, of rows ``(basket, item, was, now)`` of changed baskets."""
-    sizes = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    sized = rows.join(sizes, "basket")
-    entry = F.struct("item", "was", "now")
-    sets = (
-        sized.filter(F.col("size") <= WIDE)
-        .groupBy("basket")
-        .agg(F.sort_array(F.collect_list(entry)).alias("s"))  # at most WIDE entries
-        .groupBy("s")
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
-    firsts = sets.select("w", "s", F.posexplode("s").alias("i", "x"))
-    narrow = firsts.select("w", "x", F.explode(F.slice(F.col("s"), F.col("i") + 2, F.size("s"))).alias("y"))
-    wide = sized.filter(F.col("size") > WIDE)
-    other = wide.select("basket", entry.alias("y"))
-    from_wide = wide.select("basket", entry.alias("x")).join(other, "basket").filter(F.col("x.item") < F.col("y.item"))
-    pairs = narrow.select("x", "y", "w").unionByName(from_wide.select("x", "y", F.lit(1).cast("bigint").alias("w")))
+    """``(item_a, item_b, d)``, d not 0, of moved baskets (see :func:`_changes`)."""
+    firsts = rows.filter(F.col("size").between(2, WIDE)).select("xs", F.posexplode("xs").alias("i", "x"))
+    narrow = firsts.select("x", F.explode(F.slice(F.col("xs"), F.col("i") + 2, F.size("xs"))).alias("y"))
+    wide = rows.filter(F.col("size") > WIDE).select("basket", F.col("xs")[0].alias("x"))
+    from_wide = wide.join(wide.withColumnRenamed("x", "y"), "basket").filter(F.col("x.item") < F.col("y.item")).select("x", "y")
     d = (F.col("x.now") & F.col("y.now")).cast("bigint") - (F.col("x.was") & F.col("y.was")).cast("bigint")
     return (
-        pairs.select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), (d * F.col("w")).alias("d"))
+        narrow.unionByName(from_wide)
+        .select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), d.alias("d"))
         .filter("d <> 0")
         .groupBy("item_a", "item_b")
         .agg(F.sum("d").alias("d"))
@@ -184,61 +194,58 @@ def update(t: PairTable, changed: DataFrame, removed: DataFrame | None = None) -
     """Merge baskets: ``changed`` has the whole new contents ``(basket, item)`` of every changed basket, ``removed`` the
     keys of deleted ones.  Gives the next version; the one before stays readable until the update after it."""
     new = cut(changed.select("basket", "item", _bucket(t, "basket").alias("b")), "pairs-new")
-    keys = new.select("basket", "b")
-    if removed is not None:
-        keys = keys.unionByName(removed.select("basket", _bucket(t, "basket").alias("b")))
-    keys = cut(keys.distinct(), "pairs-keys")
-    near = t.read("baskets", _numbers(keys, "b"))
-    old = near.join(keys, ["basket", "b"], "left_semi")
-    # every item of a changed basket, with whether it was and is there
-    side = lambda df, now: df.select("basket", "item", "b", F.lit(now).cast("int").alias("now"), F.lit(not now).cast("int").alias("was"))
-    net = cut(side(new, True).unionByName(side(old, False)).groupBy("basket", "item", "b").agg((F.max("now") == 1).alias("now"), (F.max("was") == 1).alias("was")), "pairs-net")
-    moved = net.filter("now <> was")
-    buckets_moved = _numbers(moved, "b")
-    if not buckets_moved:
-        discard(new, keys, net)
+    gone = t.spark.createDataFrame([], "basket string") if removed is None else removed.select("basket")
+    gone = gone.filter("basket IS NOT NULL").withColumn("b", _bucket(t, "basket"))
+    near = _numbers(new, "b") | (_numbers(gone, "b") if removed is not None else set())
+    if not near:
+        return t
+    net = cut(_changes(t, new, gone, near), "pairs-net")
+    moved = net.filter("moved")
+    of_baskets = _numbers(moved, "b")
+    if not of_baskets:
+        discard(new, net)
         return t
     held = dict(t.buckets)
 
-    # baskets
-    kept = t.read("baskets", buckets_moved).join(keys, ["basket", "b"], "left_anti")
-    here = net.filter(F.col("now") & F.col("b").isin(*buckets_moved))
-    held["baskets"] = _store(t, "baskets", kept.unionByName(here.select("basket", "item", "b")), buckets_moved)
-    each = net.groupBy("basket").agg((F.max(F.col("now").cast("int")) - F.max(F.col("was").cast("int"))).alias("d"))
+    # baskets: those that were not given keep what they had
+    now = net.filter(F.col("b").isin(*of_baskets)).select("b", "basket", "changed", F.explode("xs").alias("x")).filter("x.now OR (x.was AND NOT changed)")
+    held["baskets"] = _store(t, "baskets", now.select("basket", F.col("x.item").alias("item"), "b"), of_baskets)
+    some = lambda f: F.max(F.exists("xs", f).cast("int"))
+    each = moved.groupBy("b", "basket").agg((some(lambda x: x["now"]) - some(lambda x: x["was"])).alias("d"))
     n_baskets = t.n_baskets + (each.agg(F.sum("d")).first()[0] or 0)
 
     # items
-    sign = F.when(F.col("now"), 1).otherwise(-1).cast("bigint")
-    delta = moved.groupBy("item").agg(F.sum(sign).alias("d")).filter("d <> 0").select("item", "d", _bucket(t, "item").alias("b"))
-    delta = cut(delta, "pairs-items")
+    sign = F.when(F.col("x.now"), 1).otherwise(-1).cast("bigint")
+    delta = moved.select(F.explode("xs").alias("x")).filter("x.now <> x.was").groupBy("x.item").agg(F.sum(sign).alias("d")).filter("d <> 0")
+    delta = cut(delta.select("item", "d", _bucket(t, "item").alias("b")), "pairs-items")
     of_items = _numbers(delta, "b")
     merged = t.read("items", of_items).unionByName(delta.select("item", F.col("d").alias("n"), "b"))
-    counts = cut(merged.groupBy("item", "b").agg(F.sum("n").alias("n")).filter("n > 0"), "pairs-counts")
+    counts = merged.repartition("b").groupBy("b", "item").agg(F.sum("n").alias("n")).filter("n > 0")
     held["items"] = _store(t, "items", counts.select("item", "n", "b"), of_items)
 
     # pairs: buckets with a changed pair, and those in the row or column of a changed item
-    affected = net.join(moved.select("basket").distinct(), "basket", "left_semi")
     grid = (_line(t, "item_a") * t.side + _line(t, "item_b")).alias("b")
-    deltas = cut(_pair_deltas(affected).select("item_a", "item_b", "d", grid), "pairs-deltas")
+    deltas = cut(_pair_deltas(moved).select("item_a", "item_b", "d", grid), "pairs-deltas")
     lines = _numbers(delta.select(_line(t, "item").alias("l")), "l")
     of_pairs = _numbers(deltas, "b") | {b for b in t.buckets["pairs"] if b // t.side in lines or b % t.side in lines}
     null = F.lit(None).cast("bigint")
     before = t.read("pairs", of_pairs).unionByName(deltas.select("item_a", "item_b", F.col("d").alias("n"), null.alias("n_a"), null.alias("n_b"), "b"))
-    pairs = before.groupBy("item_a", "item_b", "b").agg(F.sum("n").alias("n"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")).filter("n > 0")
+    pairs = before.repartition("b").groupBy("b", "item_a", "item_b").agg(F.sum("n").alias("n"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")).filter("n > 0")
     # a new pair needs the counts of both its items, another one those that changed
     wanted = deltas.select(F.explode(F.array("item_a", "item_b")).alias("item")).unionByName(delta.select("item")).distinct()
     wanted = wanted.withColumn("b", _bucket(t, "item"))
     every = PairTable(t.spark, t.directory, t.side, t.version + 1, n_baskets, held)
-    now = cut(every.read("items", _numbers(wanted, "b")).join(wanted, ["item", "b"], "left_semi").select("item", "n"), "pairs-now")
-    few = now.count() <= BROADCAST_ITEMS
+    fresh = cut(every.read("items", _numbers(wanted, "b")).join(wanted, ["item", "b"], "left_semi").select("item", "n"), "pairs-fresh")
+    few = fresh.count() <= BROADCAST_ITEMS
     for c in ("a", "b"):
-        side_c = now.select(F.col("item").alias(f"item_{c}"), F.col("n").alias("fresh"))
-        pairs = pairs.join(F.broadcast(side_c) if few else side_c, f"item_{c}", "left").withColumn(f"n_{c}", F.coalesce("fresh", f"n_{c}")).drop("fresh")
+        of_c = fresh.select(F.col("item").alias(f"item_{c}"), F.col("n").alias("fresh"))
+        pairs = pairs.join(F.broadcast(of_c) if few else of_c, f"item_{c}", "left").withColumn(f"n_{c}", F.coalesce("fresh", f"n_{c}")).drop("fresh")
+    pairs = pairs if few else pairs.repartition("b")
     held["pairs"] = _store(t, "pairs", pairs.select("item_a", "item_b", "n", "n_a", "n_b", "b"), of_pairs)
 
     after = PairTable(t.spark, t.directory, t.side, t.version + 1, n_baskets, held)
     _commit(after)
-    discard(new, keys, net, delta, counts, deltas, now)
+    discard(new, net, delta, deltas, fresh)
     _forget(t, after)
     return after
 
