@@ -23,13 +23,13 @@ def edited(rnd, ws, k):
     return ws
 
 
-def corpus(seed=1):
+def corpus(seed=1, edits=14, groups=40):
     rnd = random.Random(seed)
     rows = []
-    for g in range(40):
+    for g in range(groups):
         base = words(rnd, rnd.randrange(60, 250))
         for m in range(rnd.randrange(1, 6)):
-            rows.append((f"g{g}/m{m}.md", "---\nt: 1\n---\n" * (m % 2) + " ".join(edited(rnd, base, rnd.randrange(0, 14)))))
+            rows.append((f"g{g}/m{m}.md", "---\nt: 1\n---\n" * (m % 2) + " ".join(edited(rnd, base, rnd.randrange(0, edits)))))
     rows += [(f"single{i}.md", " ".join(words(rnd, 80))) for i in range(200)]
     return rows
 
@@ -51,6 +51,37 @@ def test_against_brute_force(spark):
     assert len(want) > 40 and got <= want and len(got) >= 0.995 * len(want)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 1.0])
+def test_recall_at_thresholds(spark, monkeypatch, threshold):
+    """Small nodes are made rare, so that most pairs depend on deeper splits too."""
+    monkeypatch.setattr(N, "SMALL", 8)
+    rows = corpus(7, 40, 120)
+    want = brute(rows, threshold)
+    got = pairs(N.similar_pairs(frame(spark, rows), threshold=threshold))
+    assert got <= want and len(got) >= 0.97 * len(want) and (threshold == 1.0 or len(want) > 30)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.3, 0.5, 0.7, 0.9])
+def test_plan_keeps_the_target(threshold):
+    p = N.plan(threshold)
+    assert all(N.expected_recall(p, threshold, k) >= N.RECALL for k in (1, 2, 5, N.LEVELS + 1))
+    assert N.expected_recall(p, min(1.0, threshold + 0.05), 3) > N.expected_recall(p, threshold, 3)
+    for bad in ((0, 0.9), (1.1, 0.9), (0.5, 1.0), (0.01, 0.999)):
+        with pytest.raises(ValueError):
+            N.plan(*bad)
+
+
+def test_hot_nodes_are_passed_on(spark, monkeypatch):
+    """Every node counts as hot until the last level."""
+    monkeypatch.setattr(N, "SAMPLE", 1)
+    monkeypatch.setattr(N, "HOT", 2)
+    monkeypatch.setattr(N, "LEVELS", 2)
+    rows = corpus(5)[:100]
+    want = brute(rows, 0.7)
+    got = pairs(N.similar_pairs(frame(spark, rows)))
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 @pytest.mark.parametrize("levels", [1, 3])
 def test_large_nodes_lose_nothing(spark, monkeypatch, levels):
     """Nodes of more than four texts are split, and at the last level compared block by block."""
@@ -85,9 +116,6 @@ def test_no_cases(spark):
 def test_body_and_words():
     assert N.body("---\na: 1\n---\ntext") == "text" and N.body("---\n---\nx") == "x" and N.body("---\nopen") == "---\nopen"
     assert N.shingles("A_b c! " * 20).tolist() == N.shingles("a b C " * 20).tolist()
-    assert N.expected_recall(0.7) > 0.999 and N.expected_recall(0.7, 3) > 0.998
-    s = N.shingles("one two three four five " * 3 + "x " * 30)
-    assert (N._received(N._shipped(s)) == (s & 0xFFFFFFFFFF)).all()
 
 
 def test_components(spark):
