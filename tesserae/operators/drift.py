@@ -6,12 +6,13 @@ named by a fingerprint of its fields and types.  What differs between two versio
 field enters, leaves, changes type, or is renamed, i.e. one leaves and another of its type, filled with
 the same kind of values, enters.  Values are compared by mergeable profiles of fixed size (minhash slots
 of the values, a histogram of their shapes), so a vault with a third of all notes costs no more per
-task than any other.
+task than any other.  Versions, parents and steps form a :func:`registry`.
 
 All counting is done by partial aggregation in the JVM.  Only version metadata reaches Python, grouped
 by vault: a template has at most twice as many fields as an average note.
 
-:func:`unify` reads every note through the chained steps into one table: one column and type per meaning.
+:func:`unify` routes every note, by its vault and month, through the chained rename, cast and default rules of
+its version into one table: one column and type per meaning, with a record of the rules applied.
 
 Defined results
 * frontmatter that is null, empty, cut off or not an object carries no field, but its note counts;
@@ -34,15 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.typed import json_parts, once
-from ..runtime import cut, utc_month, vault_of
+from ..runtime import cut, discard, utc_month, vault_of
 
 SLOTS, SHAPES = 64, 64
 #: Least likeness of values for a rename.
 ALIKE = 0.5
-#: A table of more columns than this is refused; it would be no template but free text as field names.
+#: Names of templates that have a column, and fields outside all templates that do.  A table has a bounded number of
+#: columns; values under further names stand in the column ``other``.
 MAX_COLUMNS = 5_000
-MAX_PAIRS = 100_000
-#: Fields outside all templates that have a column of their own; what is beyond them stands in the column ``other``.
 FREE_COLUMNS = 500
 
 
@@ -70,21 +70,28 @@ def dated_notes(files: DataFrame) -> DataFrame:
     return n.select("path", vault_of(F.col("path")).alias("vault"), utc_month(F.col("ctime")).alias("month"), v.alias("v"))
 
 
-def fields_of(notes: DataFrame) -> DataFrame:
-    """``(vault, month, field, type, value)`` of every top-level field with a value."""
+def exploded(files: DataFrame) -> DataFrame:
+    """``(vault, month, first, field, type, value)``, written once: a row for every top-level field with a value, as JSON
+    text, and at least one row (without a field) for every note; ``first`` marks one row of each note."""
+    notes = dated_notes(files)
     tvf = notes.sparkSession.tvf
-    return (
-        notes.filter("v IS NOT NULL")
-        .lateralJoin(tvf.variant_explode(F.col("v").outer()))
-        .select("vault", "month", F.col("key").alias("field"), json_type(F.col("value")).alias("type"), "value")
-        .filter("type IS NOT NULL AND field IS NOT NULL")
+    object_ = F.coalesce("v", F.parse_json(F.lit("{}")))
+    rows = notes.select("vault", "month", object_.alias("v")).lateralJoin(tvf.variant_explode_outer(F.col("v").outer()))
+    out = rows.select(
+        "vault", "month", (F.coalesce("pos", F.lit(0)) == 0).alias("first"), F.col("key").alias("field"), json_type(F.col("value")).alias("type"), F.to_json("value").alias("value")
     )
+    return cut(out, "drift-fields")
+
 
+def fields_of(every: DataFrame) -> DataFrame:
+    """The rows of :func:`exploded` that hold a field with a value."""
+    return every.filter("type IS NOT NULL AND field IS NOT NULL")
 
-def templates(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def templates(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``vault, month, prev, next, notes`` of the months; ``vault, month, field, type`` of their templates)."""
-    months = notes.groupBy("vault", "month").agg(F.count(F.lit(1)).alias("notes"))
-    typed = fields_of(notes).groupBy("vault", "month", "field", "type").agg(F.count(F.lit(1)).alias("n"))
+    months = every.groupBy("vault", "month").agg(F.count(F.when(F.col("first"), 1)).alias("notes"))
+    typed = fields_of(every).groupBy("vault", "month", "field", "type").agg(F.count(F.lit(1)).alias("n"))
     most = (
         typed.groupBy("vault", "month", "field")
         .agg(F.sum("n").alias("carriers"), F.min(F.struct((-F.col("n")).alias("neg"), "type")).alias("m"))
@@ -100,11 +107,11 @@ def templates(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
 _SCALAR = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false'
 
 
-def profiles(notes: DataFrame, wanted: DataFrame) -> DataFrame:
+def profiles(every: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(vault, month, field, vocab, shapes)`` of the ``wanted`` fields: minima of value hashes per slot and
     counts per hashed shape, at most ``SLOTS`` and ``SHAPES`` of them."""
-    f = fields_of(notes).join(wanted, ["vault", "month", "field"], "left_semi")
-    token = F.explode(F.regexp_extract_all(F.to_json("value"), F.lit(_SCALAR), F.lit(0))).alias("t")
+    f = fields_of(every).join(wanted, ["vault", "month", "field"], "left_semi")
+    token = F.explode(F.regexp_extract_all("value", F.lit(_SCALAR), F.lit(0))).alias("t")
     t = f.select("vault", "month", "field", token)
     # texts: runs of letters by length class, runs of digits as one; numbers keep their digits
     s = F.col("t")
@@ -214,11 +221,43 @@ def versions(fields: DataFrame) -> DataFrame:
     ).withColumn("fingerprint", F.sha2(F.array_join("fields", "\n"), 256))
 
 
-def drift_steps(files: DataFrame) -> DataFrame:
+def registry(files: DataFrame) -> DataFrame:
+    """The versions of all vaults: ``(vault, month, fingerprint, fields, parent, parent_month, steps)``.
+
+    A version is a vault's template in a month, named by its fingerprint; ``parent`` is the fingerprint of the vault's
+    version before it (null for the first), ``steps`` are the migrations from there, as structs of ``step, field_before,
+    field_after, type_before, type_after``.  A month whose notes share no field has the fingerprint of no fields."""
+    every = exploded(files)
+    months, fields = templates(every)
+    months, fields = cut(months, "drift-months"), cut(fields, "drift-templates")
+    steps = drift_steps(every, months, fields)
+    one = F.struct("step", "field_before", "field_after", "type_before", "type_after")
+    taken = steps.groupBy("vault", F.col("period").alias("month")).agg(F.array_sort(F.collect_list(one)).alias("steps"))  # at most two templates' fields
+    none = F.array().cast("array<string>")
+    named = months.join(versions(fields), ["vault", "month"], "left").select(
+        "vault", "month", "prev", F.coalesce("fields", none).alias("fields"), F.coalesce("fingerprint", F.sha2(F.lit(""), 256)).alias("fingerprint")
+    )
+    before = named.select("vault", F.col("month").alias("prev"), F.col("fingerprint").alias("parent"))
+    out = named.join(before, ["vault", "prev"], "left").join(taken, ["vault", "month"], "left")
+    empty = F.array().cast("array<struct<step:string,field_before:string,field_after:string,type_before:string,type_after:string>>")
+    out = cut(out.select("vault", "month", "fingerprint", "fields", "parent", F.col("prev").alias("parent_month"), F.coalesce("steps", empty).alias("steps")), "drift-registry")
+    discard(every, months, fields)
+    return out
+
+
+def steps_of(versions_: DataFrame) -> DataFrame:
+    """The migration steps of a registry, one a row (columns ``STEPS``)."""
+    return versions_.select("vault", F.col("month").alias("period"), F.explode("steps").alias("s")).select("vault", "period", "s.*")
+
+
+def templates_of(versions_: DataFrame) -> DataFrame:
+    """``(vault, month, field, type)`` of a registry."""
+    one = versions_.select("vault", "month", F.explode("fields").alias("f"))
+    return one.select("vault", "month", F.regexp_extract("f", "(?s)^(.*):[a-z]+$", 1).alias("field"), F.regexp_extract("f", ":([a-z]+)$", 1).alias("type"))
+
+
+def drift_steps(every: DataFrame, months: DataFrame, fields: DataFrame) -> DataFrame:
     """The migration steps between consecutive templates of every vault (columns ``STEPS``)."""
-    notes = cut(dated_notes(files).withColumn("v", F.to_json("v")), "drift-notes").withColumn("v", F.try_parse_json("v"))
-    months, fields = templates(notes)
-    months, fields = cut(months, "drift-months"), cut(fields, "drift-fields")
     now = fields.join(months.filter("prev IS NOT NULL").select("vault", "month", "prev"), ["vault", "month"]).select(
         "vault", F.col("month").alias("period"), "field", F.col("type").alias("type_after")
     )
@@ -245,30 +284,27 @@ def drift_steps(files: DataFrame) -> DataFrame:
         .select("vault", "month", "field")
         .distinct()
     )
-    prof = profiles(notes, wanted)
+    prof = profiles(every, wanted)
     rows = diff.join(prof, ["vault", "month", "field"], "left").drop("month")
     return rows.groupBy("vault").applyInPandas(_steps_of_vault, STEPS)
 
 
-def carried(notes: DataFrame) -> DataFrame:
+def carried(every: DataFrame) -> DataFrame:
     """``(field, n, type)`` of every field that any note carries, with the type of most of its values."""
-    typed = fields_of(notes).groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"))
+    typed = fields_of(every).groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"))
     most = typed.groupBy("field").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("neg"), "type")).alias("m"))
     return most.select("field", "n", F.col("m.type").alias("type"))
 
 
 def meanings(steps: DataFrame, fields: DataFrame, carried: DataFrame | None = None) -> tuple[dict[str, list[str]], dict[str, str]]:
-    """(column -> its names, most used first; column -> its type).  Names that the vaults renamed into one
-    another, at least three times or under similar names, are one meaning in all vaults; any other rename
-    holds in its own vault (:func:`chains`).  It becomes a table schema, so it is collected: one row per pair
-    of names, refused beyond ``MAX_COLUMNS`` names or ``MAX_PAIRS`` pairs.  Of the fields outside all templates
-    (``carried``), the ``FREE_COLUMNS`` that most notes carry have a column of their own."""
-    use = fields.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n")).limit(MAX_COLUMNS * 5 + 1).collect()
-    if len({r.field for r in use}) > MAX_COLUMNS:
-        raise ValueError(f"templates have more than {MAX_COLUMNS} field names")
-    pairs = steps.filter("step = 'rename'").groupBy("field_before", "field_after").agg(F.count(F.lit(1)).alias("n")).limit(MAX_PAIRS + 1).collect()
-    if len(pairs) > MAX_PAIRS:
-        raise ValueError(f"more than {MAX_PAIRS} pairs of names were renamed")
+    """(column -> its names, most used first; column -> its type).  Names that the vaults renamed into one another, at
+    least three times or under similar names, are one meaning in all vaults; any other rename holds in its own vault
+    (:func:`chains`).  The columns of a table cannot grow without bound: the ``MAX_COLUMNS`` names that most templates
+    hold have one, then the ``FREE_COLUMNS`` other names that most notes carry (``carried``).  Values under any further
+    name are kept in the table's column ``other``."""
+    typed = fields.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"))
+    most = typed.groupBy("field").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "field").limit(MAX_COLUMNS)
+    use = typed.join(F.broadcast(most), "field").select("field", "type", "n").collect()  # five types a name
     count: dict[str, int] = {}
     for r in use:
         count[r.field] = count.get(r.field, 0) + r.n
@@ -280,79 +316,96 @@ def meanings(steps: DataFrame, fields: DataFrame, carried: DataFrame | None = No
             x = root[x]
         return x
 
-    weight: dict[frozenset, int] = {}
-    for r in pairs:
-        weight[frozenset((r.field_before, r.field_after))] = weight.get(frozenset((r.field_before, r.field_after)), 0) + r.n
-    for k, n in sorted(weight.items(), key=lambda t: (-t[1], sorted(t[0]))):
-        if len(k) == 2:
-            a, b = sorted(k)
-            near = difflib.SequenceMatcher(None, _name_parts(a), _name_parts(b)).ratio() > 0.6
-            if a in root and b in root and (n >= 3 or near):
-                root[find(a)] = find(b)
+    a, b = F.least("field_before", "field_after").alias("a"), F.greatest("field_before", "field_after").alias("b")
+    pairs = steps.filter("step = 'rename' AND field_before <> field_after").select(a, b).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    for side in ("a", "b"):  # only names that have a column
+        pairs = pairs.join(F.broadcast(most.select(F.col("field").alias(side))), side, "left_semi")
+    for r in pairs.orderBy(F.desc("n"), "a", "b").toLocalIterator():  # one after the other, however many
+        near = r.n >= 3 or difflib.SequenceMatcher(None, _name_parts(r.a), _name_parts(r.b)).ratio() > 0.6
+        if near:
+            root[find(r.a)] = find(r.b)
     names: dict[str, list[str]] = {}
     for f in count:
         names.setdefault(find(f), []).append(f)
+    of_type: dict[str, dict[str, int]] = {}
     columns, kinds = {}, {}
-    for group in names.values():
+    for r in use:
+        t = of_type.setdefault(find(r.field), {})
+        t[r.type] = t.get(r.type, 0) + r.n
+    for top, group in names.items():
         group.sort(key=lambda f: (-count[f], f))
-        of: dict[str, int] = {}
-        for r in use:
-            if r.field in group:
-                of[r.type] = of.get(r.type, 0) + r.n
         columns[group[0]] = group
-        kinds[group[0]] = min(of, key=lambda t: (-of[t], t))
+        kinds[group[0]] = min(of_type[top], key=lambda t: (-of_type[top][t], t))
     if carried is not None:
-        free = carried.join(fields.select("field").distinct(), "field", "left_anti").orderBy(F.desc("n"), "field").limit(FREE_COLUMNS)
+        free = carried.join(F.broadcast(most.select("field")), "field", "left_anti").orderBy(F.desc("n"), "field").limit(FREE_COLUMNS)
         for r in free.collect():
             columns[r.field], kinds[r.field] = [r.field], r.type
     return columns, kinds
 
 
-MOVES = "vault string, month string, moves map<string,string>"
+MOVES = "vault string, month string, moves map<string,string>, casts map<string,array<string>>, entered array<string>"
 
 
 def chains(months: DataFrame, fields: DataFrame, steps: DataFrame, known: dict[str, str]) -> DataFrame:
-    """``MOVES`` of every vault and month: name -> column, where the renames that the vault went through after
-    that month lead to another column than ``known`` has for the name.  A chain ends where its field leaves.
+    """``MOVES`` of every version (vault and month): the steps that the vault went through after that month, in order.
+
+    ``moves``: name -> column, where the chain of renames leads to another column than ``known`` has for the name; a
+    chain ends where its field leaves.  ``casts``: name -> the types it was cast to on the way.  ``entered``: columns of
+    fields that entered later and stayed, whose default a note of this version gets.
 
     Names of one column keep apart (each has the column of its own name) in a vault that shows them to differ:
     a template has both, or one left as the other, of the same type, entered and their values were unlike."""
     marks = months.select("vault", F.col("month").alias("period"), F.lit("month").alias("step"), F.lit("").alias("field_before"), F.lit("").alias("field_after"), F.lit("").alias("type"))
     held = fields.select("vault", F.col("month").alias("period"), F.lit("field").alias("step"), F.col("field").alias("field_before"), F.lit("").alias("field_after"), "type")
-    kind = F.when(F.col("step") == "enter", F.col("type_after")).otherwise(F.col("type_before")).alias("type")
-    of = marks.unionByName(held).unionByName(steps.filter("step <> 'cast'").select("vault", "period", "step", "field_before", "field_after", kind))
+    kind = F.when(F.col("step").isin("enter", "cast"), F.col("type_after")).otherwise(F.col("type_before")).alias("type")
+    of = marks.unionByName(held).unionByName(steps.select("vault", "period", "step", "field_before", "field_after", kind))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         renamed: dict[str, dict[str, str]] = {}
         left: dict[str, set[str]] = {}
+        cast: dict[str, dict[str, str]] = {}
+        entered: dict[str, set[str]] = {}
         together: dict[tuple, set[str]] = {}  # names of one column in one template, or that left and entered unmatched
         for r in pdf.itertuples(index=False):
             name = r.field_after if r.step == "enter" else r.field_before
             if r.step in ("field", "leave", "enter") and name in known:
                 same = (r.period, "") if r.step == "field" else (r.period, r.type)
                 together.setdefault((*same, known[name]), set()).add(name)
-            if r.step == "rename":
+            if r.step == "cast":
+                cast.setdefault(r.period, {})[name] = r.type
+            elif r.step == "enter":
+                entered.setdefault(r.period, set()).add(name)
+            elif r.step == "rename":
                 renamed.setdefault(r.period, {})[r.field_before] = r.field_after
             elif r.step == "leave":
                 left.setdefault(r.period, set()).add(r.field_before)
-        periods = sorted(renamed.keys() | left.keys())
+        periods = sorted(renamed.keys() | left.keys() | cast.keys() | entered.keys())
         apart = {n for names in together.values() if len(names) > 1 for n in names}
         to = {n: n if n in apart else c for n, c in known.items()}
         sources = sorted({x for of_period in renamed.values() for x in of_period} | apart)
         rows = []
+        every = sorted(set(sources) | {x for of_period in cast.values() for x in of_period})
         for month in sorted(set(pdf.loc[pdf["step"] == "month", "period"])):
-            moves = {}
-            for x in sources:
-                name = x
+            moves, casts, new = {}, {}, set()
+            for x in every:
+                name, types = x, []
                 for p in periods:
                     if p > month:
+                        if name in cast.get(p, ()):
+                            types.append(cast[p][name])
                         if name in renamed.get(p, ()):
                             name = renamed[p][name]
                         elif name in left.get(p, ()):
                             break
-                if name in to and to[name] != known.get(x):
+                if name in to and to[name] != known.get(x) and x in sources:
                     moves[x] = to[name]
-            rows.append((pdf["vault"].iloc[0], month, moves))
+                if types:
+                    casts[x] = types
+            for p in periods:  # what entered, under the name it has now, unless it left again
+                if p > month:
+                    names = renamed.get(p, {})
+                    new = {names.get(n, n) for n in new if n not in left.get(p, ())} | entered.get(p, set())
+            rows.append((pdf["vault"].iloc[0], month, moves, casts, sorted({to[n] for n in new if n in to})))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in MOVES.split(", ")])
 
     return of.groupBy("vault").applyInPandas(run, MOVES)
@@ -396,22 +449,28 @@ def _column_names(columns: list[str]) -> dict[str, str]:
     return out
 
 
-def unify(files: DataFrame, steps: DataFrame, fields: DataFrame) -> DataFrame:
-    """``path, vault, month, version`` (the fingerprint of the template of that vault and month), one column
-    per meaning, ``other`` and ``applied``: the rules of that version that the note went through.  A column absent from a note is null by default.  ``other`` holds, by name and as JSON, what
-    no column holds: fields without a column, the further values of a note that carries several names of
-    one column, and values that cannot be read as the type of their column."""
-    notes = cut(dated_notes(files).withColumn("v", F.to_json("v")), "unify-notes").withColumn("v", F.try_parse_json("v"))
-    every = cut(carried(notes), "unify-carried")
+def unify(files: DataFrame, versions_: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
+    """All notes as one table, each routed through its version's chain of rules in a :func:`registry`: ``path, vault,
+    month, version`` (the fingerprint), one column per meaning, ``other`` and ``applied``, the rules that changed something
+    in the note: renames, casts, defaults of fields that entered its vault later (``defaults`` by column, else null),
+    values kept in ``other``.  ``other`` holds, by name and as JSON, what no column holds: fields without a column, the
+    further values of a note that carries several names of one column, and values that cannot be read as the type of
+    their column."""
+    defaults = defaults or {}
+    steps, fields = steps_of(versions_), templates_of(versions_)
+    spread_out = exploded(files)
+    every = cut(carried(spread_out), "unify-carried")
+    discard(spread_out)
     columns, kinds = meanings(steps, fields, every)
     ranked = {n: (c, i) for c, group in columns.items() for i, n in enumerate(group)}
-    moves = cut(chains(notes.select("vault", "month").distinct(), fields, steps, {n: c for n, (c, _) in ranked.items()}), "unify-moves")
+    moves = cut(chains(versions_.select("vault", "month"), fields, steps, {n: c for n, (c, _) in ranked.items()}), "unify-moves")
     # names that a vault keeps apart from their column; never more than there are names
     own = [r.col for r in moves.select(F.explode(F.map_values("moves")).alias("col")).distinct().collect() if r.col not in columns]
     if own:
-        kinds |= {r.field: r.type for r in every.join(F.broadcast(notes.sparkSession.createDataFrame([(c,) for c in own], "field string")), "field").collect()}
+        kinds |= {r.field: r.type for r in every.join(F.broadcast(files.sparkSession.createDataFrame([(c,) for c in own], "field string")), "field").collect()}
         columns |= {c: [c] for c in own}
-    fingerprints = versions(fields).select("vault", "month", F.col("fingerprint").alias("version"))
+    notes = dated_notes(files)
+    fingerprints = versions_.select("vault", "month", F.col("fingerprint").alias("version"))
     notes = notes.join(moves.join(fingerprints, ["vault", "month"], "left"), ["vault", "month"], "left")
     pairs = [x for n, (c, i) in ranked.items() for x in (F.lit(n), F.struct(F.lit(c).alias("col"), F.lit(i).alias("rank")))]
     known = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,struct<col:string,rank:int>>")
@@ -441,7 +500,12 @@ def unify(files: DataFrame, steps: DataFrame, fields: DataFrame) -> DataFrame:
     for c in order:
         p = F.col("p")[at[c]]
         value = F.col("c")[at[c]]
-        out.append(value.alias(shown[c]))
+        missing = p["name"].isNull() & F.coalesce(F.array_contains("entered", c), F.lit(False))
+        default = F.lit(defaults[c]) if c in defaults else None
+        out.append((value if default is None else F.when(missing, default).otherwise(value)).alias(shown[c]))
+        applied.append(F.when(missing, f"default {c}"))
+        on_the_way = F.array_join(F.try_element_at("casts", p["name"]), ", ")
+        applied.append(F.when(p["name"].isNotNull(), F.concat(F.lit(f"cast {c} on the way to "), on_the_way)))
         applied.append(F.when(p["name"] != c, F.concat(F.lit("rename "), p["name"], F.lit(f" to {c}"))))
         was = _type_of(p["json"])
         applied.append(F.when(p["name"].isNotNull() & (was != kinds[c]), F.concat(F.lit(f"cast {c} from "), was, F.lit(f" to {kinds[c]}"))))

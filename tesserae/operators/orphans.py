@@ -1,10 +1,13 @@
 """Orphan references: rows that point at keys no suitable record holds.
 
-Skew-aware split.  References are pre-aggregated per key (map-side combine, so a key that holds a
-third of all rows costs one row per task).  Keys above ``heavy_share`` of all references are at most
-``1/heavy_share`` in number, a proven bound, so their targets are broadcast and their references
-never move.  The references of all other keys are shuffled by key and anti-joined.  The two
-results are unioned.
+Skew-aware split of pre-aggregated references.  References are counted per key, vault and period, with their first
+and last moment (map-side combine, so a key that holds a third of all rows costs one row per task and group).  What
+is split and checked are these groups.  Groups above ``heavy_share`` of all references are at most ``1/heavy_share`` in
+number, a proven bound, so they and their targets are broadcast; the other groups are shuffled by key.  A group
+whose target is missing, or was created after its last reference, is orphan as a whole; one whose target was there
+before its first reference is not.  Only in a group during which the target was created does the moment of each
+reference count.  The two results are unioned; counts come from the groups, rows by joining references back to
+orphan groups, broadcast for the heavy ones.
 
 Defined results
 * a reference whose key columns are both null is an orphan unless excluded by the caller's filter;
@@ -79,52 +82,61 @@ def note_references(links: DataFrame, files: DataFrame, asset_types: DataFrame)
     return refs.join(src, refs.source == src.path).select("id", "source", "kind", "key", "at")
 
 
-def orphan_references(refs: DataFrame, keys: DataFrame, heavy_share: float = 0.001) -> DataFrame:
-    """Rows ``(kind, key, at, ...)`` without a key row created at or before ``at``; a row stands for ``n``
-    references where it has such a column, else for one."""
-    spark = refs.sparkSession
-    refs = cut(refs, "orphan-refs")
-    weight = F.sum("n") if "n" in refs.columns else F.count(F.lit(1))
-    per_key = refs.groupBy("kind", "key").agg(weight.alias("n_refs"))
-    total = refs.agg(weight).first()[0] or 0
-    heavy = per_key.filter(F.col("n_refs") > F.lit(total * heavy_share)).select(
-        F.col("kind").alias("h_kind"), F.col("key").alias("h_key")
-    )
-    heavy = cut(heavy, "orphan-heavy")  # at most 1/heavy_share rows
-    hk = (F.col("kind").eqNullSafe(F.col("h_kind"))) & (F.col("key").eqNullSafe(F.col("h_key")))
-    heavy_targets = keys.join(F.broadcast(heavy), hk, "left_semi").select(
-        F.col("kind").alias("t_kind"), F.col("key").alias("t_key"), "first_ctime"
-    )
-    found = (
-        (F.col("kind") == F.col("t_kind"))
-        & (F.col("key") == F.col("t_key"))
-        & (F.col("first_ctime") <= F.col("at"))
-    )
-    heavy_orphans = refs.join(F.broadcast(heavy), hk, "left_semi").join(
-        F.broadcast(heavy_targets), found, "left_anti"
-    )
-    light_targets = keys.select(F.col("kind").alias("t_kind"), F.col("key").alias("t_key"), "first_ctime")
-    light_orphans = refs.join(F.broadcast(heavy), hk, "left_anti").join(light_targets, found, "left_anti")
-    return heavy_orphans.unionByName(light_orphans)
+GROUP = ("kind", "key", "vault", "period")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    out = F.lit(True)
+    for c in GROUP:
+        out = out & a[c].eqNullSafe(b[c])
+    return out
+
+
+def orphan_groups(refs: DataFrame, keys: DataFrame, heavy_share: float = 0.001) -> DataFrame:
+    """``(kind, key, vault, period, n, first_ctime, mixed, heavy)``: groups of references (``GROUP``, at) that are orphan as a
+    whole or, if ``mixed``, where the reference came before ``first_ctime``."""
+    counted = refs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    counted = cut(counted, "orphan-counted")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    split = counted.withColumn("heavy", F.col("n") > F.lit(total * heavy_share))
+    t = keys.select(F.col("kind").alias("t_kind"), F.col("key").alias("t_key"), "first_ctime")
+    at_key = (F.col("kind") == F.col("t_kind")) & (F.col("key") == F.col("t_key"))
+    heavy = F.broadcast(split.filter("heavy"))  # at most 1/heavy_share rows
+    heavy_targets = F.broadcast(t.join(heavy, at_key, "left_semi"))
+    checked = split.filter("heavy").join(heavy_targets, at_key, "left").unionByName(split.filter("NOT heavy").join(t, at_key, "left"))
+    some = F.col("first_ctime").isNull() | (F.col("first_at") < F.col("first_ctime"))
+    mixed = F.coalesce(F.col("last_at") >= F.col("first_ctime"), F.lit(False))
+    return cut(checked.filter(some).select(*GROUP, "n", "first_ctime", mixed.alias("mixed"), "heavy"), "orphan-groups")
+
+
+def orphan_rows(refs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The references that :func:`orphan_groups` tells are orphans."""
+    out = None
+    for heavy in (True, False):
+        g = groups.filter(F.col("heavy") == heavy)
+        g = F.broadcast(g) if heavy else g
+        late = F.col("mixed") & (F.col("at") >= F.col("first_ctime"))
+        part = refs.join(g, _same(refs, g)).filter(~late).select(*(refs[c] for c in refs.columns))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _references(links: DataFrame, files: DataFrame, asset_types: DataFrame) -> DataFrame:
+    refs = note_references(links, files, asset_types)
+    return cut(refs.select("id", "source", "kind", "key", vault_of(F.col("source")).alias("vault"), utc_month(F.col("at")).alias("period"), "at"), "orphan-refs")
 
 
 def orphan_links(links: DataFrame, files: DataFrame, changes: DataFrame, asset_types: DataFrame) -> DataFrame:
     """(id, source, kind, key, vault, period) of every note link without a suitable note."""
-    refs = note_references(links, files, asset_types)
-    keys = target_keys(live_targets(files, changes))
-    return orphan_references(refs, keys).select(
-        "id", "source", "kind", "key", vault_of(F.col("source")).alias("vault"), utc_month(F.col("at")).alias("period")
-    )
+    refs = _references(links, files, asset_types)
+    groups = orphan_groups(refs, target_keys(live_targets(files, changes)))
+    return orphan_rows(refs, groups).select("id", "source", "kind", "key", "vault", "period")
 
 
 def orphan_counts(links: DataFrame, files: DataFrame, changes: DataFrame, asset_types: DataFrame) -> DataFrame:
-    """Orphans per source vault and month.  References are pre-aggregated per key, vault, period and moment, so
-    what is split, checked and shuffled are counts, not references."""
-    vault, period = vault_of(F.col("source")).alias("vault"), utc_month(F.col("at")).alias("period")
-    counted = (
-        note_references(links, files, asset_types)
-        .groupBy("kind", "key", vault, period, "at")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    keys = target_keys(live_targets(files, changes))
-    return orphan_references(counted, keys).groupBy("vault", "period").agg(F.sum("n").alias("n_orphans"))
+    """Orphans per source vault and month: sums of whole groups, and the references of mixed ones one by one."""
+    refs = _references(links, files, asset_types)
+    groups = orphan_groups(refs, target_keys(live_targets(files, changes)))
+    whole = groups.filter("NOT mixed").select("vault", "period", "n")
+    single = orphan_rows(refs, groups.filter("mixed")).select("vault", "period", F.lit(1).cast("bigint").alias("n"))
+    return whole.unionByName(single).groupBy("vault", "period").agg(F.sum("n").alias("n_orphans"))

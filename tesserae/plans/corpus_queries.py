@@ -10,18 +10,18 @@ from ..runtime import load
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.drift_steps(load(spark, d, "files")).select("vault", "period", "field_before", "field_after")
+    steps = drift.steps_of(drift.registry(load(spark, d, "files")))
+    return steps.select("vault", "period", "field_before", "field_after")
 
 
 def p1_versions(spark: SparkSession, d: str) -> DataFrame:
-    _, fields = drift.templates(drift.dated_notes(load(spark, d, "files")))
-    return drift.versions(fields).select("vault", "month", "fingerprint", F.array_join("fields", "|").alias("fields"))
+    r = drift.registry(load(spark, d, "files"))
+    return r.select("vault", "month", "fingerprint", "parent", F.array_join("fields", "|").alias("fields"))
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
     files = load(spark, d, "files")
-    _, fields = drift.templates(drift.dated_notes(files))
-    return drift.unify(files, drift.drift_steps(files), fields)
+    return drift.unify(files, drift.registry(files))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +59,24 @@ orphan AS (SELECT refs.id, split_part(refs.source, '/', 1) AS vault, strftime(to
 """
 
 
+_P1 = r"""
+WITH d AS (SELECT DISTINCT ON (path) path, ctime, frontmatter FROM files WHERE ctime IS NOT NULL),
+n AS (SELECT path, split_part(path, '/', 1) AS vault, strftime(make_timestamp(ctime * 1000), '%Y-%m') AS month,
+  CASE WHEN json_valid(frontmatter) AND ltrim(frontmatter)[1] = '{' THEN CAST(frontmatter AS JSON) END AS fm FROM d),
+m AS (SELECT vault, month, count(*) AS notes FROM n GROUP BY 1, 2),
+e AS (SELECT vault, month, j.key AS field, CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array'
+  WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type FROM n, json_each(n.fm) j WHERE fm IS NOT NULL AND j.type <> 'NULL'),
+t AS (SELECT vault, month, field, type, count(*) AS n FROM e GROUP BY ALL),
+c AS (SELECT vault, month, field, sum(n) AS carriers, arg_min(type, (-n, type)) AS type FROM t GROUP BY 1, 2, 3),
+f AS (SELECT vault, month, list_sort(list(field || ':' || c.type)) AS fields FROM c JOIN m USING (vault, month) WHERE carriers * 2 > notes GROUP BY 1, 2),
+v AS (SELECT vault, month, coalesce(array_to_string(fields, chr(10)), '') AS x, coalesce(array_to_string(fields, '|'), '') AS fields FROM m LEFT JOIN f USING (vault, month))
+SELECT vault, month, sha256(x) AS fingerprint, sha256(lag(x) OVER (PARTITION BY vault ORDER BY month)) AS parent, fields FROM v
+"""
+
+
 def oracle_sql():
     return {
+        "p1_versions": _P1,
         "p3_found": _P3 + "SELECT id, period FROM orphan",
         "p3_counts": _P3 + "SELECT vault, period, count(*) AS n_orphans FROM orphan GROUP BY 1, 2",
     }
