@@ -82,6 +82,8 @@ def note_references(links: DataFrame, files: DataFrame, asset_types: DataFrame)
     return refs.join(src, refs.source == src.path).select("id", "source", "kind", "key", "at")
 
 
+#: A group with a greater share of all references is heavy.
+HEAVY_SHARE = 0.001
 GROUP = ("kind", "key", "vault", "period")
 
 
@@ -92,11 +94,12 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return out
 
 
-def orphan_groups(refs: DataFrame, keys: DataFrame, heavy_share: float = 0.001) -> DataFrame:
-    """``(kind, key, vault, period, n, first_ctime, mixed, heavy)``: groups of references (``GROUP``, at) that are orphan as a
-    whole or, if ``mixed``, where the reference came before ``first_ctime``."""
+def orphan_groups(refs: DataFrame, keys: DataFrame, heavy_share: float | None = None) -> DataFrame:
+    """``(kind, key, vault, period, n, first_ctime, mixed, heavy, orphan)``: groups of references (``GROUP``, at) that are orphan
+    as a whole or, if ``mixed``, where the reference came before ``first_ctime``; and all heavy groups, orphan or not."""
     counted = refs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     counted = cut(counted, "orphan-counted")
+    heavy_share = HEAVY_SHARE if heavy_share is None else heavy_share
     total = counted.agg(F.sum("n")).first()[0] or 0
     split = counted.withColumn("heavy", F.col("n") > F.lit(total * heavy_share))
     t = keys.select(F.col("kind").alias("t_kind"), F.col("key").alias("t_key"), "first_ctime")
@@ -106,19 +109,17 @@ def orphan_groups(refs: DataFrame, keys: DataFrame, heavy_share: float = 0.001)
     checked = split.filter("heavy").join(heavy_targets, at_key, "left").unionByName(split.filter("NOT heavy").join(t, at_key, "left"))
     some = F.col("first_ctime").isNull() | (F.col("first_at") < F.col("first_ctime"))
     mixed = F.coalesce(F.col("last_at") >= F.col("first_ctime"), F.lit(False))
-    return cut(checked.filter(some).select(*GROUP, "n", "first_ctime", mixed.alias("mixed"), "heavy"), "orphan-groups")
+    told = checked.select(*GROUP, "n", "first_ctime", mixed.alias("mixed"), "heavy", some.alias("orphan"))
+    return cut(told.filter("orphan OR heavy"), "orphan-groups")
 
 
 def orphan_rows(refs: DataFrame, groups: DataFrame) -> DataFrame:
     """The references that :func:`orphan_groups` tells are orphans."""
-    out = None
-    for heavy in (True, False):
-        g = groups.filter(F.col("heavy") == heavy)
-        g = F.broadcast(g) if heavy else g
-        late = F.col("mixed") & (F.col("at") >= F.col("first_ctime"))
-        part = refs.join(g, _same(refs, g)).filter(~late).select(*(refs[c] for c in refs.columns))
-        out = part if out is None else out.unionByName(part)
-    return out
+    every_heavy = F.broadcast(groups.filter("heavy"))
+    few, many = F.broadcast(groups.filter("heavy AND orphan")), groups.filter("NOT heavy")
+    at_heavy = refs.join(few, _same(refs, few)).filter("NOT mixed OR at < first_ctime").select(*(refs[c] for c in refs.columns))
+    rest = refs.join(every_heavy, _same(refs, every_heavy), "left_anti")  # no heavy group is shuffled
+    return at_heavy.unionByName(rest.join(many, _same(rest, many)).filter("NOT mixed OR at < first_ctime").select(*(rest[c] for c in refs.columns)))
 
 
 def _references(links: DataFrame, files: DataFrame, asset_types: DataFrame) -> DataFrame:
@@ -137,6 +138,6 @@ def orphan_counts(links: DataFrame, files: DataFrame, changes: DataFrame, asset_
     """Orphans per source vault and month: sums of whole groups, and the references of mixed ones one by one."""
     refs = _references(links, files, asset_types)
     groups = orphan_groups(refs, target_keys(live_targets(files, changes)))
-    whole = groups.filter("NOT mixed").select("vault", "period", "n")
-    single = orphan_rows(refs, groups.filter("mixed")).select("vault", "period", F.lit(1).cast("bigint").alias("n"))
+    whole = groups.filter("orphan AND NOT mixed").select("vault", "period", "n")
+    single = orphan_rows(refs, groups.filter("mixed OR heavy").withColumn("orphan", F.col("orphan") & F.col("mixed"))).select("vault", "period", F.lit(1).cast("bigint").alias("n"))
     return whole.unionByName(single).groupBy("vault", "period").agg(F.sum("n").alias("n_orphans"))

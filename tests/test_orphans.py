@@ -54,7 +54,7 @@ def test_empty_tables(spark):
     assert ids(t) == [1]  # a note without ctime and keys suits nobody
 
 
-def test_hot_key_against_a_loop(spark):
+def test_hot_key_against_a_loop(spark, monkeypatch):
     rnd = random.Random(5)
     files = [(f"v{i % 7}/n{i}.md", f"n{i % 40}", f"v{i % 7}/n{i}", T0 + rnd.randrange(100), T0 + rnd.randrange(100)) for i in range(120)]
     links = []
@@ -70,5 +70,8 @@ def test_hot_key_against_a_loop(spark):
             want.append(i)
     t = tables(spark, files, links, [])
     assert ids(t) == sorted(want)
+    for share in (0.0, 1.0):  # all groups are heavy, none is
+        monkeypatch.setattr(orphans, "HEAVY_SHARE", share)
+        assert ids(t) == sorted(want) and sum(r.n_orphans for r in orphans.orphan_counts(*t).collect()) == len(want)
     counts = orphans.orphan_counts(*t)
     assert sum(r.n_orphans for r in counts.collect()) == len(want)
