@@ -33,6 +33,7 @@ class Result:
     type: str
     offset: int = 0
     size: int | None = None
+    counted: DataFrame | None = None  # what to count where ``all_rows`` does not reach beyond the page
 
     @property
     def df(self) -> DataFrame:
@@ -43,7 +44,7 @@ class Result:
 
     @cached_property
     def total(self) -> int:
-        return self.all_rows.count()
+        return (self.all_rows if self.counted is None else self.counted).count()
 
     @cached_property
     def rows(self) -> list[dict]:
@@ -65,8 +66,12 @@ class Result:
 
 
 class Engine:
-    def __init__(self, catalog: Catalog):
-        self.catalog = catalog
+    def __init__(self, catalog: Catalog, index: fts.GramIndex | None = None):
+        self.catalog, self.index = catalog, index
+
+    def with_index(self, directory: str) -> Engine:
+        """With the search index kept in ``directory``, which is built where it is missing or of another version."""
+        return Engine(self.catalog, fts.GramIndex.ensure(self.catalog.files, directory))
 
     def query(self, text: str, offset=None, size=None, now: datetime | None = None, sort_tasks: bool = False) -> Result:
         """Rows of a query.  Paging applies outside the query's own LIMIT."""
@@ -89,8 +94,11 @@ class Engine:
 
     def search(self, text: str, offset=None, size=None) -> Result:
         """Full-text search: ``path, name, snippet``, best first."""
-        df = fts.search(self.catalog.files, text)
-        return Result(df, ["path", "name", "snippet"], "SEARCH", clamp(offset, 0), clamp(size, None))
+        offset, size, columns = clamp(offset, 0), clamp(size, None), ["path", "name", "snippet"]
+        if self.index is None or size is None:
+            return Result(fts.search(self.catalog.files, text, self.index), columns, "SEARCH", offset, size)
+        page = fts.search(self.catalog.files, text, self.index, most=offset + size)
+        return Result(page, columns, "SEARCH", offset, size, fts.count_hits(self.catalog.files, text, self.index))
 
     def read_note(self, path: str, offset=None, size=None) -> Result:
         """A window of a note's body lines: 200 by default, at most 2000."""

@@ -1,25 +1,29 @@
 """Full-text search: substring terms, ranked by BM25 over trigram documents.
 
-Everything runs as expressions over one scan.  With a :class:`GramIndex` the scan is limited to files
-that hold all trigrams of a term (or, for ideographs, any), found by an equi-join on postings.
+Without an index everything runs as expressions over one scan.  A :class:`GramIndex` is kept in a folder: postings
+with positions, laid out by a hash of the gram and sorted by gram, so a search reads the few row groups of its
+grams.  A term occurs where its overlapping trigrams stand in a row; hits, how often each term occurs, document
+frequencies and scores all come from postings and lengths.  Contents are read for the page that is shown.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import typed as T
 from ..plans.dql.syntax import NotIndexed
-from ..runtime import cut
+from ..runtime import cut, hadoop_path, parallelism, remove
 
 GRAM, SHORTEST = 3, 2
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-INDEX_VERSION = 1
+INDEX_VERSION, DESCRIPTION = 2, "index.json"
 _CJK = re.compile("[㐀-䶿一-鿿]")
 
 
@@ -37,40 +41,88 @@ def grams(term: str) -> list[str]:
     return list(dict.fromkeys(term[i : i + GRAM] for i in range(len(term) - GRAM + 1)))
 
 
-@dataclass
+@dataclass(frozen=True)
 class GramIndex:
-    """Postings ``(path, gram, tf)`` and lengths ``(path, length)``, written to the shared folder, with the version
-    of the rule that made them."""
+    """Postings ``(bucket, gram, path, at)`` (``at``: where the gram begins in path, name and content, one after the other)
+    and ``(path, length)`` below ``directory``, with the number of files, their mean length and of buckets."""
 
-    postings: DataFrame
-    lengths: DataFrame
-    version: int = INDEX_VERSION
+    spark: SparkSession
+    directory: str
+    n_files: int
+    mean_length: float
+    buckets: int
 
     @classmethod
-    def build(cls, files: DataFrame) -> GramIndex:
+    def write(cls, files: DataFrame, directory: str, buckets: int | None = None) -> GramIndex:
+        """Build the index of ``files`` (path, name, content); it counts once its description is written, at the end."""
+        spark, root = files.sparkSession, directory.rstrip("/")
+        buckets = buckets or parallelism(spark)
+        remove(spark, f"{root}/{DESCRIPTION}")
         text = F.lower(F.concat_ws("\u0000", "path", "name", "content"))
-        # overlapping trigrams: an empty match before each of them, by look-ahead
-        g = files.select("path", F.explode(F.regexp_extract_all(text, F.lit("(?s)(?=([^\u0000]{3}))"), F.lit(1))).alias("gram"))
-        postings = g.groupBy("path", "gram").agg(F.count(F.lit(1)).alias("tf"))
-        return cls(cut(postings, "search-postings"), cut(files.select("path", _length().alias("length")), "search-lengths"))
+        # an empty match before each character, by look-ahead; what runs over a separator is no gram
+        chars = F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))
+        g = files.select("path", F.posexplode(chars).alias("pos", "gram")).filter(~F.col("gram").contains("\u0000"))
+        postings = g.groupBy("path", "gram").agg(F.sort_array(F.collect_list("pos")).alias("at"))  # at most a file's length
+        postings = postings.withColumn("bucket", F.pmod(F.crc32("gram"), F.lit(buckets)).cast("int"))
+        laid = postings.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(4))).sortWithinPartitions("bucket", "gram", "path")
+        laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+        files.select("path", _length().alias("length")).write.mode("overwrite").parquet(f"{root}/lengths")
+        size = spark.read.parquet(f"{root}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
+        out = cls(spark, root, size.n, float(size.avg or 1.0), buckets)
+        path, fs = hadoop_path(spark, f"{root}/{DESCRIPTION}")
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps({"version": INDEX_VERSION, "n_files": out.n_files, "mean_length": out.mean_length, "buckets": buckets}).encode()))
+        stream.close()
+        return out
 
-    def checked(self) -> GramIndex:
-        if self.version != INDEX_VERSION:
+    @classmethod
+    def open(cls, spark: SparkSession, directory: str) -> GramIndex:
+        root = directory.rstrip("/")
+        path, fs = hadoop_path(spark, f"{root}/{DESCRIPTION}")
+        if not fs.exists(path):
+            raise NotIndexed(f"no search index in {directory}")
+        stream = fs.open(path)
+        try:
+            d = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        if d.get("version") != INDEX_VERSION:
             raise NotIndexed("the search index was built by another version; build it again")
-        return self
-
-    def candidates(self, wanted: list[list[str]], all_of: bool) -> DataFrame:
-        """Paths that can match: hold every gram of every term, or any gram."""
-        flat = list(dict.fromkeys(g for ts in wanted for g in ts))
-        hits = self.postings.filter(F.col("gram").isin(flat)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-        return (hits.filter(F.col("n") == len(flat)) if all_of else hits).select("path")
+        return cls(spark, root, d["n_files"], d["mean_length"], d["buckets"])
 
-    def of_any_term(self, wanted: list[list[str]]) -> DataFrame:
-        """Paths that hold every gram of at least one term: all files that any term occurs in."""
-        flat = list(dict.fromkeys(g for ts in wanted for g in ts))
-        held = [F.sum(F.col("gram").isin(ts).cast("int")).alias(f"t{i}") for i, ts in enumerate(wanted)]
-        full = " OR ".join(f"t{i} = {len(ts)}" for i, ts in enumerate(wanted))
-        return self.postings.filter(F.col("gram").isin(flat)).groupBy("path").agg(*held).filter(full).select("path")
+    @classmethod
+    def ensure(cls, files: DataFrame, directory: str) -> GramIndex:
+        """The index in ``directory``; built where there is none or one of another version."""
+        try:
+            return cls.open(files.sparkSession, directory)
+        except NotIndexed:
+            return cls.write(files, directory)
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.spark.read.schema("path string, length int").parquet(f"{self.directory}/lengths")
+
+    def postings(self, wanted: list[str]) -> DataFrame:
+        """The postings of some grams: only their buckets and row groups are read."""
+        p = self.spark.read.schema("gram string, path string, at array<int>, bucket int").parquet(f"{self.directory}/postings")
+        of = sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % self.buckets for g in wanted})
+        return p.filter(F.col("bucket").isin(of) & F.col("gram").isin(wanted))
+
+    def counts(self, term: str) -> DataFrame:
+        """``(path, c)`` of the files that hold the term: how often, overlapping occurrences too."""
+        places = [(utf16(term[:i]), term[i : i + GRAM]) for i in range(len(term) - GRAM + 1)]  # positions count UTF-16 units
+        flat = list(dict.fromkeys(g for _, g in places))
+        per_file = self.postings(flat).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("gram", "at"))).alias("m"))  # a row per gram of the term
+        per_file = per_file.filter(F.size("m") == len(flat))
+        begins = None
+        for i, g in places:
+            at = _less(F.col("m")[g], i)
+            begins = at if begins is None else F.array_intersect(begins, at)
+        return per_file.select("path", F.size(begins).alias("c")).filter("c > 0")
+
+
+def _less(c: Column, n: int) -> Column:
+    return F.transform(c, lambda x: x - n)
 
 
 def _length() -> Column:
@@ -120,44 +172,76 @@ def like_search(files: DataFrame, terms: list[str]) -> DataFrame:
     return files.filter(hit).select("path", "name", snippet(terms).alias("snippet")).orderBy("path")
 
 
-def ranked(files: DataFrame, phrases: list[str], all_of: bool, show: list[str], index: GramIndex | None = None) -> DataFrame:
+def _idf(n_files: int, n: int) -> float:
+    return max(LEAST_IDF, math.log((n_files - n + 0.5) / (n + 0.5))) if n_files else LEAST_IDF
+
+
+def _score(idf: float, c: Column, length: Column, mean: float) -> Column:
+    return F.lit(idf) * c * (K1 + 1) / (c + K1 * (1 - B + B * length / F.lit(mean)))
+
+
+def ranked(files: DataFrame, phrases: list[str], all_of: bool, show: list[str]) -> DataFrame:
     """``path, name, snippet, score``: BM25, best first.  Statistics cover all files; scores only the matching."""
     low = [p.lower() for p in phrases]
-    scan = seen = files
-    if index is not None:
-        wanted = [grams(p) for p in low]
-        scan = files.join(index.checked().candidates(wanted, all_of), "path", "left_semi")
-        seen = files.join(index.of_any_term(wanted), "path", "left_semi")  # a term's frequency is not that of all terms
     # the folded text is made once per row; the optimizer would else copy it into every condition and count
     text = T.once(F.lower(F.concat_ws("\u0000", "path", "name", "content"))).alias("__text")
-    scan, seen = scan.select("path", "name", "content", text), seen.select(text)
+    scan = files.select("path", "name", "content", text)
     held = [F.col("__text").contains(p) for p in low]
-    counts = seen.agg(*(F.sum(h.cast("bigint")).alias(f"n{i}") for i, h in enumerate(held))).first()
-    lengths = index.lengths if index is not None else files.select(_length().alias("length"))
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
+    counted = scan.agg(*(F.sum(h.cast("bigint")).alias(f"n{i}") for i, h in enumerate(held)), F.count(F.lit(1)).alias("n"), F.avg(_length()).alias("avg")).first()
     hit, score = None, F.lit(0.0)
     for h in held:
         hit = h if hit is None else (hit & h if all_of else hit | h)
     for i, p in enumerate(low):
-        n = counts[f"n{i}"] or 0
-        idf = max(LEAST_IDF, math.log((size.n - n + 0.5) / (n + 0.5))) if size.n else LEAST_IDF
         c = F.regexp_count("__text", F.lit("(?=" + _quoted(p) + ")"))  # overlapping occurrences
-        score = score + F.lit(idf) * c * (K1 + 1) / (c + K1 * (1 - B + B * _length() / F.lit(float(size.avg or 1.0))))
+        score = score + _score(_idf(counted.n, counted[f"n{i}"] or 0), c, _length(), float(counted.avg or 1.0))
     out = scan.filter(hit).select("path", "name", snippet(show).alias("snippet"), score.alias("score"))
     return out.orderBy(F.desc("score"), "path")
 
 
-def search(files: DataFrame, text: str, index: GramIndex | None = None, with_score: bool = False) -> DataFrame:
-    """``path, name, snippet`` of the files that match ``text``.
+def indexed_hits(index: GramIndex, phrases: list[str], all_of: bool) -> DataFrame:
+    """``(path, score)`` of the matching files, best first, as :func:`ranked` would; no content is read."""
+    low = list(dict.fromkeys(p.lower() for p in phrases))
+    counted = [index.counts(p) for p in low]
+    every = None
+    for i, df in enumerate(counted):
+        one = df.select("path", F.lit(i).alias("term"), "c")
+        every = one if every is None else every.unionByName(one)
+    every = cut(every, "search-hits")
+    found = {r.term: r["count"] for r in every.groupBy("term").count().collect()}  # a row per term
+    times = {p.lower(): [q.lower() for q in phrases].count(p.lower()) for p in phrases}
+    idf = F.create_map(*(x for i, p in enumerate(low) for x in (F.lit(i), F.lit(_idf(index.n_files, found.get(i, 0)) * times[p]))))
+    part = F.col("c") * (K1 + 1) / (F.col("c") + K1 * (1 - B + B * F.col("length") / F.lit(index.mean_length)))
+    scored = every.join(index.lengths, "path").groupBy("path").agg(F.sum(idf[F.col("term")] * part).alias("score"), F.count(F.lit(1)).alias("held"))
+    return (scored.filter(F.col("held") == len(low)) if all_of else scored).select("path", "score").orderBy(F.desc("score"), "path")
+
+
+def search(files: DataFrame, text: str, index: GramIndex | None = None, with_score: bool = False, most: int | None = None) -> DataFrame:
+    """``path, name, snippet`` of the files that match ``text``, or the first ``most`` of them.
 
     A term under three characters: every term must be in the content or name, by path.  Ideographs: any
     trigram of the terms, by rank.  Otherwise: every term in the path, name or content, by rank.
     """
     terms = terms_of(text)
     if any(utf16(t) < GRAM for t in terms):
-        return like_search(files, terms)
-    if _CJK.search(text):
-        out = ranked(files, list(dict.fromkeys(g for t in terms for g in grams(t))), False, terms, index)
+        out = like_search(files, terms)
+        return out if most is None else out.limit(most)
+    any_gram = bool(_CJK.search(text))
+    phrases = list(dict.fromkeys(g for t in terms for g in grams(t))) if any_gram else terms
+    if index is None:
+        out = ranked(files, phrases, not any_gram, terms)
+        out = out if most is None else out.limit(most)
     else:
-        out = ranked(files, terms, True, terms, index)
+        hits = indexed_hits(index, phrases, not any_gram)
+        hits = hits if most is None else F.broadcast(hits.limit(most))  # the page bounds it
+        shown = files.select("path", "name", "content").join(hits, "path")
+        out = shown.select("path", "name", snippet(terms).alias("snippet"), "score").orderBy(F.desc("score"), "path")
     return out if with_score else out.drop("score")
+
+
+def count_hits(files: DataFrame, text: str, index: GramIndex | None = None) -> DataFrame:
+    """The paths that :func:`search` finds, for counting: from postings alone where there is an index."""
+    terms = terms_of(text)
+    if index is None or any(utf16(t) < GRAM for t in terms):
+        return search(files, text).select("path")
+    any_gram = bool(_CJK.search(text))
+    return indexed_hits(index, list(dict.fromkeys(g for t in terms for g in grams(t))) if any_gram else terms, not any_gram).select("path")

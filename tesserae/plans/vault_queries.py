@@ -6,12 +6,14 @@ the last line of a note counts), which exercises the union of frontmatter and in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..operators import search as fts
-from ..runtime import load
+from ..runtime import load, shared_dir
 from .catalog import Catalog
 
 
@@ -212,16 +214,25 @@ def fts2_and(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fts3_ideographs(spark: SparkSession, d: str) -> DataFrame:
-    return fts.search(catalog(spark, d).files, "採石場").select("path", "name")
+    return fts.search(catalog(spark, d).files, "採石場 灯台の").select("path", "name")
 
 
 def fts4_like(spark: SparkSession, d: str) -> DataFrame:
     return fts.search(catalog(spark, d).files, "PR salt").select("path", "name")
 
 
+def _indexed(spark: SparkSession, d: str):
+    files = catalog(spark, d).files
+    return files, fts.GramIndex.write(files, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+
+
 def fts5_bm25(spark: SparkSession, d: str) -> DataFrame:
-    r = fts.search(catalog(spark, d).files, "glacier", with_score=True).limit(20)
-    return r.select("path", F.round("score", 6).alias("score"))
+    _, index = _indexed(spark, d)
+    return fts.indexed_hits(index, ["glacier"], True).select("path", F.round("score", 6).alias("score"))
+
+
+def fts8_literals(spark: SparkSession, d: str) -> DataFrame:
+    return fts.search(catalog(spark, d).files, "[x]").select("path", "name")
 
 
 def fts7_snippet(spark: SparkSession, d: str) -> DataFrame:
@@ -229,8 +240,8 @@ def fts7_snippet(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fts9_index(spark: SparkSession, d: str) -> DataFrame:
-    files = catalog(spark, d).files
-    return fts.search(files, "glacier harvest", fts.GramIndex.build(files)).select("path", "name")
+    files, index = _indexed(spark, d)
+    return fts.search(files, "glacier harvest", index).select("path", "name")
 
 
 _TEXT = "lower(concat_ws(chr(1), f.path, f.name, f.content))"
@@ -254,7 +265,7 @@ _LEN = "greatest(length(coalesce(path, '')) - 2, 0) + greatest(length(coalesce(n
 _BM25 = f"""{_WITH}, w AS (SELECT path, (length({_TEXT}) - length(replace({_TEXT}, 'glacier', ''))) / 7 AS tf, {_LEN} AS len FROM f),
 n AS (SELECT count(*) AS n, avg(len) AS avglen, count(*) FILTER (tf > 0) AS held FROM w)
 SELECT path, round(greatest(0.000001, ln((n - held + 0.5) / (held + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen)), 6) AS score
-FROM w, n WHERE tf > 0 ORDER BY greatest(0.000001, ln((n - held + 0.5) / (held + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen)) DESC, path LIMIT 20"""
+FROM w, n WHERE tf > 0"""
 
 OTHERS = {
     "flt23_list": (flt23_list, f"{_WITH} SELECT path, name, folder, mtime FROM f WHERE {_FOLDER} AND {_TAG_AREA} AND contains(lower(name), 'home')"),
@@ -262,10 +273,11 @@ OTHERS = {
     "agg8_total": (agg8_total, f"{_WITH} SELECT count(*) AS total FROM (SELECT * FROM f LIMIT 300)"),
     "cht1_read_note": (cht1_read_note, None),
     "fts2_and": (fts2_and, _HITS),
-    "fts3_ideographs": (fts3_ideographs, f"{_WITH} SELECT f.path, f.name FROM f WHERE contains({_TEXT}, '採石場')"),
+    "fts3_ideographs": (fts3_ideographs, f"{_WITH} SELECT f.path, f.name FROM f WHERE contains({_TEXT}, '採石場') OR contains({_TEXT}, '灯台の')"),
     "fts4_like": (fts4_like, f"{_WITH} SELECT f.path, f.name FROM f WHERE {_like('pr')} AND {_like('salt')}"),
     "fts5_bm25": (fts5_bm25, _BM25),
     "fts7_snippet": (fts7_snippet, f"{_WITH}, h AS (SELECT f.path, f.content FROM f WHERE contains({_TEXT}, 'glacier') AND contains({_TEXT}, 'harvest')) {_SNIPPET}"),
+    "fts8_literals": (fts8_literals, f"{_WITH} SELECT f.path, f.name FROM f WHERE contains({_TEXT}, '[x]')"),
     "fts9_index": (fts9_index, _HITS),
 }
 

@@ -1,6 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
+from tesserae.engine import Engine
 from tesserae.operators import search as fts
+from tesserae.plans.catalog import Catalog
 from tesserae.plans.dql.syntax import NotIndexed
 
 FILES = [
@@ -45,17 +48,44 @@ def test_snippet(spark):
     assert fts.search(df, "needle").first().snippet == "… " + "x" * 19 + " [needle] " + "y" * 43 + " …"
 
 
-def test_index_gives_the_same(files):
-    index = fts.GramIndex.build(files)
-    for q in ("granite quarry", "前端单元测试"):
-        assert paths(fts.search(files, q, index)) == paths(fts.search(files, q))
-    index.version = 0
+@pytest.fixture(scope="module")
+def index(files, tmp_path_factory):
+    return fts.GramIndex.write(files, f"file://{tmp_path_factory.mktemp('index')}", 3)
+
+
+def test_index_is_kept_and_versioned(spark, files, index, tmp_path):
+    assert fts.GramIndex.open(spark, index.directory) == index and index.n_files == len(FILES)
+    assert fts.GramIndex.ensure(files, index.directory) == index
+    d = f"file://{tmp_path}"
+    with pytest.raises(NotIndexed):
+        fts.GramIndex.open(spark, d)
+    assert fts.GramIndex.ensure(files, d).n_files == len(FILES)
+    (tmp_path / f".{fts.DESCRIPTION}.crc").unlink()
+    (tmp_path / fts.DESCRIPTION).write_text('{"version": 1}')
     with pytest.raises(NotIndexed):
-        fts.search(files, "granite", index)
+        fts.GramIndex.open(spark, d)
+    assert fts.GramIndex.ensure(files.limit(2), d).n_files == 2  # built anew
+
+
+def test_index_gives_the_same(files, index):
+    for text in ("granite quarry", "granite filler", "单元测试", "前端单元测试", "quarry of", "ran", "nowhere", "aaa", "100%", "granite GRANITE", "of it"):
+        plain, indexed = (fts.search(files, text, i, with_score=not text.startswith("of")).collect() for i in (None, index))
+        key = lambda r: (r.path, r.snippet)
+        assert [key(r) for r in plain] == [key(r) for r in indexed]
+        if plain and "score" in plain[0]:
+            assert [r.score for r in indexed] == pytest.approx([r.score for r in plain])
+
+
+def test_overlapping_occurrences(spark, tmp_path):
+    df = spark.createDataFrame([("p1", "n", "aaaaa banana"), ("p2", "n", "anana aaa"), ("p3", "aa", "a")], "path string, name string, content string")
+    index = fts.GramIndex.write(df, f"file://{tmp_path}", 2)
+    assert dict(index.counts("aaa").collect()) == {"p1": 3, "p2": 1} and dict(index.counts("ana").collect()) == {"p1": 2, "p2": 2}
+    assert dict(index.counts("anana").collect()) == {"p1": 1, "p2": 1} and index.counts("aaaaaa").count() == 0
 
 
-def test_index_gives_the_same_scores(files):
-    index = fts.GramIndex.build(files)
-    for text in ("granite quarry", "granite filler", "单元测试"):
-        plain, indexed = (fts.search(files, text, i, with_score=True).select("path", "score").collect() for i in (None, index))
-        assert [r.path for r in plain] == [r.path for r in indexed] and [r.score for r in indexed] == pytest.approx([r.score for r in plain])
+def test_a_page_reads_contents_of_the_page_only(spark, files, index):
+    e = Engine(Catalog.from_tables(spark, files=files.withColumn("folder", F.lit(""))), index)
+    r = e.search("granite", offset=1, size=1)
+    assert r.total == 3 and r.returned == 1 and r.rows[0]["path"] == paths(fts.search(files, "granite"))[1]
+    plan = fts.count_hits(files, "granite quarry", index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan
