@@ -5,24 +5,21 @@ Targets are grouped key tables; links meet them in left equi-joins.  Ignore rule
 
 from __future__ import annotations
 
-import posixpath
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
-from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import keys as K
+from ..functions.typed import once
+from ..runtime import cut
 from . import parse as P
 from .profiles import BUILTIN
 
 COLUMNS = [c.split()[0] for c in model.DIAGNOSTIC.split(", ")]
 LINK_RULE, REQUIRED_RULE, ENUM_RULE = "links", "metadata/required-missing", "metadata/enum-invalid"
-EXTERNAL = re.compile(r"^(?:[a-z][a-z0-9+.-]*:|//)", re.I)
+EXTERNAL = r"(?i)^(?:[a-z][a-z0-9+.-]*:|//)"
 MESSAGES = {
     "not_found": "target does not exist: ",
     "ambiguous_target": "several files have this name: ",
@@ -56,14 +53,18 @@ class TargetIndex:
     names: DataFrame
 
 
-def target_index(all_paths: DataFrame) -> TargetIndex:
-    """From ``(path)`` of every file, notes and assets.  ``found`` holds all paths of a name: all are suggested."""
+def target_index(all_paths: DataFrame, lists: bool = True) -> TargetIndex:
+    """From ``(path)`` of every file, notes and assets.  With ``lists``, ``found`` holds all paths of a name, which is for
+    suggesting them in a diagnostic; without, it is null and a hot name costs one count (see :func:`suggestion_rows`)."""
     p = all_paths.select("path").distinct()
     notes = p.filter(F.lower("path").endswith(".md"))
 
     def grouped(df: DataFrame, key: Column) -> DataFrame:
+        df = df.select(key.alias("key"), "path")
+        if not lists:
+            return df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("found", F.lit(None).cast("array<string>"))
         return (
-            df.select(key.alias("key"), "path", F.pmod(F.xxhash64("path"), F.lit(64)).alias("salt"))
+            df.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(64)))
             .groupBy("key", "salt")
             .agg(F.count(F.lit(1)).alias("n"), F.collect_set("path").alias("some"))
             .groupBy("key")
@@ -136,34 +137,30 @@ def resolve_wikilinks(links: DataFrame, index: TargetIndex) -> DataFrame:
     return out.withColumn("reason", reason).withColumn("suggestions", suggestions)
 
 
-def _resolved_path(file: str, target: str) -> tuple[str | None, str | None]:
-    """(path within the vault, reason); both null for external targets and anchors."""
-    if not target or EXTERNAL.match(target) or target.startswith("#"):
-        return None, None
-    back = "\\" in target
-    part = target.replace("\\", "/").split("#", 1)[0]
-    if not part:
-        return None, None
-    try:
-        part = unquote(part, errors="strict")
-    except UnicodeDecodeError:
-        pass
-    path = posixpath.normpath(posixpath.join(posixpath.dirname(file), part)) if not part.startswith("/") else posixpath.normpath(posixpath.join(posixpath.dirname(file), part.lstrip("/")))
-    if path.startswith(".."):
-        return None, "outside_vault"
-    return path, "backslash_path" if back else None
+def resolved_path(file: Column, target: Column) -> tuple[Column, Column]:
+    """(path within the vault, reason); both null for external targets and anchors.  Relative to the file's folder;
+    escapes are decoded where they all can be."""
+    slashes = F.replace(target, F.lit("\\"), F.lit("/"))
+    part = F.substring_index(slashes, "#", 1)
+    local = (target != "") & ~target.rlike(EXTERNAL) & ~target.startswith("#") & (part != "")
+    decoded = F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+    sound = decoded.isNotNull() & (~decoded.contains("\ufffd") | part.contains("\ufffd"))
+    steps = F.split(F.concat(F.regexp_extract(file, "^(.*/)?[^/]*$", 1), F.when(sound, decoded).otherwise(part)), "/")
 
+    def walk(acc: Column, x: Column) -> Column:
+        up = (F.size(acc) > 0) & ~F.element_at(acc, -1).eqNullSafe("..")
+        return F.when((x == "") | (x == "."), acc).when((x == "..") & up, F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.array_append(acc, x))
 
-def resolve_markdown_links(links: DataFrame, index: TargetIndex) -> DataFrame:
-    """``links`` (file, line, column, raw, target) with ``reason`` and ``suggestions``; relative to the file's folder."""
-    cols = [f"{f.name} {f.dataType.simpleString()}" for f in links.schema]
+    walked = F.aggregate(steps, F.array().cast("array<string>"), walk)
+    outside = F.get(walked, F.lit(0)).eqNullSafe("..")
+    path = F.when(local & ~outside, F.when(F.size(walked) == 0, ".").otherwise(F.array_join(walked, "/")))
+    return path, F.when(local & outside, "outside_vault").when(local & target.contains("\\"), "backslash_path")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            r = [_resolved_path(f, t or "") for f, t in zip(b["file"], b["target"])]
-            yield b.assign(path=[x[0] for x in r], early=[x[1] for x in r])
 
-    df = links.mapInPandas(run, ", ".join([*cols, "path string", "early string"]))
+def resolve_markdown_links(links: DataFrame, index: TargetIndex) -> DataFrame:
+    """``links`` (file, line, column, raw, target) with ``reason`` and ``suggestions``; relative to the file's folder."""
+    path, early = resolved_path(F.col("file"), F.coalesce("target", F.lit("")))
+    df = links.withColumn("resolved", once(F.struct(path.alias("path"), early.alias("early")))).select(*links.columns, "resolved.path", "resolved.early")
     low = F.lower("path")
     df = df.withColumn("low", low).withColumn("low_md", F.when(K.extension(K.basename(low)) == "", F.concat(low, F.lit(".md"))))
     df = df.withColumn("base", F.lower(K.basename(F.col("path"))))
@@ -179,17 +176,30 @@ def resolve_markdown_links(links: DataFrame, index: TargetIndex) -> DataFrame:
     )
 
 
-def check_links(notes: DataFrame, all_paths: DataFrame, ignore: Ignore | None = None) -> DataFrame:
-    """Broken links of ``notes`` (path, content), sorted by file, line and column (in byte order)."""
-    index = target_index(all_paths)
-    n = P.parse_notes(notes).select(F.col("path").alias("file"), F.explode("nodes").alias("n"))
-    part = lambda kind: n.filter(F.col("n.type") == kind).select("file", "n.line", "n.column", "n.raw", "n.target")
+def check_links(notes: DataFrame, all_paths: DataFrame, ignore: Ignore | None = None, suggest: bool = True) -> DataFrame:
+    """Broken links of ``notes`` (path, content), sorted by file, line and column (in byte order).
+
+    Notes are parsed once and their links written.  ``suggest`` lists every file of an ambiguous or misplaced name in the
+    diagnostic itself, which for a name that many files have is many per link; without it, :func:`suggestion_rows`
+    gives them as rows."""
+    index = target_index(all_paths, suggest)
+    n = P.parse_notes(notes).select(F.col("path").alias("file"), F.explode("nodes").alias("n")).filter(F.col("n.type").isin("wikilink", "markdownLink"))
+    n = cut(n.select("file", "n.type", "n.line", "n.column", "n.raw", "n.target"), "lint-links")
+    part = lambda kind: n.filter(F.col("type") == kind).drop("type")
     wiki = resolve_wikilinks(part("wikilink"), index).drop("target").withColumnRenamed("raw", "target")
     plain = resolve_markdown_links(part("markdownLink"), index)
     out = _diagnostics(wiki, LINK_RULE).unionByName(_diagnostics(plain, LINK_RULE))
     return out.filter((ignore or Ignore()).keep()).orderBy("file", "line", "column")
 
 
+def suggestion_rows(resolved: DataFrame, all_paths: DataFrame) -> DataFrame:
+    """The files that bear the name of an unresolved link: ``resolved`` (what :func:`resolve_wikilinks` gave, with ``reason``
+    and ``key``) with a ``path`` each.  A row per link and file, so no name's files are ever in one row."""
+    notes = all_paths.select("path").distinct().filter(F.lower("path").endswith(".md"))
+    named = notes.select(K.link_key(F.col("path")).alias("key"), "path")
+    return resolved.filter("reason = 'ambiguous_target' AND kind = 'stem'").join(named, "key")
+
+
 def suggest_links(notes: DataFrame, all_paths: DataFrame, file: str) -> DataFrame:
     """Broken links of one note."""
     return check_links(notes.filter(F.col("path") == file), all_paths)

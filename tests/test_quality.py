@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.vault import NOTES, frame
 
 from tesserae.operators import actions, lint, meta
@@ -28,10 +29,32 @@ def test_all_files_of_a_common_name_are_suggested(spark):
     assert got["ambiguous_target"] == got["not_found"] == [f"d{i:02d}/home.md" for i in range(70)]
 
 
-def test_outside_vault_and_decoding():
-    assert lint._resolved_path("a.md", "../x.md") == (None, "outside_vault")
-    assert lint._resolved_path("d/a.md", "b%20c.md#h") == ("d/b c.md", None)
-    assert lint._resolved_path("a.md", "mailto:x@y") == (None, None) and lint._resolved_path("a.md", "#h") == (None, None)
+def test_outside_vault_and_decoding(spark):
+    cases = {
+        ("a.md", "../x.md"): (None, "outside_vault"),
+        ("d/a.md", "b%20c.md#h"): ("d/b c.md", None),
+        ("a.md", "mailto:x@y"): (None, None),
+        ("a.md", "#h"): (None, None),
+        ("a.md", "//host/x"): (None, None),
+        ("d/e/a.md", ".././../x/./y.md"): ("x/y.md", None),
+        ("d/a.md", "..\\b.md"): ("b.md", "backslash_path"),
+        ("d/a.md", "/b+c.md"): ("d/b+c.md", None),
+        ("d/a.md", "50%/b%20.md"): ("d/50%/b%20.md", None),  # an escape that is none: nothing is decoded
+        ("d/a.md", "b%FF.md"): ("d/b%FF.md", None),
+        ("d/a.md", ".."): (".", None),
+        ("d/a.md", ""): (None, None),
+    }
+    df = spark.createDataFrame(list(cases), "file string, target string")
+    got = df.select("file", "target", *lint.resolved_path(F.col("file"), F.col("target"))).collect()
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got} == cases
+
+
+def test_suggestions_as_rows(spark):
+    every = spark.createDataFrame([(f"d{i}/home.md",) for i in range(5)] + [("a.md",)], "path string")
+    links = spark.createDataFrame([("a.md", "home"), ("a.md", "none")], "file string, target string")
+    r = lint.resolve_wikilinks(links, lint.target_index(every, lists=False))
+    assert {(x.target, x.reason) for x in r.collect()} == {("home", "ambiguous_target"), ("none", "not_found")}
+    assert sorted(x.path for x in lint.suggestion_rows(r, every).collect()) == [f"d{i}/home.md" for i in range(5)]
 
 
 def test_metadata_rules(spark):
