@@ -4,34 +4,51 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import keys as K
-from ..operators import actions, events, lint, meta, parse, recall, scan
+from ..operators import actions, events, lint, meta, parse, recall, scan, search
+from ..operators.profiles import get_profile
 from ..runtime import load, shared_dir, spread, vault_of
 from ..sources import notes
 from .vault_queries import _FOLDER, _TAG_AREA, _WITH, catalog
 
 
+def _last_events(spark: SparkSession, d: str) -> DataFrame:
+    last = F.max_by(F.struct("type", "mtime", "size"), F.struct("happened_at", "change_id")).alias("e")
+    return load(spark, d, "changes").groupBy("path").agg(last).select("path", "e.*")
+
+
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The notes as they were indexed, and a later listing in which some are gone, new or changed."""
-    f = catalog(spark, d).files.select("path", "size", "mtime", "content")
-    n = F.length("path")
-    old = f.filter(n % 5 != 0)
-    touched = n % 3 == 0
-    new = f.filter(n % 7 != 0).select(
-        "path", "size", F.when(touched, F.col("mtime") + 1).otherwise(F.col("mtime")).alias("mtime"),
-        F.when(touched, F.concat(F.coalesce("content", F.lit("")), F.lit("!"))).otherwise(F.col("content")).alias("content"),
-    )
-    return new, old
+    """A later listing, and the notes as they were indexed: all files.  The last change event of each path tells what
+    became of it: an unlinked one is gone, an added or changed one has the event's time and size (its own, where the
+    event has none), and notes without an event stay as they are."""
+    was = catalog(spark, d).files.select("path", "size", "mtime", "content")
+    now = was.join(_last_events(spark, d).select("path", "type", F.col("mtime").alias("m"), F.col("size").alias("s")), "path", "full_outer")
+    now = now.filter("type IS NULL OR type <> 'unlink'")
+    return now.select("path", F.coalesce("s", "size").alias("size"), F.coalesce("m", "mtime").alias("mtime"), "content"), was
+
+
+_SNAP = f"""{_WITH}, e AS (SELECT path, type, mtime AS m, size AS s FROM changes QUALIFY row_number() OVER (PARTITION BY path ORDER BY happened_at DESC, change_id DESC) = 1),
+now AS (SELECT coalesce(f.path, e.path) AS path, coalesce(s, size) AS size, coalesce(m, mtime) AS mtime FROM f FULL OUTER JOIN e ON e.path = f.path WHERE type IS DISTINCT FROM 'unlink'),
+diff AS (SELECT coalesce(now.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'added' WHEN now.path IS NULL THEN 'deleted'
+  WHEN now.mtime IS DISTINCT FROM f.mtime OR now.size IS DISTINCT FROM f.size THEN 'modified' ELSE 'unchanged' END AS kind FROM now FULL OUTER JOIN f ON now.path = f.path)"""
+
 
+def _rewritten(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A later listing in which the notes whose last event is a change have another content of equal size and time."""
+    was = catalog(spark, d).files.select("path", "size", "mtime", "content")
+    changed = _last_events(spark, d).filter("type = 'change'").select("path", F.lit(True).alias("c"))
+    turned = F.when(F.col("c"), F.reverse("content")).otherwise(F.col("content"))
+    return was.join(changed, "path", "left").select("path", "size", "mtime", turned.alias("content")), was
 
-_SNAP = f"""{_WITH}, was AS (SELECT path FROM f WHERE length(path) % 5 <> 0), now AS (SELECT path, length(path) % 3 = 0 AS touched FROM f WHERE length(path) % 7 <> 0),
-diff AS (SELECT coalesce(now.path, was.path) AS path, CASE WHEN was.path IS NULL THEN 'added' WHEN now.path IS NULL THEN 'deleted'
-  WHEN now.touched THEN 'modified' ELSE 'unchanged' END AS kind FROM now FULL OUTER JOIN was ON was.path = now.path)"""
+
+_REWRITTEN = f"""{_WITH}, e AS (SELECT path, type FROM changes QUALIFY row_number() OVER (PARTITION BY path ORDER BY happened_at DESC, change_id DESC) = 1)
+SELECT f.path, CASE WHEN e.type = 'change' AND content <> array_to_string(list_reverse(regexp_extract_all(content, '(?s).')), '') THEN 'modified' ELSE 'unchanged' END AS kind FROM f LEFT JOIN e ON e.path = f.path"""
 
 
 def scan1_diff(spark, d):
@@ -39,7 +56,7 @@ def scan1_diff(spark, d):
 
 
 def scan1_rehash(spark, d):
-    return scan.diff(*_snapshots(spark, d), rehash=True)
+    return scan.diff(*_rewritten(spark, d), rehash=True)
 
 
 def agg9_by_dir(spark, d):
@@ -103,7 +120,7 @@ def agg11_run_report(spark, d):
 
 def _wikilinks(spark, d):
     links = load(spark, d, "links").dropDuplicates(["id"]).select("id", F.col("source").alias("file"), "target")
-    index = lint.target_index(load(spark, d, "files").select("path"))
+    index = lint.target_index(load(spark, d, "files").select("path"), lists=False)
     return lint.resolve_wikilinks(links, index)
 
 
@@ -112,15 +129,32 @@ def lnk2_wikilinks(spark, d):
 
 
 def lnk3_markdown_links(spark, d):
+    """Every link written as a Markdown link of one of five kinds: beside the note, above it, escaped, with backslashes, external."""
     links = load(spark, d, "links").dropDuplicates(["id"]).filter("target <> ''")
-    links = links.select("id", F.col("source").alias("file"), F.concat(F.lit("./"), "target", F.lit(".md#part")).alias("target"))
-    index = lint.target_index(load(spark, d, "files").select("path"))
-    return lint.resolve_markdown_links(links, index).select("id", "reason")
+    t, kind = F.col("target"), F.col("id") % 5
+    written = (
+        F.when(kind == 0, F.concat(F.lit("./"), t, F.lit(".md#part")))
+        .when(kind == 1, F.concat(F.lit("../"), t))
+        .when(kind == 2, F.replace(t, F.lit(" "), F.lit("%20")))
+        .when(kind == 3, F.concat(F.lit("x\\..\\"), t, F.lit(".md")))
+        .otherwise(F.concat(F.lit("https://example.org/"), t))
+    )
+    index = lint.target_index(load(spark, d, "files").select("path"), lists=False)
+    return lint.resolve_markdown_links(links.select("id", F.col("source").alias("file"), written.alias("target")), index).select("id", "reason")
+
+
+def lnk1_suggestions(spark, d):
+    """How many files bear the name of each ambiguous link."""
+    links = load(spark, d, "links").dropDuplicates(["id"]).select("id", F.col("source").alias("file"), "target")
+    paths = load(spark, d, "files").select("path")
+    resolved = lint.resolve_wikilinks(links, lint.target_index(paths, lists=False))
+    return lint.suggestion_rows(resolved, paths).groupBy("id").agg(F.count(F.lit(1)).alias("n_paths"), F.min("path").alias("first_path"))
 
 
 def lnk4_check(spark, d):
+    """All notes' links, with the number of files of the name instead of their list."""
     f = catalog(spark, d).files
-    return lint.check_links(f.select("path", "content"), f.select("path"), lint.Ignore(targets=["*.png"]))
+    return lint.check_links(f.select("path", "content"), f.select("path"), lint.Ignore(targets=["*.png"]), suggest=False)
 
 
 def _profile():
@@ -141,27 +175,36 @@ def lnk6_ignore(spark, d):
     return lint.check_metadata(catalog(spark, d).files, _profile(), ignore).select("file", "rule", "target")
 
 
-def met5_normalize_tags(spark, d):
-    t = load(spark, d, "tags")
-    return t.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).select("tag", "n", F.array_join(meta.normal_list_column(F.col("tag"), "tags"), "|").alias("normal"))
+def met5_normal_lists(spark, d):
+    lists = meta.list_columns(F.col("frontmatter"))
+    return catalog(spark, d).files.select("path", *(F.array_join(c, "|").alias(k) for k, c in lists.items()))
 
 
 def met7_prefill(spark, d):
+    """What two profiles would fill in every note: derived fields that its frontmatter lacks."""
     f = catalog(spark, d).files
-    return f.select(
-        "path",
-        meta.derived_column("birthtime", F.col("content"), F.col("mtime"), F.col("ctime")).alias("created"),
-        meta.derived_column("mtime", F.col("content"), F.col("mtime"), F.col("ctime")).alias("modified"),
-    )
+    body = search.body_of(F.coalesce("content", F.lit("")))
+    filled = {}
+    for name in ("pkm-note", "llm-wiki"):
+        filled |= meta.prefill_columns(F.col("frontmatter"), get_profile(name), body, F.col("mtime"), F.col("ctime"))
+    return f.select("path", *(c.alias(k) for k, c in filled.items()))
+
+
+def fn11_coerce(spark, d):
+    """Every tag and due date as a value of the kind its text shows."""
+    raw = load(spark, d, "tags").select(F.col("tag").alias("raw")).unionByName(load(spark, d, "tasks").select(F.substring_index("due_date", "-", 1).alias("raw")))
+    raw = raw.filter("raw IS NOT NULL").groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    return raw.select("raw", "n", meta.auto_column(F.col("raw")).alias("value"))
 
 
 def fn12_sha256(spark, d):
-    return catalog(spark, d).files.select("path", meta.derived_column("sha256-body", F.col("content"), F.col("mtime"), F.col("ctime")).alias("sha256"))
+    body = search.body_of(F.coalesce("content", F.lit("")))
+    return catalog(spark, d).files.select("path", meta.derived_column("sha256-body", body, F.col("mtime"), F.col("ctime")).alias("sha256"))
 
 
 def met4_edit(spark, d):
     """Normal form of every note's frontmatter; how many change."""
-    e = meta.edit(catalog(spark, d).files, lambda doc, row: meta.normalize(doc))
+    e = meta.normal_form(catalog(spark, d).files)
     return e.select("path", "changed", F.array_join("changes", "|").alias("changes"), "error")
 
 
@@ -173,8 +216,11 @@ def fn6_keys(spark, d):
 def snk3_remove(spark, d):
     c = catalog(spark, d)
     left, _ = scan.remove(c, c.files.filter(F.col("folder") == "commons").select("path"))
-    counts = [getattr(left, n).agg(F.lit(n).alias("relation"), F.count(F.lit(1)).alias("n_rows")) for n in ("files", "tags", "tasks", "links")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    known = c.files.select("path").unionByName(load(spark, d, "changes").select("path"))
+    _, existed = scan.remove(c, known.filter(vault_of(F.col("path")) == "commons"))
+    asked = existed.agg(F.lit("existed").alias("relation"), F.count(F.when(F.col("existed"), 1)).alias("n_rows"))
+    counts = [asked] + [getattr(left, n).agg(F.lit(n).alias("relation"), F.count(F.lit(1)).alias("n_rows")) for n in ("files", "tags", "tasks", "links")]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def src5_build(spark, d):
@@ -189,10 +235,9 @@ def src5_build(spark, d):
 
 
 def snk2_upsert(spark, d):
-    """The notes of one vault are parsed and merged again: nothing is lost or doubled."""
+    """All notes are parsed and merged again: nothing is lost or doubled."""
     c = catalog(spark, d)
-    again = c.files.filter(vault_of(F.col("path")) == "commons").select("path", "size", "mtime", "ctime", "content")
-    f = scan.upsert(c, again).files
+    f = scan.upsert(c, c.files.select("path", "size", "mtime", "ctime", "content")).files
     return f.groupBy(vault_of(F.col("path")).alias("vault")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("content")).alias("n_chars"))
 
 
@@ -216,7 +261,8 @@ def src1_notes(spark, d):
 
 
 def str1_stream(spark, d):
-    """Change events as a stream: each batch is appended to a table, whose events are then folded."""
+    """Change events as a stream: each batch is written under its number, so one that is repeated replaces itself; then
+    all are folded."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = load(spark, d, "changes").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 50).parquet(f"{d}/changes.parquet*")
@@ -225,11 +271,11 @@ def str1_stream(spark, d):
         picked.writeStream.outputMode("append")
         .option("checkpointLocation", path + "-log")
         .trigger(availableNow=True)
-        .foreachBatch(lambda df, i: df.write.mode("append").parquet(path) and None)
+        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}") and None)
         .start()
     )
     query.awaitTermination()
-    return events.fold(spark.read.schema(picked.schema).parquet(path)).select("path", "type", "mtime", "size")
+    return events.fold(spark.read.schema(picked.schema).parquet(f"{path}/batch=*")).select("path", "type", "mtime", "size")
 
 
 # ---- notes generated from the trade tables, parsed, and compared with the columns they came from ------------
@@ -275,12 +321,19 @@ _PATH = "'parts/' || p_partkey || '.md'"
 
 
 def rec1_recall(spark, d):
-    skills = spark.createDataFrame(
-        [("query-notes", "", ["query", "list notes"], [], ["r"]), ("lint-links", "", ["broken links", "lint"], [], ["r"])], recall.SKILL
-    )
-    return recall.recall(skills, "links lint")
+    """Every tag as a skill, triggered by its parts."""
+    t = load(spark, d, "tags").select(F.lower(F.trim("tag")).alias("name")).filter("name <> ''").distinct()
+    none = F.array().cast("array<string>")
+    skills = t.select("name", F.lit("").alias("description"), F.split("name", "/").alias("triggers"), none.alias("patterns"), none.alias("rules"))
+    return recall.recall(skills, "type granite")
 
 
+_RECALL = r"""WITH t AS (SELECT DISTINCT lower(trim(tag, ' ')) AS name FROM tags WHERE trim(tag, ' ') <> ''),
+x AS (SELECT name, name AS t, 1.0 AS w FROM t UNION ALL SELECT name, unnest(string_split(name, '/')), 1.5 FROM t),
+q AS (SELECT unnest(['type granite', 'type', 'granite']) AS q),
+s AS (SELECT name, w * CASE WHEN t = q THEN 0.0 WHEN contains(t, q) OR contains(q, t) THEN 0.1 ELSE levenshtein(t, q) / CAST(greatest(length(t), length(q)) AS DOUBLE) END AS d FROM x, q)
+SELECT name, round(min(d), 6) AS score FROM s GROUP BY name HAVING round(min(d), 6) <= 0.4"""
+
 _LNK2 = r"""
 WITH p AS (SELECT DISTINCT path FROM files), n AS (SELECT path FROM p WHERE lower(path) LIKE '%.md'),
 x AS (SELECT DISTINCT id, target FROM links),
@@ -298,9 +351,19 @@ SELECT id, CASE WHEN n_found = 0 THEN 'not_found' WHEN n_found > 1 THEN 'ambiguo
 """
 
 _LNK3 = r"""
-, p AS (SELECT DISTINCT lower(path) AS path FROM files), x AS (SELECT DISTINCT id, source, target FROM links WHERE target <> '')
-SELECT x.id, CASE WHEN p.path IS NULL THEN 'not_found' END AS reason FROM x
-LEFT JOIN p ON p.path = lower(regexp_extract(x.source, '^(.*/)[^/]*$', 1) || x.target || '.md')
+, p AS (SELECT DISTINCT lower(path) AS path FROM files),
+x AS (SELECT DISTINCT id, regexp_extract(source, '^(.*/)?[^/]*$', 1) AS dir, target AS t FROM links WHERE target <> ''),
+y AS (SELECT id, t, id % 5 AS kind, CASE WHEN id % 5 = 1 AND dir = '' THEN NULL WHEN id % 5 = 1 THEN regexp_replace(dir, '[^/]+/$', '') ELSE dir END || t || CASE WHEN id % 5 IN (0, 3) THEN '.md' ELSE '' END AS path FROM x),
+z AS (SELECT id, kind, path, lower(path) IN (SELECT path FROM p) OR (NOT regexp_matches(path, '[^/]\.[^./]*$') AND lower(path) || '.md' IN (SELECT path FROM p)) AS hit FROM y)
+SELECT id, CASE WHEN kind = 4 THEN NULL WHEN path IS NULL THEN 'outside_vault' WHEN kind = 3 THEN 'backslash_path' WHEN NOT hit THEN 'not_found' END AS reason FROM z
+"""
+
+_LNK1 = r"""
+WITH n AS (SELECT DISTINCT path, lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\.[^./]*$', '\1')) AS key FROM files WHERE lower(path) LIKE '%.md'),
+x AS (SELECT DISTINCT id, target FROM links WHERE NOT contains(target, '/')),
+z AS (SELECT id, lower(regexp_replace(target, '(.)\.[^./]*$', '\1')) AS key FROM x
+  WHERE lower(regexp_extract(target, '.\.([^./]*)$', 1)) NOT IN ('png','jpg','jpeg','gif','svg','webp','bmp','mp4','webm','mov','mp3','wav','ogg','pdf'))
+SELECT id, count(*) AS n_paths, min(path) AS first_path FROM z JOIN n USING (key) GROUP BY id HAVING count(*) > 1
 """
 
 _REQUIRED = f"""{_WITH}, q AS (SELECT f.path, unnest(['title', 'tags', 'status']) AS target, f.fm FROM f)
@@ -324,13 +387,31 @@ _OWN = f"""WITH {_CH}, w AS (SELECT DISTINCT path, happened_at - INTERVAL 1 SECO
 n AS (SELECT c.path, w.at, min(c.change_id) AS seq FROM c JOIN w ON w.path = c.path AND epoch_ms(c.happened_at) - epoch_ms(w.at) BETWEEN 0 AND 1999 GROUP BY 1, 2)
 SELECT c.path, c.change_id AS seq FROM c LEFT JOIN (SELECT DISTINCT path, seq FROM n) n ON n.path = c.path AND n.seq = c.change_id WHERE n.seq IS NULL"""
 
-_NORMAL = r"""WITH t AS (SELECT tag, count(*) AS n FROM tags GROUP BY tag),
-l AS (SELECT tag, n, list_transform(string_split_regex(tag, '[\s,]+'), lambda x: regexp_replace(x, '^#+', '')) AS l FROM t)
-SELECT tag, n, array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i), '|') AS normal FROM l"""
+_BODY = r"regexp_replace(coalesce(content, ''), '\A---[ \t]*\r?\n(?s:.*?\r?\n)??---[ \t]*(?:\r?\n|\z)', '')"
+
+_PREFILL = f"""{_WITH}, t AS (SELECT path, json_keys(fm) AS keys, strftime(make_timestamp(CASE WHEN ctime > 0 AND ctime <= mtime THEN ctime ELSE mtime END * 1000), '%Y-%m-%dT%H:%M:%SZ') AS born,
+  strftime(make_timestamp(mtime * 1000), '%Y-%m-%dT%H:%M:%SZ') AS changed, sha256({_BODY}) AS h FROM f)
+SELECT path, CASE WHEN NOT coalesce(list_contains(keys, 'created'), false) THEN born END AS created, CASE WHEN NOT coalesce(list_contains(keys, 'modified'), false) THEN changed END AS modified,
+  CASE WHEN NOT coalesce(list_contains(keys, 'timestamp'), false) THEN changed END AS "timestamp", CASE WHEN NOT coalesce(list_contains(keys, 'sha256'), false) THEN h END AS sha256 FROM t"""
+
+
+def _normal_sql(name: str, singular: str, split: bool, mark: str) -> str:
+    """The clean list of one key, in SQL: the items of the plural, then those of the singular form."""
+    def items(k: str) -> str:
+        text = f"json_extract_string(fm, '$.\"{k}\"')"
+        plain = f"CASE WHEN json_type(fm, '$.\"{k}\"') = 'VARCHAR' THEN string_split_regex({text}, '[\\s,]+') ELSE [{text}] END" if split else f"[{text}]"
+        return f"CASE WHEN json_type(fm, '$.\"{k}\"') = 'ARRAY' THEN json_extract_string(fm, '$.\"{k}\"[*]') WHEN coalesce(json_type(fm, '$.\"{k}\"'), 'NULL') = 'NULL' THEN [] ELSE {plain} END"
+
+    some = " OR ".join(f"coalesce(json_type(fm, '$.\"{k}\"'), 'NULL') <> 'NULL'" for k in (name, singular))
+    clean = f"list_transform(list_concat({items(name)}, {items(singular)}), lambda x: regexp_replace(x, '^[\\s{mark}]+|\\s+$', '', 'g'))"
+    return f"CASE WHEN {some} THEN array_to_string(list_filter({clean}, lambda x, i: x <> '' AND list_position({clean}, x) = i), '|') END AS {name}"
+
+
+_NORMAL = f"{_WITH} SELECT path, {_normal_sql('tags', 'tag', True, '#')}, {_normal_sql('aliases', 'alias', False, '')}, {_normal_sql('cssclasses', 'cssclass', True, '')} FROM f"
 
 REGISTERED = {
     "scan1_diff": (scan1_diff, f"{_SNAP} SELECT path, kind FROM diff"),
-    "scan1_rehash": (scan1_rehash, f"{_SNAP} SELECT path, kind FROM diff"),
+    "scan1_rehash": (scan1_rehash, _REWRITTEN),
     "agg9_by_dir": (agg9_by_dir, _SNAP + r" SELECT coalesce(nullif(regexp_extract(path, '^(.*)/[^/]*$', 1), ''), '.') AS dir, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'modified') AS modified, count(*) FILTER (kind = 'deleted') AS deleted FROM diff WHERE kind <> 'unchanged' GROUP BY 1"),
     "src6_events": (src6_events, f"{_SNAP} SELECT path, CASE kind WHEN 'added' THEN 'add' WHEN 'modified' THEN 'change' ELSE 'unlink' END AS type FROM diff WHERE kind <> 'unchanged'"),
     "src8_events_of_query": (src8_events_of_query, f"{_WITH} SELECT f.path, 'change' AS type FROM f WHERE {_TAG_AREA}"),
@@ -343,18 +424,22 @@ REGISTERED = {
     "agg11_run_report": (agg11_run_report, None),
     "lnk2_wikilinks": (lnk2_wikilinks, _LNK2),
     "lnk3_markdown_links": (lnk3_markdown_links, _WITH + _LNK3),
+    "lnk1_suggestions": (lnk1_suggestions, _LNK1),
     "lnk4_check": (lnk4_check, None),
     "lnt2_required": (lnt2_required, _REQUIRED),
     "lnt3_enum": (lnt3_enum, _ENUM),
     "lnk6_ignore": (lnk6_ignore, f"SELECT file, rule, target FROM (SELECT file, 'metadata/required-missing' AS rule, target FROM ({_REQUIRED}) WHERE target <> 'status' UNION ALL SELECT file, 'metadata/enum-invalid', target FROM ({_ENUM})) WHERE NOT starts_with(file, 'commons/')"),
     "met4_edit": (met4_edit, None),
-    "met5_normalize_tags": (met5_normalize_tags, _NORMAL),
-    "met7_prefill": (met7_prefill, f"{_WITH} SELECT path, strftime(make_timestamp(CASE WHEN ctime > 0 AND ctime <= mtime THEN ctime ELSE mtime END * 1000), '%Y-%m-%dT%H:%M:%SZ') AS created, strftime(make_timestamp(mtime * 1000), '%Y-%m-%dT%H:%M:%SZ') AS modified FROM f"),
-    "fn12_sha256": (fn12_sha256, f"{_WITH} SELECT path, sha256(content) AS sha256 FROM f"),
+    "met5_normal_lists": (met5_normal_lists, _NORMAL),
+    "fn11_coerce": (fn11_coerce, r"""SELECT raw, count(*) AS n, CASE WHEN raw IN ('true', 'false', 'null') THEN raw WHEN regexp_full_match(raw, '-?[0-9]+(\.[0-9]+)?') THEN CAST(CAST(raw AS DOUBLE) AS VARCHAR) ELSE to_json(raw) END AS value
+        FROM (SELECT tag AS raw FROM tags UNION ALL SELECT split_part(due_date, '-', 1) FROM tasks) WHERE raw IS NOT NULL GROUP BY raw"""),
+    "met7_prefill": (met7_prefill, _PREFILL),
+    "fn12_sha256": (fn12_sha256, f"{_WITH} SELECT path, sha256({_BODY}) AS sha256 FROM f"),
     "fn6_keys": (fn6_keys, r"""WITH t AS (SELECT DISTINCT target, regexp_extract(target, '([^/]*)/*$', 1) AS base FROM links)
         SELECT target, lower(regexp_replace(base, '(.)\.[^./]*$', '\1')) AS link_key, lower(regexp_replace(target, '([^/])\.[^./]*$', '\1')) AS path_key,
         lower(regexp_extract(base, '.\.([^./]*)$', 1)) IN ('png','jpg','jpeg','gif','svg','webp','bmp','mp4','webm','mov','mp3','wav','ogg','pdf') AS is_asset FROM t"""),
     "snk3_remove": (snk3_remove, f"""{_WITH}, g AS (SELECT path FROM f WHERE folder = 'commons')
+        SELECT 'existed' AS relation, count(DISTINCT path) AS n_rows FROM f WHERE split_part(path, '/', 1) = 'commons' UNION ALL
         SELECT 'files' AS relation, count(*) AS n_rows FROM f WHERE path NOT IN (SELECT path FROM g)
         UNION ALL SELECT 'tags', count(*) FROM tags WHERE file_path NOT IN (SELECT path FROM g)
         UNION ALL SELECT 'tasks', count(*) FROM k WHERE file_path NOT IN (SELECT path FROM g)
@@ -370,7 +455,7 @@ REGISTERED = {
     "par8_tasks": (par8_tasks, f"SELECT {_PATH} AS file_path, CAST(7 AS INTEGER) AS line_number, 'x' AS status, 'order ' || p_name || ' by 2024-05-0' || (p_size % 9 + 1) AS text, '2024-05-0' || (p_size % 9 + 1) AS due_date FROM part"),
     "par10_blocks": (par10_blocks, f"SELECT {_PATH} AS file_path, 'b' || p_size AS block_id, 'End of it' AS content, CAST(10 AS INTEGER) AS line_number FROM part"),
     "par11_inline": (par11_inline, f"SELECT {_PATH} AS file_path, 'rating' AS key, 'rating' AS key_norm, CAST(p_partkey AS VARCHAR) AS value, CAST(9 AS INTEGER) AS line_number FROM part"),
-    "rec1_recall": (rec1_recall, None),
+    "rec1_recall": (rec1_recall, _RECALL),
 }
 
 

@@ -6,6 +6,7 @@ the last line of a note counts), which exercises the union of frontmatter and in
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,8 @@ def run(dql: str, **kw):
     return lambda spark, d: flat(engine(spark, d).query(dql, **kw).df)
 
 
+TODAY = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d")
+
 _WITH = r"""
 WITH f AS (SELECT DISTINCT path, name, name_key, path_key, extension, folder, size, mtime, ctime, content, frontmatter,
              CASE WHEN json_valid(frontmatter) THEN CAST(CASE WHEN json_type(frontmatter) = 'OBJECT' THEN frontmatter END AS JSON) END AS fm FROM files),
@@ -137,7 +140,6 @@ CASES: list[tuple[str, str, str]] = [
     ("flt2_folder", 'LIST FROM "commons"', listed(_FOLDER)),
     ("flt2_whole_vault", 'LIST FROM ""', f"{_WITH} SELECT {LIST} FROM f"),
     ("flt3_link", "LIST FROM [[Home]]", listed(_LINKS_HOME)),
-    ("flt3_link_qualified", "LIST FROM [[commons/Home#Top|x]]", listed("f.path IN (SELECT source FROM l WHERE target_path_key = 'commons/home')")),
     ("flt4_number", "LIST WHERE rating >= 4", listed(cmp_num("rating", ">=", "4"))),
     ("flt4_text", "LIST WHERE status = \"active\"", listed(cmp_txt("status", "=", "active"))),
     ("flt4_mixed", "LIST WHERE created > 5", listed(cmp_num("created", ">", "5"))),
@@ -156,7 +158,7 @@ CASES: list[tuple[str, str, str]] = [
     ("flt13_contains", 'LIST WHERE contains(file.name, "HOME")', listed("contains(lower(f.name), 'home')")),
     ("flt14_icontains", 'LIST WHERE icontains(title, "glacier")', listed(f"contains(lower({shown('title')}), 'glacier')")),
     ("flt15_startswith", 'LIST WHERE startswith(file.path, "COMMONS/")', listed("starts_with(lower(f.path), 'commons/')")),
-    ("flt15_endswith", 'LIST WHERE endswith(file.name, "charter")', listed("suffix(lower(f.name), 'charter')")),
+    ("flt15_endswith", 'LIST WHERE endswith(file.name, "HOME")', listed("suffix(lower(f.name), 'home')")),
     ("flt16_tags", 'LIST WHERE contains(file.tags, "#area")', listed(_TAG_AREA)),
     ("flt16_tags_or", 'LIST WHERE contains(file.tags, "area") OR file.size > 5000', listed(f"{_TAG_AREA} OR f.size > 5000")),
     ("flt17_tags_any_case", 'LIST WHERE icontains(file.tags, "AREA")', listed("f.path IN (SELECT file_path FROM tags WHERE lower(tag) = 'area' OR lower(tag) LIKE 'area/%')")),
@@ -189,11 +191,19 @@ CASES: list[tuple[str, str, str]] = [
     ("fn3_round", "LIST WHERE round(hours) = 12",
      listed(f"CASE {rank('hours')} WHEN 1 THEN floor({num('hours')} + 0.5) = 12 WHEN 2 THEN coalesce(TRY_CAST(nullif(regexp_extract({txt('hours')}, '^\\s*([+-]?[0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE), 0) BETWEEN 11.5 AND 12.4999 END")),
     ("fn4_date", 'LIST WHERE created >= "2023-06-01" AND created < "2023-07-01"', listed(f"({cmp_txt('created', '>=', '2023-06-01')}) AND ({cmp_txt('created', '<', '2023-07-01')})")),
+    ("fn4_today", "LIST WHERE created <= date(today) AND created > \"2023-06-01\"", listed(f"({cmp_txt('created', '<=', TODAY)}) AND ({cmp_txt('created', '>', '2023-06-01')})")),
 ]
 
 
+def flt3_link_qualified(spark: SparkSession, d: str) -> DataFrame:
+    """Notes that link to the note which most links name by its path."""
+    by = catalog(spark, d).links.filter("target_path_key IS NOT NULL").groupBy("target_path_key").agg(F.count(F.lit(1)).alias("n"))
+    top = by.orderBy(F.desc("n"), "target_path_key").first().target_path_key
+    return flat(engine(spark, d).query(f"LIST FROM [[{top}#Top|x]]").df)
+
+
 def flt23_list(spark: SparkSession, d: str) -> DataFrame:
-    return engine(spark, d).list(folder="commons", tag="area", name="HOME").df
+    return engine(spark, d).list(folder="commons", tag="#type", name="A").df
 
 
 def srt4_page(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +216,10 @@ def agg8_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cht1_read_note(spark: SparkSession, d: str) -> DataFrame:
-    return engine(spark, d).read_note("commons/Home.md", offset=1, size=5).df
+    """Five lines of the longest note's body."""
+    e = engine(spark, d)
+    path = e.catalog.files.orderBy(F.desc(F.length("content")), "path").select("path").first().path
+    return e.read_note(path, offset=1, size=5).df
 
 
 def fts2_and(spark: SparkSession, d: str) -> DataFrame:
@@ -268,10 +281,12 @@ SELECT path, round(greatest(0.000001, ln((n - held + 0.5) / (held + 0.5))) * tf
 FROM w, n WHERE tf > 0"""
 
 OTHERS = {
-    "flt23_list": (flt23_list, f"{_WITH} SELECT path, name, folder, mtime FROM f WHERE {_FOLDER} AND {_TAG_AREA} AND contains(lower(name), 'home')"),
+    "flt23_list": (flt23_list, f"{_WITH} SELECT path, name, folder, mtime FROM f WHERE {_FOLDER} AND f.path IN (SELECT file_path FROM tags WHERE tag = 'type' OR starts_with(lower(tag), 'type/')) AND contains(lower(name), 'a')"),
+    "flt3_link_qualified": (flt3_link_qualified, listed("f.path IN (SELECT source FROM l WHERE target_path_key = (SELECT target_path_key FROM l WHERE target_path_key IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))")),
     "srt4_page": (srt4_page, f"{_WITH} SELECT {LIST} FROM f ORDER BY mtime DESC, path LIMIT 30 OFFSET 20"),
     "agg8_total": (agg8_total, f"{_WITH} SELECT count(*) AS total FROM (SELECT * FROM f LIMIT 300)"),
-    "cht1_read_note": (cht1_read_note, None),
+    "cht1_read_note": (cht1_read_note, _WITH + r""", b AS (SELECT string_split(regexp_replace(content, '\A---[ \t]*\r?\n(?s:.*?\r?\n)??---[ \t]*(?:\r?\n|\z)', ''), chr(10)) AS l FROM f WHERE content IS NOT NULL ORDER BY length(content) DESC, path LIMIT 1)
+        SELECT CAST(i - 1 AS INTEGER) AS line, l[i] AS text FROM b, generate_series(2, 6) t(i) WHERE i <= len(l)"""),
     "fts2_and": (fts2_and, _HITS),
     "fts3_ideographs": (fts3_ideographs, f"{_WITH} SELECT f.path, f.name FROM f WHERE contains({_TEXT}, '採石場') OR contains({_TEXT}, '灯台の')"),
     "fts4_like": (fts4_like, f"{_WITH} SELECT f.path, f.name FROM f WHERE {_like('pr')} AND {_like('salt')}"),
