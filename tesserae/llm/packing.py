@@ -2,8 +2,9 @@
 
 Round 1 runs in the partitions of the input, without a shuffle: each packs its items best-fit
 decreasing and emits bins that are nearly full.  The underfull bins become items of the next round:
-they are merged tree-wise into fewer partitions, packed best-fit again, and so on up to the root, or
-until a round merges nothing (two bins over half full never fit together, so nothing more can).
+they are merged tree-wise into fewer partitions, packed best-fit again, and so on up to the root.  When
+a round merges nothing, bins over half full are final (no two of them fit together) and the others, about
+one a task, go straight to the root.
 
 An item over the capacity is the only kind that is split: into full containers and one remainder.
 
@@ -125,9 +126,11 @@ def pack(sized: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
         done.append(nxt.filter("done"))
         residual = nxt.filter("NOT done")
         left = residual.count()
-        if left and left + nxt.filter("done").count() == rows:  # nothing merged: nothing more can
-            done.append(residual)
-            break
+        if left and left + nxt.filter("done").count() == rows:
+            # nothing merged: bins over half full never fit together, but each task may hold one that is not
+            done.append(residual.filter(F.col("fill") * 2 > capacity))
+            residual = residual.filter(F.col("fill") * 2 <= capacity)
+            left, tasks = residual.count(), 1
         rows = left
     bins = done[0]
     for d in done[1:]:

@@ -126,6 +126,8 @@ def plan(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[
     return out
 
 
+#: Pieces that leave a worker in one frame.
+FRAME = 2_000
 PIECES = "path string, piece_no int, n_pieces int, start int, stop int, cut_at string, piece string"
 
 
@@ -141,19 +143,15 @@ def split_oversized(df: DataFrame, key: str = "path", text: str = "content", max
     )
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PIECES.split(", ")]
         for b in batches:
+            rows = []
             for path, t in zip(b["path"], b["text"]):
                 p = plan(t, max_chars, overlap)
-                yield pd.DataFrame(
-                    {
-                        "path": path,
-                        "piece_no": np.arange(1, len(p) + 1, dtype=np.int32),
-                        "n_pieces": np.int32(len(p)),
-                        "start": np.array([a for a, _, _ in p], np.int32),
-                        "stop": np.array([z for _, z, _ in p], np.int32),
-                        "cut_at": [k for _, _, k in p],
-                        "piece": [t[a:z] for a, z, _ in p],
-                    }
-                )
+                rows += [(path, i, len(p), a, z, k, t[a:z]) for i, (a, z, k) in enumerate(p, 1)]
+                if len(rows) >= FRAME:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return big.mapInPandas(pieces, PIECES)

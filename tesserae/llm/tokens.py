@@ -118,6 +118,8 @@ class TrieEncoder:
         if len(ids) + len(inner) > self.keep:
             ids.clear()
             inner.clear()
+        if len(self.apart) > self.keep:
+            self.apart.clear()
         cut: list[list[str]] = []
         for t in texts:
             raw = t.split(" ") if t else []
