@@ -19,6 +19,7 @@ from ...functions import typed as T
 from ..catalog import Catalog
 from . import syntax as S
 
+# fixed values: the implicit fields of the query language, their columns and other names
 DIRECT = {
     "file.name": "name",
     "file.path": "path",
@@ -174,11 +175,7 @@ class _Compiler:
         t = K.strip_link(source)
         own = F.col("path_key") == K.path_key_of(t) if "/" in t else F.col("name_key") == K.link_key_of(t)
         src = self.c.files.filter(own).select(F.col("path").alias("source"))
-        k = self.link_keys(self.c.links.join(src, "source", "left_semi")).select("kind", "key").distinct()
-        f = self.c.files
-        by_path = f.join(k.filter("kind = 'P'").select(F.col("key").alias("path_key")), "path_key", "left_semi")
-        by_name = f.join(k.filter("kind = 'B'").select(F.col("key").alias("name_key")), "name_key", "left_semi")
-        return by_path.select(F.col("path").alias("__path")).unionByName(by_name.select(F.col("path").alias("__path")))
+        return self.files_of(self.link_keys(self.c.links.join(src, "source", "left_semi")).select("kind", "key").distinct())
 
     def source(self, s: S.Source) -> Column | None:
         if s.kind == "tag":
@@ -197,7 +194,7 @@ class _Compiler:
         if isinstance(e, S.Not):
             return ~self.condition(e.expr, False)
         if isinstance(e, S.Truthy):
-            return self.truthy(e.field)
+            return self.truthy(e.field, alone)
         if isinstance(e, S.IsNull):
             return self.is_null(e)
         if isinstance(e, S.Compare):
@@ -210,14 +207,32 @@ class _Compiler:
     def key_count(self) -> Column:
         return F.coalesce(F.size(F.json_object_keys("f_frontmatter")), F.lit(0))
 
-    def truthy(self, name: str) -> Column:
+    def owning(self, name: str) -> DataFrame:
+        """Notes with at least one element of an implicit array: a semi join, where the array itself would be built of
+        all elements, a hot link key's sources among them."""
+        if name == "file.tags":
+            return self.c.tags.filter("tag IS NOT NULL").select(F.col("file_path").alias("__path"))
+        if name == "file.outlinks":
+            return self.c.links.filter("target IS NOT NULL").select(F.col("source").alias("__path"))
+        if name == "file.tasks":
+            return self.c.tasks.select(F.col("file_path").alias("__path"))
+        return self.files_of(self.link_keys(self.c.links).select("kind", "key").distinct())
+
+    def files_of(self, keys: DataFrame) -> DataFrame:
+        """Notes that the link keys ``(kind, key)`` name."""
+        f = self.c.files
+        by_path = f.join(keys.filter("kind = 'P'").select(F.col("key").alias("path_key")), "path_key", "left_semi")
+        by_name = f.join(keys.filter("kind = 'B'").select(F.col("key").alias("name_key")), "name_key", "left_semi")
+        return by_path.select(F.col("path").alias("__path")).unionByName(by_name.select(F.col("path").alias("__path")))
+
+    def truthy(self, name: str, alone: bool = False) -> Column | None:
         if self.task and name == "completed":
             return self.done()
         if name in DIRECT:
             c = self.direct(name)
             return c.isNotNull() if DIRECT[name] in NUMERIC else c.isNotNull() & (c != "")
         if name in ARRAYS:
-            return F.size(self.array(name)) > 0
+            return self.exists(self.owning(name), alone)
         if name == "file.frontmatter":
             return self.key_count() > 0
         self.check(name)

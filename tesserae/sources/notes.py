@@ -7,7 +7,11 @@ contents are read where their rows are.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import tempfile
+import time
 import warnings
 from collections.abc import Iterator
 
@@ -125,11 +129,26 @@ class NoteReader(DataSourceReader):
 
 
 class WatchReader(SimpleDataSourceStreamReader):
-    """Change events between listings.  The offset is the listing itself, so a restart replays exactly what
-    was seen; files younger than the stability window wait for the next poll."""
+    """Change events between listings.  The offset is the number of a listing; the listing itself and the events that
+    led to it are kept in the folder ``state``, so offsets stay small and a restart replays exactly what was seen.
+    Files younger than the stability window wait for the next poll."""
 
-    def __init__(self, layout: Layout, stable_ms: int):
-        self.layout, self.stable_ms = layout, stable_ms
+    def __init__(self, layout: Layout, stable_ms: int, state: str):
+        self.layout, self.stable_ms, self.state = layout, stable_ms, state
+        os.makedirs(state, exist_ok=True)
+
+    def _file(self, version: int) -> str:
+        return os.path.join(self.state, f"{version:012d}.json")
+
+    def _load(self, version: int) -> dict:
+        with open(self._file(version), encoding="utf-8") as f:
+            return json.load(f)
+
+    def _store(self, version: int, kept: dict) -> dict:
+        with open(self._file(version) + ".writing", "w", encoding="utf-8") as f:
+            json.dump(kept, f)
+        os.replace(self._file(version) + ".writing", self._file(version))
+        return {"version": version}
 
     def _snapshot(self) -> dict[str, list[int]]:
         out = {}
@@ -139,23 +158,22 @@ class WatchReader(SimpleDataSourceStreamReader):
         return out
 
     def initialOffset(self) -> dict:
-        return {"files": self._snapshot(), "seq": 0, "events": []}
-
-    def _events(self, start: dict) -> tuple[list, dict]:
-        import time
+        return self._store(0, {"files": self._snapshot(), "seq": 0, "events": []})
 
+    def read(self, start: dict):
+        before = self._load(start["version"])
         now = time.time() * 1000
-        old, new, seq, events = start["files"], {}, start["seq"], []
+        old, new, seq, events = before["files"], {}, before["seq"], []
         for path, (mtime, size) in self._snapshot().items():
-            before = old.get(path)
-            if before == [mtime, size]:
-                new[path] = before
+            known = old.get(path)
+            if known == [mtime, size]:
+                new[path] = known
             elif now - mtime < self.stable_ms:
-                if before is not None:
-                    new[path] = before
+                if known is not None:
+                    new[path] = known
             else:
                 seq += 1
-                events.append([path, "change" if before is not None else "add", mtime, size, seq])
+                events.append([path, "change" if known is not None else "add", mtime, size, seq])
                 new[path] = [mtime, size]
         for path in sorted(set(old) - set(new)):
             if not os.path.exists(self.layout.absolute(path)):
@@ -163,14 +181,17 @@ class WatchReader(SimpleDataSourceStreamReader):
                 events.append([path, "unlink", None, None, seq])
             else:
                 new[path] = old[path]
-        return events, {"files": new, "seq": seq, "events": events}
-
-    def read(self, start: dict):
-        events, end = self._events(start)
-        return iter([tuple(e) for e in events]), end
+        if not events:
+            return iter([]), start
+        return iter([tuple(e) for e in events]), self._store(start["version"] + 1, {"files": new, "seq": seq, "events": events})
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([tuple(e) for e in end["events"]])
+        return iter([tuple(e) for v in range(start["version"] + 1, end["version"] + 1) for e in self._load(v)["events"]])
+
+    def commit(self, end: dict) -> None:
+        for name in os.listdir(self.state):
+            if name.endswith(".json") and int(name.split(".")[0]) < end["version"] - 1:
+                os.remove(os.path.join(self.state, name))
 
 
 class NotesDataSource(DataSource):
@@ -193,13 +214,15 @@ class NotesDataSource(DataSource):
         return NoteReader(self._layout())
 
     def simpleStreamReader(self, schema) -> WatchReader:
-        return WatchReader(self._layout(), int(self.options.get("stable_ms", "100")))
+        return WatchReader(self._layout(), int(self.options.get("stable_ms", "100")), self.options["state"])
 
 
-def watch(spark: SparkSession, roots: list[str], stable_ms: int = 100) -> DataFrame:
-    """Stream of change events; files that exist at the start give none."""
+def watch(spark: SparkSession, roots: list[str], stable_ms: int = 100, state: str | None = None) -> DataFrame:
+    """Stream of change events; files that exist at the start give none.  ``state``: a folder on the machine that holds
+    the files, for the listings; one beside the stream's checkpoint lets a restart go on where it stopped."""
     spark.dataSource.register(NotesDataSource)
-    return spark.readStream.format("tesserae_notes").options(roots=os.pathsep.join(roots), events="true", stable_ms=str(stable_ms)).load()
+    state = state or tempfile.mkdtemp(prefix="tesserae-watch-")
+    return spark.readStream.format("tesserae_notes").options(roots=os.pathsep.join(roots), events="true", stable_ms=str(stable_ms), state=state).load()
 
 
 def merged_config(start: str, home: str | None = None) -> dict:
@@ -211,8 +234,6 @@ def merged_config(start: str, home: str | None = None) -> dict:
 
 
 def _config_in(base: str) -> dict:
-    import json
-
     import yaml
 
     for ext in ("yaml", "yml", "json5", "json"):
@@ -220,14 +241,44 @@ def _config_in(base: str) -> dict:
         if os.path.exists(p):
             with open(p, encoding="utf-8") as f:
                 text = f.read()
-            # YAML reads JSON and most of JSON5 that settings use (unquoted keys, trailing commas)
-            data = json.loads(text) if ext == "json" else yaml.safe_load(text)
+            data = json.loads(text) if ext == "json" else read_json5(text) if ext == "json5" else yaml.safe_load(text)
             if data is not None and not isinstance(data, dict):
                 raise ValueError(f"{p} is no mapping")
             return data or {}
     return {}
 
 
+_JSON5 = re.compile(r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|//[^\n\u2028\u2029]*|/\*.*?\*/|(?P<sign>[+-]?)(?P<odd>Infinity|NaN)\b|(?P<hex>[+-]?0[xX][0-9a-fA-F]+)|(?P<number>[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)|(?P<word>[\w$]+)|(?P<comma>,\s*(?=[}\]]))""", re.S)
+
+
+def read_json5(text: str):
+    """JSON5 read as JSON: comments and trailing commas go, single quotes, plain keys and numbers of other forms are written anew."""
+
+    def quoted(t: str) -> str:
+        body = re.sub(r"\\(\r\n|[\s\S])", lambda m: "" if m[1] in ("\n", "\r\n", "\u2028", "\u2029") else {"'": "'", "v": "\\u000b", "0": "\\u0000"}.get(m[1], m[0] if m[1] in '"\\/bfnrtu' else m[1]), t[1:-1])
+        return '"' + (re.sub(r'(?<!\\)"', '\\"', body) if t[0] == "'" else body) + '"'
+
+    def token(m: re.Match) -> str:
+        if m["text"]:
+            return quoted(m["text"])
+        if m["odd"]:
+            return ("-" if m["sign"] == "-" else "") + m["odd"]
+        if m["hex"]:
+            return str(int(m["hex"], 16))
+        if m["number"]:
+            x = m["number"].removeprefix("+")
+            x = re.sub(r"^(-?)\.", r"\g<1>0.", x)
+            return re.sub(r"\.(?=$|[eE])", ".0", x)
+        if m["word"]:
+            return m["word"] if m["word"] in ("true", "false", "null") else json.dumps(m["word"])
+        return "" if m["comma"] else " "
+
+    def uncomma(t: str) -> str:
+        return re.sub(r"""("(?:[^"\\]|\\.)*")|,\s*(?=[}\]])""", lambda m: m[1] or "", t)
+
+    return json.loads(uncomma(_JSON5.sub(token, text)))
+
+
 CONFIG_DIR = ".tesserae"
 
 
@@ -240,8 +291,6 @@ def _overlay(low: dict, high: dict) -> dict:
 
 def emit(rows: list[dict] | dict, kind: str = "json") -> str:
     """Pretty JSON, or YAML; another kind is JSON."""
-    import json
-
     import yaml
 
     return yaml.safe_dump(rows, allow_unicode=True, sort_keys=False) if kind == "yaml" else json.dumps(rows, ensure_ascii=False, indent=2, default=str)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -64,18 +65,25 @@ class Runner:
             return results
 
     def _contents(self, events: DataFrame) -> DataFrame:
-        absolute = [(r.path, self.layout.absolute(r.path)) for r in events.select("path").toLocalIterator()]
-        rows = []
-        import os
-
-        for path, a in absolute:
-            try:
-                s = os.stat(a)
-            except OSError:
-                continue
-            rows.append((path, a, s.st_size, s.st_mtime_ns // 1_000_000, int(s.st_ctime * 1000)))
-        listing = self.spark.createDataFrame(rows, N.LISTING)
-        return N.read_notes(listing).filter("error IS NULL").select("path", "size", "mtime", "ctime", "content")
+        """The files of the events, looked up and read where the tasks run; one that is gone again has no row."""
+        layout = self.layout
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import os
+
+            for b in batches:
+                rows = []
+                for path in b["path"]:
+                    try:
+                        a = layout.absolute(path)
+                        s = os.stat(a)
+                        with open(a, "rb") as f:
+                            rows.append((path, s.st_size, s.st_mtime_ns // 1_000_000, int(s.st_ctime * 1000), f.read().decode("utf-8", "replace")))
+                    except OSError:
+                        continue
+                yield pd.DataFrame(rows, columns=["path", "size", "mtime", "ctime", "content"])
+
+        return events.select("path").mapInPandas(run, "path string, size bigint, mtime bigint, ctime bigint, content string")
 
     def _write(self, results: DataFrame) -> None:
         for r in meta.write_notes(results, self.layout).toLocalIterator():
@@ -98,7 +106,7 @@ class Runner:
     def start(self, stable_ms: int = 100, checkpoint: str | None = None) -> StreamingQuery:
         """Follow the files.  Stop with ``query.stop()``, which waits for the running batch."""
         p = self.pipeline
-        batches = debounced(N.watch(self.spark, list(self.layout.roots), stable_ms), p.wait, p.max_wait)
+        batches = debounced(N.watch(self.spark, list(self.layout.roots), stable_ms, f"{checkpoint}-listings" if checkpoint else None), p.wait, p.max_wait)
         w = batches.writeStream.outputMode("append").foreachBatch(lambda df, i: self.batch(df.drop("route", "batch"), i) and None)
         if checkpoint:
             w = w.option("checkpointLocation", checkpoint)

@@ -173,6 +173,38 @@ def test_config(tmp_path):
     assert N.emit({"a": 1}) == '{\n  "a": 1\n}' and N.emit({"a": 1}, "yaml") == "a: 1\n"
 
 
+def test_json5():
+    text = """// settings
+{ plain: 'it\\'s "x"', "url": "http://a//b", /* gone, } */ list: [1, .5, +2, 0x1F, 5., -.25e1, 'a,]',], $k: null, t: true, n: 'a\\
+b' ,}"""
+    assert N.read_json5(text) == {"plain": 'it\'s "x"', "url": "http://a//b", "list": [1, 0.5, 2, 31, 5.0, -2.5, "a,]"], "$k": None, "t": True, "n": "ab"}
+    assert N.read_json5("[]") == [] and N.read_json5("-Infinity") == float("-inf")
+
+
+def test_watch_offsets_are_numbers(tmp_path):
+    root, state = make(tmp_path / "v", {"a.md": "x"}), str(tmp_path / "state")
+    r = N.WatchReader(Layout.of(root), 0, state)
+    first = r.initialOffset()
+    assert first == {"version": 0} and r.read(first)[1] == first
+    make(tmp_path / "v", {"b.md": "y"})
+    os.remove(os.path.join(root, "a.md"))
+    events, end = r.read(first)
+    assert [(e[0], e[1]) for e in events] == [("b.md", "add"), ("a.md", "unlink")] and end == {"version": 1}
+    again = N.WatchReader(Layout.of(root), 0, state)  # after a restart
+    assert [(e[0], e[1]) for e in again.readBetweenOffsets(first, end)] == [("b.md", "add"), ("a.md", "unlink")] and again.read(end)[1] == end
+    again.commit({"version": 5})
+    assert os.listdir(state) == []
+
+
+def test_own_writes_are_forgotten_one_by_one(spark, tmp_path):
+    r = Runner(spark, Layout.of(make(tmp_path / "v", {"a.md": "x"})), Catalog.from_tables(spark), actions.Pipeline.of({"actions": ["index"]}))
+    r._written = {"a.md": 10_000, "b.md": 10_000}
+    own = lambda *rows: sorted((x.path, x.seq) for x in r._without_own(spark.createDataFrame(list(rows), EVENT)).collect())
+    assert own(("a.md", "change", 10_050, 1, 1), ("c.md", "change", 10_000, 1, 2)) == [("c.md", 2)]
+    assert own(("b.md", "unlink", None, None, 3)) == [("b.md", 3)] and set(r._written) == {"b.md"}
+    assert own(("b.md", "change", 13_000, 1, 4)) == [("b.md", 4)] and not r._written  # a later change is no echo
+
+
 def test_pipeline_over_a_scan(spark, tmp_path):
     root = make(tmp_path / "v", {"a.md": "---\ntag: x\n---\n", "b.md": "---\nstatus: done\ntag: y\n---\n", "c/bad.md": "---\n: [\n---\n"})
     cfg = {"actions": ["index", "normalize", "set seen=true"], "where": "LIST WHERE status = \"done\" OR file.name = \"bad\""}
