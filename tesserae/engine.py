@@ -73,6 +73,10 @@ class Engine:
         """With the search index kept in ``directory``, which is built where it is missing or of another version."""
         return Engine(self.catalog, fts.GramIndex.ensure(self.catalog.files, directory))
 
+    def rebuild_index(self, directory: str) -> Engine:
+        """With a search index of the present files, written anew."""
+        return Engine(self.catalog, fts.GramIndex.write(self.catalog.files, directory))
+
     def query(self, text: str, offset=None, size=None, now: datetime | None = None, sort_tasks: bool = False) -> Result:
         """Rows of a query.  Paging applies outside the query's own LIMIT."""
         c = compile_query(self.catalog, parse(text, now), sort_tasks)

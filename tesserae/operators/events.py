@@ -26,12 +26,21 @@ def step(state: Column, event: Column) -> Column:
     )
 
 
+def _compose(acc: Column, p: Column) -> Column:
+    """A state, after a piece that was folded from each state."""
+    at = F.array_position(F.array(*(F.lit(s) for s in STATES)), acc.state).cast("int")
+    m = F.element_at(p.maps, at)
+    first = F.when(m.state == "none", F.lit(None)).otherwise(F.coalesce(m["first"], acc["first"]))
+    return F.struct(m.state.alias("state"), first.cast("bigint").alias("first"))
+
+
 def fold(events: DataFrame) -> DataFrame:
     """At most one event per path: ``(path, type, mtime, size, first_seq)`` of ``(path, type, mtime, size, seq)``.
 
     Type by the automaton, mtime and size of the last event, order by the first one since the last time the
     path's events cancelled out.  A piece of a path's history is folded from each of the four states, so pieces
-    compose and a path with any number of events is spread over tasks.
+    compose and a path with any number of events is spread over tasks.  Pieces are ranges of ``seq``; they are composed
+    in as many levels as it takes until a path has at most ``PIECE`` of them, whatever the range of ``seq``.
     """
     item = F.struct("seq", "type", "mtime", "size")
     pieces = events.groupBy("path", F.floor(F.col("seq") / PIECE).alias("piece")).agg(F.sort_array(F.collect_list(item)).alias("es"))
@@ -46,17 +55,18 @@ def fold(events: DataFrame) -> DataFrame:
         return F.transform(acc, one)
 
     folded = pieces.select("path", "piece", F.aggregate("es", start, advance).alias("maps"), F.element_at("es", -1).alias("last"))
+    low, high = events.agg(F.min("seq"), F.max("seq")).first()
+    width = PIECE
+    while high is not None and (high - low) // width > PIECE:
+        width *= PIECE
+        ps = folded.groupBy("path", F.floor(F.col("piece") / PIECE).alias("piece")).agg(F.sort_array(F.collect_list(F.struct("piece", "maps", "last"))).alias("ps"))
+        maps = F.array(*(F.aggregate("ps", F.struct(F.lit(s).alias("state"), F.lit(None).cast("bigint").alias("first")), _compose) for s in STATES))
+        folded = ps.select("path", "piece", maps.alias("maps"), F.element_at("ps", -1)["last"].alias("last"))
     whole = folded.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("piece", "maps", "last"))).alias("ps"))
     begin = F.struct(F.lit("none").alias("state"), F.lit(None).cast("bigint").alias("first"))
 
-    def compose(acc: Column, p: Column) -> Column:
-        at = F.array_position(F.array(*(F.lit(s) for s in STATES)), acc.state).cast("int")
-        m = F.element_at(p.maps, at)
-        first = F.when(m.state == "none", F.lit(None)).otherwise(F.coalesce(m["first"], acc["first"]))
-        return F.struct(m.state.alias("state"), first.cast("bigint").alias("first"))
-
     return (
-        whole.select("path", F.aggregate("ps", begin, compose).alias("r"), F.element_at("ps", -1)["last"].alias("last"))
+        whole.select("path", F.aggregate("ps", begin, _compose).alias("r"), F.element_at("ps", -1)["last"].alias("last"))
         .filter("r.state <> 'none'")
         .select("path", F.col("r.state").alias("type"), "last.mtime", "last.size", F.col("r.first").alias("first_seq"))
     )
