@@ -48,6 +48,8 @@ L2_WEIGHT, L2_FACTOR, RATE_WEIGHT, RATE_FACTOR = 1e-3, 2e-3, 0.15, 0.1
 SURE = 0.005
 #: Folds of pages of the cross-fits, and the threshold where they cannot be made.
 FOLDS, THRESHOLD, SLACK = 2, 0.5, 0.005
+#: No document below this probability is flagged, however few votes the threshold was chosen on.
+LEAST_THRESHOLD = 0.1
 #: Words looked at together: bounds memory.
 BLOCK = 200_000
 
@@ -331,7 +333,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, votes: np.nda
         p = _cross(docs, target, groups)
         if p is not None:
             target = _believed(p, y, n, e)
-            threshold = best_threshold(p, target)[0]
+            threshold = max(LEAST_THRESHOLD, best_threshold(p, target)[0])
     m = _train(docs, target, groups)
     if m is None:
         return none
