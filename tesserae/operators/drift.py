@@ -222,7 +222,15 @@ def versions(fields: DataFrame) -> DataFrame:
 
 
 def registry(files: DataFrame) -> DataFrame:
-    """The versions of all vaults: ``(vault, month, fingerprint, fields, parent, parent_month, steps)``.
+    """The versions of all vaults; see :func:`survey`."""
+    versions_, counts = survey(files)
+    discard(counts)
+    return versions_
+
+
+def survey(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The registry of versions ``(vault, month, fingerprint, fields, parent, parent_month, steps)``, and how many notes
+    carry each field (:func:`carried`).
 
     A version is a vault's template in a month, named by its fingerprint; ``parent`` is the fingerprint of the vault's
     version before it (null for the first), ``steps`` are the migrations from there, as structs of ``step, field_before,
@@ -241,8 +249,9 @@ def registry(files: DataFrame) -> DataFrame:
     out = named.join(before, ["vault", "prev"], "left").join(taken, ["vault", "month"], "left")
     empty = F.array().cast("array<struct<step:string,field_before:string,field_after:string,type_before:string,type_after:string>>")
     out = cut(out.select("vault", "month", "fingerprint", "fields", "parent", F.col("prev").alias("parent_month"), F.coalesce("steps", empty).alias("steps")), "drift-registry")
+    counts = cut(carried(every), "drift-carried")
     discard(every, months, fields)
-    return out
+    return out, counts
 
 
 def steps_of(versions_: DataFrame) -> DataFrame:
@@ -449,18 +458,21 @@ def _column_names(columns: list[str]) -> dict[str, str]:
     return out
 
 
-def unify(files: DataFrame, versions_: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
+def unify(files: DataFrame, versions_: DataFrame, defaults: dict[str, object] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """All notes as one table, each routed through its version's chain of rules in a :func:`registry`: ``path, vault,
     month, version`` (the fingerprint), one column per meaning, ``other`` and ``applied``, the rules that changed something
     in the note: renames, casts, defaults of fields that entered its vault later (``defaults`` by column, else null),
-    values kept in ``other``.  ``other`` holds, by name and as JSON, what no column holds: fields without a column, the
+    values kept in ``other``.  ``counts`` is what :func:`survey` gave beside the registry, else it is counted again.
+    ``other`` holds, by name and as JSON, what no column holds: fields without a column, the
     further values of a note that carries several names of one column, and values that cannot be read as the type of
     their column."""
     defaults = defaults or {}
     steps, fields = steps_of(versions_), templates_of(versions_)
-    spread_out = exploded(files)
-    every = cut(carried(spread_out), "unify-carried")
-    discard(spread_out)
+    every = counts
+    if every is None:
+        spread_out = exploded(files)
+        every = cut(carried(spread_out), "drift-carried")
+        discard(spread_out)
     columns, kinds = meanings(steps, fields, every)
     ranked = {n: (c, i) for c, group in columns.items() for i, n in enumerate(group)}
     moves = cut(chains(versions_.select("vault", "month"), fields, steps, {n: c for n, (c, _) in ranked.items()}), "unify-moves")

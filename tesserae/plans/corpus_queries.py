@@ -21,7 +21,8 @@ def p1_versions(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
     files = load(spark, d, "files")
-    return drift.unify(files, drift.registry(files))
+    versions, counts = drift.survey(files)
+    return drift.unify(files, versions, counts=counts)
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
