@@ -12,8 +12,11 @@ import json
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +46,9 @@ def grams(term: str) -> list[str]:
 
 @dataclass(frozen=True)
 class GramIndex:
-    """Postings ``(bucket, gram, path, at)`` (``at``: where the gram begins in path, name and content, one after the other)
-    and ``(path, length)`` below ``directory``, with the number of files, their mean length and of buckets."""
+    """Postings ``(bucket, gram, f0, f1, at)`` (``at``: where the gram begins in path, name and content, one after the other)
+    and ``(f0, f1, path, length)`` below ``directory``, with the number of files, their mean length and of buckets.  f0
+    and f1 are two hashes of the path, which stand for it in the postings."""
 
     spark: SparkSession
     directory: str
@@ -58,15 +62,13 @@ class GramIndex:
         spark, root = files.sparkSession, directory.rstrip("/")
         buckets = buckets or parallelism(spark)
         remove(spark, f"{root}/{DESCRIPTION}")
-        text = F.lower(F.concat_ws("\u0000", "path", "name", "content"))
-        # an empty match before each character, by look-ahead; what runs over a separator is no gram
-        chars = F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))
-        g = files.select("path", F.posexplode(chars).alias("pos", "gram")).filter(~F.col("gram").contains("\u0000"))
-        postings = g.groupBy("path", "gram").agg(F.sort_array(F.collect_list("pos")).alias("at"))  # at most a file's length
+        known = [F.xxhash64("path").alias("f0"), F.xxhash64("path", F.lit(1)).alias("f1")]
+        text = F.lower(F.concat_ws("\u0000", "path", "name", "content")).alias("text")
+        postings = files.select(*known, text).mapInArrow(_postings, "f0 bigint, f1 bigint, gram string, at array<int>")
         postings = postings.withColumn("bucket", F.pmod(F.crc32("gram"), F.lit(buckets)).cast("int"))
-        laid = postings.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(4))).sortWithinPartitions("bucket", "gram", "path")
+        laid = postings.repartition("bucket", F.pmod("f0", F.lit(4))).sortWithinPartitions("bucket", "gram")
         laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
-        files.select("path", _length().alias("length")).write.mode("overwrite").parquet(f"{root}/lengths")
+        files.select(*known, "path", _length().alias("length")).write.mode("overwrite").parquet(f"{root}/lengths")
         size = spark.read.parquet(f"{root}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
         out = cls(spark, root, size.n, float(size.avg or 1.0), buckets)
         path, fs = hadoop_path(spark, f"{root}/{DESCRIPTION}")
@@ -100,25 +102,44 @@ class GramIndex:
 
     @property
     def lengths(self) -> DataFrame:
-        return self.spark.read.schema("path string, length int").parquet(f"{self.directory}/lengths")
+        return self.spark.read.schema("f0 bigint, f1 bigint, path string, length int").parquet(f"{self.directory}/lengths")
 
     def postings(self, wanted: list[str]) -> DataFrame:
         """The postings of some grams: only their buckets and row groups are read."""
-        p = self.spark.read.schema("gram string, path string, at array<int>, bucket int").parquet(f"{self.directory}/postings")
+        p = self.spark.read.schema("gram string, f0 bigint, f1 bigint, at array<int>, bucket int").parquet(f"{self.directory}/postings")
         of = sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % self.buckets for g in wanted})
         return p.filter(F.col("bucket").isin(of) & F.col("gram").isin(wanted))
 
     def counts(self, term: str) -> DataFrame:
-        """``(path, c)`` of the files that hold the term: how often, overlapping occurrences too."""
-        places = [(utf16(term[:i]), term[i : i + GRAM]) for i in range(len(term) - GRAM + 1)]  # positions count UTF-16 units
+        """``(f0, f1, c)`` of the files that hold the term: how often, overlapping occurrences too."""
+        places = [(i, term[i : i + GRAM]) for i in range(len(term) - GRAM + 1)]
         flat = list(dict.fromkeys(g for _, g in places))
-        per_file = self.postings(flat).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("gram", "at"))).alias("m"))  # a row per gram of the term
+        per_file = self.postings(flat).groupBy("f0", "f1").agg(F.map_from_entries(F.collect_list(F.struct("gram", "at"))).alias("m"))  # a row per gram of the term
         per_file = per_file.filter(F.size("m") == len(flat))
         begins = None
         for i, g in places:
             at = _less(F.col("m")[g], i)
             begins = at if begins is None else F.array_intersect(begins, at)
-        return per_file.select("path", F.size(begins).alias("c")).filter("c > 0")
+        return per_file.select("f0", "f1", F.size(begins).alias("c")).filter("c > 0")
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of each text ``(f0, f1, text)`` with the positions where they begin; what runs over a separator is none."""
+    for b in batches:
+        for k, t in enumerate(b.column(2).to_pylist()):
+            c = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
+            if len(c) < GRAM:
+                continue
+            a = np.lib.stride_tricks.sliding_window_view(c, GRAM)
+            at = np.flatnonzero(a.all(axis=1)).astype(np.int32)
+            g = (a[at, 0].astype(np.uint64) << np.uint64(42)) | (a[at, 1].astype(np.uint64) << np.uint64(21)) | a[at, 2]
+            order = np.argsort(g, kind="stable")
+            begin = np.flatnonzero(np.diff(g[order], prepend=np.uint64(0)))  # no gram is 0
+            flat = np.ascontiguousarray(a[at[order[begin]]]).tobytes().decode("utf-32-le")
+            names = pa.array([flat[i : i + GRAM] for i in range(0, len(flat), GRAM)], pa.string())
+            places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array(at[order]))
+            own = [pa.array(np.full(len(begin), b.column(i)[k].as_py(), np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, names, places], ["f0", "f1", "gram", "at"])
 
 
 def _less(c: Column, n: int) -> Column:
@@ -204,14 +225,14 @@ def indexed_hits(index: GramIndex, phrases: list[str], all_of: bool) -> DataFram
     counted = [index.counts(p) for p in low]
     every = None
     for i, df in enumerate(counted):
-        one = df.select("path", F.lit(i).alias("term"), "c")
+        one = df.select("f0", "f1", F.lit(i).alias("term"), "c")
         every = one if every is None else every.unionByName(one)
     every = cut(every, "search-hits")
     found = {r.term: r["count"] for r in every.groupBy("term").count().collect()}  # a row per term
     times = {p.lower(): [q.lower() for q in phrases].count(p.lower()) for p in phrases}
     idf = F.create_map(*(x for i, p in enumerate(low) for x in (F.lit(i), F.lit(_idf(index.n_files, found.get(i, 0)) * times[p]))))
     part = F.col("c") * (K1 + 1) / (F.col("c") + K1 * (1 - B + B * F.col("length") / F.lit(index.mean_length)))
-    scored = every.join(index.lengths, "path").groupBy("path").agg(F.sum(idf[F.col("term")] * part).alias("score"), F.count(F.lit(1)).alias("held"))
+    scored = every.join(index.lengths, ["f0", "f1"]).groupBy("path").agg(F.sum(idf[F.col("term")] * part).alias("score"), F.count(F.lit(1)).alias("held"))
     return (scored.filter(F.col("held") == len(low)) if all_of else scored).select("path", "score").orderBy(F.desc("score"), "path")
 
 

@@ -234,14 +234,9 @@ def fts4_like(spark: SparkSession, d: str) -> DataFrame:
     return fts.search(catalog(spark, d).files, "PR salt").select("path", "name")
 
 
-def _indexed(spark: SparkSession, d: str):
-    files = catalog(spark, d).files
-    return files, fts.GramIndex.write(files, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
-
-
 def fts5_bm25(spark: SparkSession, d: str) -> DataFrame:
-    _, index = _indexed(spark, d)
-    return fts.indexed_hits(index, ["glacier"], True).select("path", F.round("score", 6).alias("score"))
+    r = fts.search(catalog(spark, d).files, "glacier", with_score=True)
+    return r.select("path", F.round("score", 6).alias("score"))
 
 
 def fts8_literals(spark: SparkSession, d: str) -> DataFrame:
@@ -252,9 +247,21 @@ def fts7_snippet(spark: SparkSession, d: str) -> DataFrame:
     return fts.search(catalog(spark, d).files, "glacier harvest").select("path", "snippet")
 
 
+def _indexed(spark: SparkSession, d: str):
+    files = catalog(spark, d).files
+    return files, fts.GramIndex.write(files, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+
+
 def fts9_index(spark: SparkSession, d: str) -> DataFrame:
+    """Every hit with its score, from the postings of an index that is built first."""
+    _, index = _indexed(spark, d)
+    return fts.indexed_hits(index, ["glacier"], True).select("path", F.round("score", 6).alias("score"))
+
+
+def fts9_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """A search on the index, with the snippets of all hits."""
     files, index = _indexed(spark, d)
-    return fts.search(files, "glacier harvest", index).select("path", "name")
+    return fts.search(files, "glacier harvest", index).select("path", "snippet")
 
 
 _TEXT = "lower(concat_ws(chr(1), f.path, f.name, f.content))"
@@ -280,6 +287,8 @@ n AS (SELECT count(*) AS n, avg(len) AS avglen, count(*) FILTER (tf > 0) AS held
 SELECT path, round(greatest(0.000001, ln((n - held + 0.5) / (held + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen)), 6) AS score
 FROM w, n WHERE tf > 0"""
 
+_FTS7 = f"{_WITH}, h AS (SELECT f.path, f.content FROM f WHERE contains({_TEXT}, 'glacier') AND contains({_TEXT}, 'harvest')) {_SNIPPET}"
+
 OTHERS = {
     "flt23_list": (flt23_list, f"{_WITH} SELECT path, name, folder, mtime FROM f WHERE {_FOLDER} AND f.path IN (SELECT file_path FROM tags WHERE tag = 'type' OR starts_with(lower(tag), 'type/')) AND contains(lower(name), 'a')"),
     "flt3_link_qualified": (flt3_link_qualified, listed("f.path IN (SELECT source FROM l WHERE target_path_key = (SELECT target_path_key FROM l WHERE target_path_key IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))")),
@@ -291,9 +300,10 @@ OTHERS = {
     "fts3_ideographs": (fts3_ideographs, f"{_WITH} SELECT f.path, f.name FROM f WHERE contains({_TEXT}, '採石場') OR contains({_TEXT}, '灯台の')"),
     "fts4_like": (fts4_like, f"{_WITH} SELECT f.path, f.name FROM f WHERE {_like('pr')} AND {_like('salt')}"),
     "fts5_bm25": (fts5_bm25, _BM25),
-    "fts7_snippet": (fts7_snippet, f"{_WITH}, h AS (SELECT f.path, f.content FROM f WHERE contains({_TEXT}, 'glacier') AND contains({_TEXT}, 'harvest')) {_SNIPPET}"),
+    "fts7_snippet": (fts7_snippet, _FTS7),
     "fts8_literals": (fts8_literals, f"{_WITH} SELECT f.path, f.name FROM f WHERE contains({_TEXT}, '[x]')"),
-    "fts9_index": (fts9_index, _HITS),
+    "fts9_index": (fts9_index, _BM25),
+    "fts9_snippets": (fts9_snippets, _FTS7),
 }
 
 
