@@ -47,7 +47,7 @@ L2_WEIGHT, L2_FACTOR, RATE_WEIGHT, RATE_FACTOR = 1e-3, 2e-3, 0.15, 0.1
 #: A model of other pages is believed up to this probability, and up to 1 less it.
 SURE = 0.005
 #: Folds of pages of the cross-fits, and the threshold where they cannot be made.
-FOLDS, THRESHOLD, SLACK = 2, 0.5, 0.005
+FOLDS, THRESHOLD, SLACK = 2, 0.5, 0.001
 #: No document below this probability is flagged, however few votes the threshold was chosen on.
 LEAST_THRESHOLD = 0.1
 #: Words looked at together: bounds memory.
@@ -65,6 +65,8 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
 def normal_words(chunk: str) -> list[str]:
     """Normal forms of the words in a run of non-blanks."""
+    if chunk == "=":  # X = insult
+        return ["="]
     chunk = chunk.lower()
     if _SPLIT_WORD.match(chunk):  # i-d-i-o-t
         chunk = "".join(c for c in chunk if c.isalnum())
@@ -200,7 +202,8 @@ def _sigmoid(x):
 
 
 def _train(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, seed: int = 7) -> Model | None:
-    """A model of the targets ``y`` (chances; the less certain one is, the less it weighs); None where one side is missing."""
+    """A model of the targets ``y``: chances, taken as the likelier side and weighed by how certain they are, so that a
+    vote which is probably wrong teaches nothing about its page; None where one side is missing."""
     y = np.asarray(y, float)
     if not (y > 0.5).any() or not (y <= 0.5).any():
         return None
@@ -250,7 +253,7 @@ def _train(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, seed: int
                 v = m.factor[r]
                 s = v.sum(axis=1)
                 z = m.bias + m.weight[r].sum(axis=1) + 0.5 * ((s**2).sum(axis=1) - (v**2).sum(axis=(1, 2)))
-                e = (_sigmoid(z) - y[rows]) * certain[rows]
+                e = (_sigmoid(z) - (y[rows] > 0.5)) * certain[rows]
                 used, back = np.unique(r, return_inverse=True)
                 back = back.ravel()
                 times = np.bincount(back, minlength=len(used))
