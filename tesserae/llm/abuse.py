@@ -201,37 +201,58 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _train(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, seed: int = 7) -> Model | None:
-    """A model of the targets ``y``: chances, taken as the likelier side and weighed by how certain they are, so that a
-    vote which is probably wrong teaches nothing about its page; None where one side is missing."""
-    y = np.asarray(y, float)
-    if not (y > 0.5).any() or not (y <= 0.5).any():
+@dataclass
+class Coded:
+    """Labelled texts, the texts of a group side by side, with numbered terms; what all fits share."""
+
+    texts: Texts
+    group: np.ndarray  # of each text, numbered
+    values: np.ndarray  # the terms, sorted
+    codes: np.ndarray  # of the two terms at each word
+    of_term: np.ndarray  # the different pairs of a term and a text that holds it, sorted
+    of_text: np.ndarray
+
+    @staticmethod
+    def of(docs: list[np.ndarray], groups: np.ndarray) -> Coded:
+        texts = Texts.of(docs)
+        terms = np.concatenate([np.empty((0, 2), np.uint64), *(texts.terms(a, b) for a, b in texts.blocks())])
+        values, codes = np.unique(terms, return_inverse=True)
+        codes = codes.reshape(terms.shape).astype(np.int32)
+        n = max(1, len(docs))
+        at = np.repeat(np.arange(len(docs)), np.diff(texts.begin))
+        pairs = np.unique((codes.astype(np.int64) * n + at[:, None]).ravel())
+        return Coded(texts, np.unique(groups, return_inverse=True)[1], values, codes, (pairs // n).astype(np.int32), (pairs % n).astype(np.int32))
+
+    def holding(self, chosen: np.ndarray) -> np.ndarray:
+        """How many groups of the ``chosen`` texts (a mask) hold each term."""
+        m = chosen[self.of_text]
+        t, g = self.of_term[m], self.group[self.of_text[m]]
+        new = np.append(True, (np.diff(t) != 0) | (np.diff(g) != 0))[: len(t)]
+        return np.bincount(t[new], minlength=len(self.values))
+
+
+def _train(c: Coded, y: np.ndarray, chosen: np.ndarray, seed: int = 7) -> Model | None:
+    """A model of the targets ``y`` of the ``chosen`` texts (a mask): chances, taken as the likelier side and weighed by how
+    certain they are, so that a vote which is probably wrong teaches nothing about its page; None where one side is
+    missing."""
+    likely = y > 0.5
+    if not (likely & chosen).any() or not (~likely & chosen).any():
         return None
-    certain = np.abs(2 * y - 1)
-    texts = Texts.of(docs)
-    group = np.unique(groups, return_inverse=True)[1]
-    size = np.diff(texts.begin)
-    of_word = np.repeat(group, size)
-    terms = np.concatenate([texts.terms(a, b) for a, b in texts.blocks()])
-    # how many groups hold a term, in all and among the positive ones
-    values, inverse = np.unique(terms, return_inverse=True)
-    inverse = inverse.reshape(terms.shape)
-    n_groups = int(group.max()) + 1
-    positive = np.repeat(y > 0.5, size)
-
-    held = np.unique(((inverse * n_groups + of_word[:, None]) * 2 + positive[:, None]).ravel())
-    pos, neg, both = (np.bincount(x // (2 * n_groups), minlength=len(values)) for x in (held[held % 2 == 1], held[held % 2 == 0], np.unique(held // 2) * 2))
-    keep = (both >= LEAST_GROUPS) & (values > 0)
-    n_pos, n_neg = len(np.unique(group[y > 0.5])), len(np.unique(group[y <= 0.5]))
+    # how many groups hold a term, in all and on either side
+    pos, neg, both = (c.holding(m) for m in (chosen & likely, chosen & ~likely, chosen))
+    keep = (both >= LEAST_GROUPS) & (c.values > 0)
+    n_pos, n_neg = len(np.unique(c.group[chosen & likely])), len(np.unique(c.group[chosen & ~likely]))
     place = np.where(keep, np.cumsum(keep), 0).astype(np.int32)
-    f = place[inverse]
-    del inverse, terms, of_word, held
+    size = np.where(chosen, np.diff(c.texts.begin), 0)
+    f = place[c.codes[np.repeat(chosen, np.diff(c.texts.begin))]]
+    texts = Texts(np.empty(0, np.uint32), np.concatenate(([0], np.cumsum(size[chosen], dtype=np.int64))))
+    y, certain = y[chosen], np.abs(2 * y[chosen] - 1)
     n = int(keep.sum()) + 1
     share = n_pos / (n_pos + n_neg)
     odds = np.log((pos + 2 * share) / (n_pos + 2)) - np.log((neg + 2 * (1 - share)) / (n_neg + 2))
     start = 0.5 * np.clip(odds, -2, 2) * np.where(pos + neg < 5, 0.5, 1.0)
     rng = np.random.default_rng(seed)
-    m = Model(values[keep], -4.0, np.concatenate(([0.0], start[keep])), rng.normal(0, 0.03, (n, FACTORS)).astype(np.float32))
+    m = Model(c.values[keep], -4.0, np.concatenate(([0.0], start[keep])), rng.normal(0, 0.03, (n, FACTORS)).astype(np.float32))
     m.factor[0] = 0
     grad_w, grad_v, grad_b = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
     worst = np.empty(len(texts), np.int64)
@@ -247,8 +268,8 @@ def _train(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, seed: int
         runs = runs.reshape(len(texts), -1)
         for _ in range(PASSES):
             order = rng.permutation(len(texts))
-            for c in range(0, len(order), BATCH):
-                rows = order[c : c + BATCH]
+            for k in range(0, len(order), BATCH):
+                rows = order[k : k + BATCH]
                 r = runs[rows]
                 v = m.factor[r]
                 s = v.sum(axis=1)
@@ -259,7 +280,7 @@ def _train(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, seed: int
                 times = np.bincount(back, minlength=len(used))
                 dw = np.bincount(back, np.repeat(e, r.shape[1]), len(used)) + L2_WEIGHT * m.weight[used] * times
                 each = (e[:, None, None] * (s[:, None, :] - v)).reshape(-1, FACTORS)
-                dv = np.stack([np.bincount(back, each[:, k], len(used)) for k in range(FACTORS)], axis=1)
+                dv = np.stack([np.bincount(back, each[:, j], len(used)) for j in range(FACTORS)], axis=1)
                 dv += L2_FACTOR * m.factor[used] * times[:, None]
                 grad_w[used] += dw**2
                 grad_v[used] += dv**2
@@ -282,13 +303,12 @@ def _log_odds(m: Model, docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _cross(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray) -> np.ndarray | None:
+def _cross(c: Coded, docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray) -> np.ndarray | None:
     """Probability of each document by a model of other groups; None where a fold cannot be fitted."""
     fold = np.array([xxhash.xxh3_64_intdigest(str(g)) % FOLDS for g in groups])
     out = np.empty(len(docs))
     for k in range(FOLDS):
-        rest = np.flatnonzero(fold != k)
-        m = _train([docs[i] for i in rest], y[rest], groups[rest])
+        m = _train(c, y, fold != k)
         if m is None:
             return None
         mine = np.flatnonzero(fold == k)
@@ -328,16 +348,19 @@ def fit(docs: list[np.ndarray], y: np.ndarray, groups: np.ndarray, votes: np.nda
     none = Model(np.empty(0, np.uint64), -30.0, np.zeros(1), np.zeros((1, FACTORS)))
     if not len(y) or not (y > 0.5).any() or not (y <= 0.5).any():
         return none
+    order = np.argsort(groups, kind="stable")
+    docs, y, groups, n = [docs[i] for i in order], y[order], groups[order], n[order]
+    coded = Coded.of(docs, groups)
     target, threshold = y, THRESHOLD
-    p = _cross(docs, y, groups)
+    p = _cross(coded, docs, y, groups)
     if p is not None:
         e = wrong_votes(y, n)
         target = _believed(p, y, n, e)
-        p = _cross(docs, target, groups)
+        p = _cross(coded, docs, target, groups)
         if p is not None:
             target = _believed(p, y, n, e)
             threshold = max(LEAST_THRESHOLD, best_threshold(p, target)[0])
-    m = _train(docs, target, groups)
+    m = _train(coded, target, np.ones(len(docs), bool))
     if m is None:
         return none
     used = (np.abs(m.weight[1:]) > 0.01) | (np.abs(m.factor[1:]).max(axis=1) > 0.15)
