@@ -223,9 +223,7 @@ def versions(fields: DataFrame) -> DataFrame:
 
 def registry(files: DataFrame) -> DataFrame:
     """The versions of all vaults; see :func:`survey`."""
-    versions_, counts = survey(files)
-    discard(counts)
-    return versions_
+    return _surveyed(files, False)[0]
 
 
 def survey(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -235,6 +233,10 @@ def survey(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     A version is a vault's template in a month, named by its fingerprint; ``parent`` is the fingerprint of the vault's
     version before it (null for the first), ``steps`` are the migrations from there, as structs of ``step, field_before,
     field_after, type_before, type_after``.  A month whose notes share no field has the fingerprint of no fields."""
+    return _surveyed(files, True)
+
+
+def _surveyed(files: DataFrame, counting: bool) -> tuple[DataFrame, DataFrame | None]:
     every = exploded(files)
     months, fields = templates(every)
     months, fields = cut(months, "drift-months"), cut(fields, "drift-templates")
@@ -249,7 +251,7 @@ def survey(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = named.join(before, ["vault", "prev"], "left").join(taken, ["vault", "month"], "left")
     empty = F.array().cast("array<struct<step:string,field_before:string,field_after:string,type_before:string,type_after:string>>")
     out = cut(out.select("vault", "month", "fingerprint", "fields", "parent", F.col("prev").alias("parent_month"), F.coalesce("steps", empty).alias("steps")), "drift-registry")
-    counts = cut(carried(every), "drift-carried")
+    counts = cut(carried(every), "drift-carried") if counting else None
     discard(every, months, fields)
     return out, counts
 
